@@ -23,6 +23,8 @@ def local_session(cores: int | str = "*", memory: str = "8g", **extra: str) -> S
     builder = SparkSession.builder.master(f"local[{cores}]").appName("proseloom")
     settings = {
         **SETTINGS,
+        # Call-site capture costs more than the planning of wide expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
