@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
@@ -21,6 +21,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def rows(values: Column | str) -> Column:
+    """Generator input that hides a computed array behind an expression.
+
+    Over a bare attribute the optimizer infers ``size(x) > 0`` below the
+    generator and pushes it to the scan, which repeats everything that computes
+    the array; an expression is left alone.
+    """
+    return F.flatten(F.array(col(values)))
+
+
+def sealed(df: DataFrame, key: Sequence[str], columns: Sequence[Column | str]) -> DataFrame:
+    """Final projection whose computed columns are computed once.
+
+    A filter on a computed column is otherwise rewritten in terms of the scan
+    columns, level by level, and repeats the work at every level.  Filters on
+    ``key`` columns still reach the scan.
+    """
+    return df.select(*key, F.inline(F.array(F.struct(*[col(c) for c in columns]))))
+
+
 def trim(c: Column | str) -> Column:
     """Strip every kind of white space, not only blanks."""
     return F.btrim(col(c), F.lit(TRIM_CHARS))

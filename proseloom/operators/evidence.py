@@ -23,6 +23,7 @@ from ..functions.scalar import (
     let,
     matches,
     replace_all,
+    sealed,
     trim,
 )
 from .lookup import salted_lookup
@@ -298,8 +299,9 @@ def relationship_pairs(documents: DataFrame, names: DataFrame, group: Sequence[s
     group = list(group)
     told = narrative_slice(documents.where(is_relationship_evidence()))
     paras = told.select(*group, "doc_id", F.posexplode(T.paragraphs("narrative")).alias("par_no", "p"))
-    held = salted_lookup(paras, name_lists(names, group), group, ["doc_id", "par_no"]).withColumn(
-        "in", names_in(F.col("p"), F.col("names"))
+    named = salted_lookup(paras, name_lists(names, group), group, ["doc_id", "par_no"])
+    held = sealed(
+        named, [*group, "p", "names"], [names_in(F.col("p"), F.col("names")).alias("in")]
     ).where(F.size("in") >= 2)
     pairs = F.flatten(
         F.transform(

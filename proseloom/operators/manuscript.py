@@ -22,6 +22,8 @@ from ..functions.scalar import (
     matches,
     ratio,
     replace_all,
+    rows,
+    sealed,
     trim,
     trim_end,
 )
@@ -172,7 +174,7 @@ def with_chapters(df: DataFrame, text: str = "text") -> DataFrame:
 
 def chapters(df: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """Chapter rows ``(key, chapter_no, heading, n_words, at)``."""
-    return with_chapters(df.select(*key, text), text).select(*key, F.inline("chapters"))
+    return with_chapters(df.select(*key, text), text).select(*key, F.inline(rows("chapters")))
 
 
 def _completeness() -> Column:
@@ -269,8 +271,7 @@ def manuscripts(df: DataFrame, key: Sequence[str], text: str = "text") -> DataFr
     """One summary row per manuscript, chapters nested."""
     full = with_chapters(df.select(*key, text), text).withColumn("_done", _completeness())
     rest = lambda at: T.word_count(F.substring(F.col(text), at + 1, F.length(text)))
-    return full.select(
-        *key,
+    return sealed(full, key, [
         T.word_count(text).alias("total_words"),
         T.word_count("_story").alias("story_words"),
         F.col("story_end").cast("long").alias("story_end"),
@@ -289,7 +290,7 @@ def manuscripts(df: DataFrame, key: Sequence[str], text: str = "text") -> DataFr
         tail(F.col("_main")).alias("tail"),
         *[c.alias(n) for n, c in convention_columns().items()],
         F.col("_story").alias("story"),
-    )
+    ])
 
 
 def section_kind(heading: Column) -> Column:

@@ -19,6 +19,7 @@ from ..functions.scalar import (
     per_1k,
     ratio,
     round_half_up,
+    sealed,
     share,
     spread,
 )
@@ -126,15 +127,13 @@ def document_metrics(
         "paragraph_mean_words": round_half_up(array_mean("_plen")),
     }
     rates = {**sentence, **rates_from_counts(F.size(F.array_distinct("_words")))}
-    out = full.select(
-        *key,
+    return sealed(full, key, [
         F.col("n_words").alias("word_count"),
         F.col("n_sentences").alias("sentence_count"),
         F.col("n_paragraphs").alias("paragraph_count"),
         *[rates[name].alias(name) for name in L.METRIC_COLUMNS],
         *(arrays if keep_arrays else []),
-    )
-    return out
+    ])
 
 
 def pooled_fingerprint(

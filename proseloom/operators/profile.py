@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.patterns import java
-from ..functions.scalar import col, count_matches, per_1k, ratio, round_half_up, share
+from ..functions.scalar import col, count_matches, per_1k, ratio, round_half_up, sealed, share
 
 _AUDIENCE = [f"aud_{i}" for i in range(len(L.AUDIENCES))]
 NARRATION_COUNTS = ["n_narrative", "first", "second", "third", "thought", "past", "present"]
@@ -75,7 +75,7 @@ def profile_counts(
     }
     for name, (_, patterns, _) in zip(_AUDIENCE, L.AUDIENCES):
         columns[name] = sum((hits(p) for p in patterns[1:]), hits(patterns[0]))
-    return base.select(*key, *[c.alias(n) for n, c in columns.items()])
+    return sealed(base, key, [c.alias(n) for n, c in columns.items()])
 
 
 def pooled_counts(counts: DataFrame, group: Sequence[str]) -> DataFrame:

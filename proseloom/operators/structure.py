@@ -20,6 +20,7 @@ from ..functions.scalar import (
     let,
     matches,
     ratio,
+    rows,
     slug,
     trim,
 )
@@ -165,7 +166,7 @@ def passages(
         df.select(*carried, prose(text).alias("_prose"))
         .select(*carried, paras.alias("_paras"))
         .withColumn("_ranges", passage_ranges(F.col("_paras"), min_words, max_words))
-        .select(*carried, "_paras", F.posexplode("_ranges").alias("passage_no", "_r"))
+        .select(*carried, "_paras", F.posexplode(rows("_ranges")).alias("passage_no", "_r"))
         .withColumn("_slice", F.slice("_paras", F.col("_r.first") + 1, F.col("_r.len")))
         .select(
             *carried,

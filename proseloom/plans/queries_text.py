@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..functions.scalar import rows
 from ..operators import clean, formatting, metrics, profile, score, structure
 from ..session import shared_dir
 from ..sources import artifacts, scan
@@ -566,7 +567,7 @@ def sco11(spark, sf):
 
 @query("sco12_instructions")
 def sco12(spark, sf):
-    return _reports(spark, sf).select("doc_id", F.posexplode("instructions").alias("position", "instruction"))
+    return _reports(spark, sf).select("doc_id", F.posexplode(rows("instructions")).alias("position", "instruction"))
 
 
 _SETS = list(L.ADVISORY_PHRASES)

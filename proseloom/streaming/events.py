@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.patterns import java
-from ..functions.scalar import first_match, matches, replace_all, trim
+from ..functions.scalar import first_match, matches, replace_all, rows, trim
 from ..operators.clean import redact
 from ..operators.running import running
 
@@ -359,7 +359,7 @@ def transcript_events(lines: DataFrame) -> DataFrame:
 def delegated_sessions(lines: DataFrame) -> DataFrame:
     """Delegated calls with whether their result has closed them."""
     parsed = lines.select("run_id", "line_no", F.from_json("line", TRANSCRIPT).alias("e")).select(
-        "run_id", "line_no", "e.type", F.explode("e.message.content").alias("b")
+        "run_id", "line_no", "e.type", F.explode(rows("e.message.content")).alias("b")
     )
     opened = parsed.where(
         (F.col("type") == "assistant") & (F.col("b.type") == "tool_use")
