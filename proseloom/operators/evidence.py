@@ -108,14 +108,14 @@ def labelled(text: Column, pattern: str) -> Column:
 
 def useful_line(text: Column) -> Column:
     """First line of 25 characters or more that is not a list or heading."""
-    lines = F.transform(F.split(text, r"\r?\n"), clean_snippet)
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: clean_snippet(x))
     return F.get(F.filter(lines, lambda x: (F.length(x) >= 25) & ~x.rlike(r"^[-*#\d]")), 0)
 
 
 def matching_line(text: Column, pattern: str) -> Column:
     """First line of 18 characters or more that matches, cleaned."""
     candidates = F.filter(F.split(text, r"\r?\n"), lambda x: matches(x, pattern))
-    cleaned = F.transform(candidates, clean_snippet)
+    cleaned = F.transform(candidates, lambda x: clean_snippet(x))
     return F.get(F.filter(cleaned, lambda x: matches(x, pattern) & (F.length(x) >= 18)), 0)
 
 

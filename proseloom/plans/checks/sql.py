@@ -192,7 +192,7 @@ def drafts_cte() -> str:
 
 def events_cte() -> str:
     return r"""run_events AS (
-      SELECT user_id AS run_id, event_id AS seq, ts AS at,
+      SELECT user_id AS run_id, event_id AS seq, ts AS tat,
         CASE event_type WHEN 'view' THEN 'step' WHEN 'purchase' THEN 'system' WHEN 'error' THEN 'error' ELSE 'note' END AS kind,
         CASE event_type
           WHEN 'view' THEN 'Reading chapter-' || k || ' plan outline.md'

@@ -28,8 +28,8 @@ def _signals_query(name: str, first: int, last: int):
         full = classify.features(lib)
         parts = [*classify.name_signals(F.col("name"), F.col("path")), *classify.structure_signals(F.col("name")),
                  *classify.vocabulary_signals(F.col("text"))][first:last + 1]
-        rows = full.select(F.inline(F.array_compact(F.array(*parts))))
-        return rows.groupBy("kind", "weight").agg(F.count(F.lit(1)).alias("n"))
+        fired = full.select(F.inline(F.array_compact(F.array(*parts))))
+        return fired.groupBy("kind", "weight").agg(F.count(F.lit(1)).alias("n"))
 
     query(name, check)(run)
 

@@ -287,8 +287,8 @@ SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, {Q.has('line', L.BULLET_LINE,
     {Q.has('line', L.HEADING_LINE, False)} AS is_heading, {Q.has('line', L.FIELD_LINE, False)} AS is_field,
     {Q.has('line', L.DATE_LINE)} AS is_dated FROM l WHERE {Q.trim('line')} <> ''""")
 def txt12(spark, sf):
-    rows = structure.lines(X.library(spark, sf), ["doc_id"])
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_bullet", "is_heading", "is_field",
+    found = structure.lines(X.library(spark, sf), ["doc_id"])
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_bullet", "is_heading", "is_field",
                        "is_dated")
 
 

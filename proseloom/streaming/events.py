@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.patterns import java
-from ..functions.scalar import first_match, matches, replace_all, rows, trim
+from ..functions.scalar import first_match, matches, replace_all, rows, sealed, trim
 from ..operators.clean import redact
 from ..operators.running import running
 
@@ -33,30 +33,29 @@ def with_progress(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFra
 
     An explicit marker wins; otherwise the first of seven keyword rules.
     """
+    pattern = _marker(marker)
     raw = strip_ansi(F.col("text"))
-    pattern, lower = _marker(marker), F.lower(raw)
-    field = lambda i: F.nullif(F.regexp_extract(raw, pattern, i), F.lit(""))
-    named = F.lower(field(1))
-    explicit = F.coalesce(named.isin(list(L.PROGRESS_PHASES)), F.lit(False))
+    named = F.lower(F.regexp_extract(raw, pattern, 1))
+    explicit = named.isin(list(L.PROGRESS_PHASES))
     inferred = F.lit(None).cast("string")
     for rule, phase in reversed(L.PROGRESS_RULES):
-        inferred = F.when(matches(lower, rule, False), phase).otherwise(inferred)
-    phase = F.when(explicit, named).otherwise(inferred)
-    default, label = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for name, (text, percent) in L.PROGRESS_PHASES.items():
-        default = F.when(phase == name, percent).otherwise(default)
-        label = F.when(phase == name, text).otherwise(label)
-    return events.withColumns(
+        inferred = F.when(matches(F.lower(raw), rule, False), phase).otherwise(inferred)
+    found = sealed(
+        events, events.columns, [explicit.alias("explicit"), F.when(explicit, named).otherwise(inferred).alias("phase")]
+    )
+    pairs = lambda i: F.create_map(*[F.lit(x) for k, v in L.PROGRESS_PHASES.items() for x in (k, v[i])])
+    field = lambda i: F.nullif(F.regexp_extract(raw, pattern, i), F.lit(""))
+    known = F.col("phase").isNotNull()
+    default, label = F.try_element_at(pairs(1), F.col("phase")), F.try_element_at(pairs(0), F.col("phase"))
+    spoken = trim(F.coalesce(field(4), label))
+    return found.withColumns(
         {
-            "explicit": explicit,
-            "phase": phase,
-            "percent": F.when(explicit, F.coalesce(field(2).try_cast("int"), default)).otherwise(default),
-            "chapter": F.when(explicit, field(3).try_cast("int")).when(
-                phase.isNotNull(), F.nullif(first_match(raw, L.EVENT_CHAPTER, 1, True), F.lit("")).try_cast("int")
+            "percent": F.when(F.col("explicit"), F.coalesce(field(2).try_cast("int"), default)).otherwise(default),
+            "chapter": F.when(F.col("explicit"), field(3).try_cast("int")).when(
+                known, F.nullif(first_match(raw, L.EVENT_CHAPTER, 1, True), F.lit("")).try_cast("int")
             ),
             "detail": F.substring(
-                redact(F.when(explicit, trim(F.coalesce(field(4), label))).otherwise(
-                    F.when(phase.isNotNull(), F.substring(trim(raw), 1, 240)))), 1, 240,
+                redact(F.when(F.col("explicit"), spoken).when(known, F.substring(trim(raw), 1, 240))), 1, 240
             ),
         }
     )
@@ -66,7 +65,8 @@ def normalise(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFrame:
     """Clean event text: codes, markers and secrets out, empty rows dropped, 600 chars."""
     text = F.regexp_replace(strip_ansi(F.col("text")), _marker(marker), "")
     clean = F.substring(trim(redact(text)), 1, L.EVENT_MAX_CHARS)
-    return events.withColumn("text", clean).where(F.col("text") != "")
+    rest = [c for c in events.columns if c != "text"]
+    return sealed(events, rest, [clean.alias("text")]).where(F.col("text") != "")
 
 
 def retain(events: DataFrame, keep: int = L.EVENT_RETENTION) -> DataFrame:
@@ -96,9 +96,9 @@ def progress_state(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFr
 
 def progress_history(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFrame:
     """Progress after every event: percent never falls, chapter is carried on."""
-    rows = with_progress(events, marker).withColumn("_pct", F.least("percent", F.lit(100)))
+    marked = with_progress(events, marker).withColumn("_pct", F.least("percent", F.lit(100)))
     return running(
-        rows.select("run_id", "seq", "phase", "_pct", "chapter"), ["run_id"], "seq",
+        marked.select("run_id", "seq", "phase", "_pct", "chapter"), ["run_id"], "seq",
         {"run_percent": ("max", "_pct"), "run_phase": ("last", "phase"), "run_chapter": ("last", "chapter")},
     ).select("run_id", "seq", "run_percent", "run_phase", "run_chapter")
 
@@ -252,9 +252,9 @@ def history(log: DataFrame) -> DataFrame:
 def history_agents(events: DataFrame) -> DataFrame:
     """Final row per agent of a finished run: the last event wins, all done."""
     key = F.coalesce("session_id", F.lit("orchestrator"))
-    rows = events.select("run_id", "seq", key.alias("agent_key"), "agent", "depth")
+    keyed = events.select("run_id", "seq", key.alias("agent_key"), "agent", "depth")
     return (
-        rows.groupBy("run_id", "agent_key").agg(F.max_by(F.struct("agent", "depth"), "seq").alias("l"))
+        keyed.groupBy("run_id", "agent_key").agg(F.max_by(F.struct("agent", "depth"), "seq").alias("l"))
         .select(
             "run_id", "agent_key",
             F.coalesce(
