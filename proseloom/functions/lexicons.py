@@ -318,10 +318,16 @@ BACK_MATTER_CONTENT = [
     (r"\b(?:join|sign up for) (?:my|the) newsletter\b", True),
     (r"\b(?:also by|about the author)\b", True),
 ]
+# Literal pieces, one of which every content pattern needs.
+BACK_MATTER_PIECES = [
+    "thank you for reading", "independent author", "honest review", "scan code", "qr code", "find their audience",
+    "newsletter", "also by", "about the author",
+]
 BACK_MATTER_AFTER = 0.25
 TERMINAL_CHARS = ".!?\"'”’…"
 DANGLING_WORDS = ["and", "but", "or", "then", "because", "which", "that", "so", "as", "with"]
 LAYOUT_CHARS = r"[\u000b\u000c\u0085\u2028\u2029]"
+TRAILING_MARKS = ["___", "---", "===", "***", "~~~", "···"]
 TRAILING_RULES = r"(?:\s*(?:_{3,}|-{3,}|={3,}|\*{3,}|~{3,}|·{3,})\s*)+$"
 
 # --- fixed values: evidence extraction ------------------------------------------------

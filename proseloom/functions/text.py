@@ -40,7 +40,8 @@ def sentences(c: Column | str) -> Column:
     """
     c = F.regexp_replace(col(c), rf"([.!?]+[{_QUOTES}]*)(?={SPACE})", "$1" + MARK)
     c = F.regexp_replace(
-        c, rf"(?i)((?<![A-Za-z])(?:{_ABBREVIATION}|[a-z])\.[.!?]*[{_QUOTES}]*){MARK}", "$1"
+        # The lookahead spares the word list for all but short words before a period.
+        c, rf"(?i)((?<![a-z])(?=[a-z]{{1,6}}\.)(?:{_ABBREVIATION}|[a-z])\.[.!?]*[{_QUOTES}]*){MARK}", "$1"
     )
     c = F.regexp_replace(c, rf"([{_QUOTES}]){MARK}(?={SPACE}+[a-z])", "$1")
     return non_empty(F.split(c, MARK))

@@ -59,7 +59,13 @@ def is_relationship_evidence() -> Column:
 
 
 def narrative_slice(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``narrative``: first chapter to story end for narrative documents."""
+    """Add ``narrative``: first chapter to story end for narrative documents.
+
+    A table that already carries it passes through, so a job with several
+    readers can compute it once.
+    """
+    if "narrative" in df.columns:
+        return df
     out = with_chapters(df, text)
     start = F.coalesce(F.get("chapters", 0)["at"], F.lit(0)).cast("int")
     end = F.when(F.col("story_end") == 0, F.length(text)).otherwise(F.col("story_end"))

@@ -7,6 +7,7 @@ boundaries and conventions are read from it, so no line ever leaves its row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,12 @@ def is_scene_break(line: Column) -> Column:
 
 def strip_trailing_layout(text: Column) -> Column:
     """Page-break rules at the end are layout, not prose."""
-    return trim_end(replace_all(replace_all(text, L.LAYOUT_CHARS, "\n"), L.TRAILING_RULES, ""))
+
+    def cut(c: Column) -> Column:
+        # The rule pattern can only hit a text that ends in three equal marks.
+        return F.when(F.right(c, F.lit(3)).isin(L.TRAILING_MARKS), trim_end(replace_all(c, L.TRAILING_RULES, ""))).otherwise(c)
+
+    return let(trim_end(replace_all(text, L.LAYOUT_CHARS, "\n")), cut)
 
 
 def _heading_rows(lines: Column) -> Column:
@@ -108,7 +114,10 @@ def _back_matter(text: Column, lines: Column) -> Column:
             F.struct(at.alias("at"), F.when(line == "", "Closing material").otherwise(line).alias("heading")),
         )
 
-    by_content = F.when(any_match(text, [p for p, _ in L.BACK_MATTER_CONTENT]), let(boundary, named))
+    lowered = let(
+        F.lower(text), lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in L.BACK_MATTER_PIECES])
+    )
+    by_content = F.when(lowered, let(boundary, named))
     return F.coalesce(by_title, by_content)
 
 
@@ -121,7 +130,7 @@ def with_boundaries(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_story", F.substring(t, F.lit(1), F.col("story_end")))
     epilogue = F.filter(
         _cut(F.col("_lines"), F.col("story_end")),
-        lambda x: is_heading(x["line"]) & matches(trim(x["line"]), L.EPILOGUE_HEADING),
+        lambda x: matches(x["line"], L.EPILOGUE_HEADING) & is_heading(x["line"]),
     )
     out = out.withColumn(
         "_ep",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.scalar import rows
 from ..operators import classify, formatting, manuscript, retrieve
+from ..session import cut_lineage
 from . import tables as X
 from .checks import book as B
 from .checks import sql as Q
@@ -285,13 +286,14 @@ def ret1(spark, sf):
   row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) AS rank FROM pr WHERE score > 0
   QUALIFY row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) <= 4""")
 def ret2(spark, sf):
-    reach = retrieve.reachable(X.briefs(spark, sf), _paragraph_passages(spark, sf), 4)
+    reach = retrieve.reachable(X.briefs(spark, sf), cut_lineage(_paragraph_passages(spark, sf)), 4)
     return retrieve.rank(reach, 4).select("brief_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ret3_exemplars")
 def ret3(spark, sf):
-    chosen = retrieve.select_exemplars(X.briefs(spark, sf), X.passages(spark, sf))
+    # Passages are an artifact with several readers here: written once.
+    chosen = retrieve.select_exemplars(X.briefs(spark, sf), cut_lineage(X.passages(spark, sf)))
     return chosen.select("brief_id", "position", "passage_id", "source", "n_words", "score")
 
 

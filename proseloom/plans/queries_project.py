@@ -11,6 +11,7 @@ from ..operators import evidence as E
 from ..operators import findings as G
 from ..operators import inventory as I
 from ..operators import profile
+from ..session import cut_lineage
 from . import tables as X
 from .checks import book as B
 from .checks import sql as Q
@@ -164,7 +165,8 @@ def _names(spark, sf):
 
 def _context(spark, sf):
     """Findings inputs of every book: documents, names, genres, pooled profile."""
-    lib = X.library(spark, sf)
+    # Names, pairs and findings all read it: written once to the shared folder.
+    lib = cut_lineage(E.narrative_slice(X.library(spark, sf)))
     names = E.character_names(lib, ["book_id"])
     genres = I.rank_genres(I.genre_hits(lib, ["book_id"]), ["book_id"])
     prose = lib.where((F.size("kinds") == 0) | F.arrays_overlap(
