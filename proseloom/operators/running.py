@@ -37,7 +37,7 @@ def running(
             local[f"_l_{name}"] = F.sum(c).over(so_far)
             summary.append(F.sum(c).alias(s))
             carry.append(F.sum(s).over(before).alias(p))
-            final[name] = here + F.coalesce(F.col(p), F.lit(0))
+            final[name] = F.coalesce(here + F.col(p), here, F.col(p))
         elif kind == "max":
             local[f"_l_{name}"] = F.max(c).over(so_far)
             summary.append(F.max(c).alias(s))
