@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +58,7 @@ def matches(c: Column | str, pattern: str, ignore_case: bool = True, multiline:
 
 
 def any_match(c: Column | str, patterns: Iterable[str], ignore_case: bool = True) -> Column:
-    return reduce(lambda a, b: a | b, [matches(c, p, ignore_case) for p in patterns])
+    return matches(c, "|".join(f"(?:{p})" for p in patterns), ignore_case)
 
 
 def all_matches(c: Column | str, pattern: str, group: int = 0, ignore_case: bool = False, multiline: bool = False):

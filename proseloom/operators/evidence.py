@@ -293,7 +293,10 @@ def names_in(paragraph: Column, names: Column) -> Column:
     squeezed = F.concat(
         F.lit(" "), replace_all(replace_all(F.lower(paragraph), r"[^a-z0-9_À-ɏ]", " "), r"\s+", " "), F.lit(" ")
     )
-    return F.filter(names, lambda n: F.contains(squeezed, F.concat(F.lit(" "), F.lower(n), F.lit(" "))))
+    # Squeezed once per paragraph, then looked up per name.
+    return let(
+        squeezed, lambda s: F.filter(names, lambda n: F.contains(s, F.concat(F.lit(" "), F.lower(n), F.lit(" "))))
+    )
 
 
 def relationship_pairs(documents: DataFrame, names: DataFrame, group: Sequence[str]) -> DataFrame:

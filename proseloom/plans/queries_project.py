@@ -167,7 +167,7 @@ def _context(spark, sf):
     """Findings inputs of every book: documents, names, genres, pooled profile."""
     # Names, pairs and findings all read it: written once to the shared folder.
     lib = cut_lineage(E.narrative_slice(X.library(spark, sf)))
-    names = E.character_names(lib, ["book_id"])
+    names = cut_lineage(E.character_names(lib, ["book_id"]))
     genres = I.rank_genres(I.genre_hits(lib, ["book_id"]), ["book_id"])
     prose = lib.where((F.size("kinds") == 0) | F.arrays_overlap(
         "kinds", F.array(F.lit("past_book"), F.lit("reference_book"), F.lit("notes"))))
