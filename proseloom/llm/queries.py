@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.llm import html, mixing, packing, simhash, topk
+from proseloom.llm import ann, html, langid, license, mixing, packing, pii, quality, simhash, topk
 from proseloom.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@_query()
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    digest = F.sha2(pii.joined(F.col("base")), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 _TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
@@ -87,3 +99,45 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 @_query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license.scan(docs, license.fit(docs))
+    place = lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["end"].cast("string"))
+    return found.select(
+        "doc_id", F.array_join(F.array_sort(F.array_distinct("spans.family")), ",").alias("families"),
+        F.size("spans").cast("long").alias("n_paragraphs"), F.array_join(F.transform("spans", place), ",").alias("spans"),
+        F.coalesce(F.array_max("spans.score"), F.lit(0.0)).alias("score"),
+    )
+
+
+def remainder(id_col: str, divisor: int):
+    """crc32 of an id as text, modulo the divisor."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
+
+
+@_query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = langid.fit(docs.where(remainder("doc_id", 3) != 1))
+    held = docs.select(F.struct("doc_id", (remainder("doc_id", 3) == 1).alias("held_out")).alias("row"), "text")
+    return langid.predict(held, field, "row").select("row.*", "lang_pred", "score")
+
+
+@_query()
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build(vectors), vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@_query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels")
+    held = remainder("doc_id", 5) == 0
+    model = quality.fit(docs, labels.where(~held))
+    scored = quality.score(docs, model)
+    predicted = (F.col("score") >= quality.PREDICT_AT).cast("int")
+    return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
