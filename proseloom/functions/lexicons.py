@@ -460,8 +460,6 @@ MIN_VOICE_WORDS = 2000
 
 # --- fixed values: run events ----------------------------------------------------------------------------
 EVENT_KINDS = ["system", "step", "note", "error"]
-EVENT_MAX_CHARS = 600
-EVENT_RETENTION = 4000
 ANSI_CODES = r"\x1b?\[[0-9;]*[A-Za-z]"
 DONE_SIGNAL = r"(?:^|\s)done\s*[:=]\s*true(?:\s|$)"
 HANDOVER = r"handing over to|delegating to"
@@ -494,7 +492,6 @@ HALT_RULES = [
      "invalid_credentials"),
     (r"overloaded|internal server error|5\d\d\b|api error", "provider_error"),
 ]
-HALT_WINDOW = 40
 STALL_MINUTES = 15
 NESTED_STALL_MINUTES = 5
 WAITING_SECONDS = 30

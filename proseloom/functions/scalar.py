@@ -194,6 +194,32 @@ def mentions(text: Column, phrase: Column) -> Column:
     return F.when(trim(phrase) == "", F.lit(False)).otherwise(F.contains(normalise(text), normalise(phrase)))
 
 
+def ranked_values(values: Column) -> Column:
+    """Distinct values of an array, most frequent first, ties by first appearance.
+
+    Sorting with positions keeps it near linear in the array.
+    """
+
+    def ranked(s: Column) -> Column:
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["value"] != F.get(s, i - 1)["value"])
+        )
+        counted = let(
+            places,
+            lambda st: F.transform(
+                st,
+                lambda p, k: F.struct(
+                    (p - F.coalesce(F.get(st, k + 1), F.size(s))).alias("rank"), F.get(s, p)["at"].alias("at"),
+                    F.get(s, p)["value"].alias("value"),
+                ),
+            ),
+        )
+        return F.transform(F.array_sort(counted), lambda x: x["value"])
+
+    placed = F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("at")))
+    return F.when(F.size(values) == 0, F.array().cast("array<string>")).otherwise(let(F.sort_array(placed), ranked))
+
+
 def day_number(c: Column | str) -> Column:
     """Day number in free text such as ``Day 4, dusk``; null when absent."""
     return first_match(c, L.DAY_NUMBER, 1, ignore_case=True).try_cast("bigint")

@@ -148,8 +148,8 @@ def section_marker(text: Column, pattern: str, fallback: str) -> Column:
     return let(lines, find)
 
 
-def summaries(documents: DataFrame, key: Sequence[str], top: int = 12) -> DataFrame:
-    """Words and the first heading-like lines of each document."""
+def summaries(documents: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Words and the heading-like lines of each document."""
     lines = F.transform(F.split("text", r"\r?\n"), lambda x: replace_all(trim(x), r"^#+\s*", ""))
     headings = F.filter(
         lines,
@@ -158,7 +158,7 @@ def summaries(documents: DataFrame, key: Sequence[str], top: int = 12) -> DataFr
     )
     return documents.select(
         *key, F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
-        T.word_count("text").alias("n_words"), F.slice(headings, 1, top).alias("headings"),
+        T.word_count("text").alias("n_words"), headings.alias("headings"),
     )
 
 

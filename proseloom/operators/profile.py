@@ -211,7 +211,7 @@ def audience(counts: DataFrame, key: Sequence[str]) -> DataFrame:
             for i, (name, (value, _, evidence)) in enumerate(zip(_AUDIENCE, L.AUDIENCES))
         ]
     )
-    ranked = counts.withColumn("_aud", F.slice(F.array_sort(F.array_compact(candidates)), 1, 2))
+    ranked = counts.withColumn("_aud", F.array_sort(F.array_compact(candidates)))
     top = F.get("_aud", 0)["n"].cast("double")
     scale = F.greatest(F.col("n_words").cast("double") / F.lit(1000.0), F.lit(1.0))
     confidence = F.when(F.size("_aud") == 0, F.lit(0.25)).otherwise(

@@ -23,6 +23,7 @@ def running(
 
     ``values`` maps a new column to ``(kind, column)`` with kind ``sum``,
     ``max``, ``last`` (last non-null so far) or ``lag`` (value of the row before).
+    Rows with a null key form a group; rows with a null order come first.
     """
     keys = list(keys)
     df = df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)))
@@ -57,5 +58,9 @@ def running(
         else:
             raise ValueError(kind)
     carried = df.groupBy(*keys, "_b").agg(*summary).select(*keys, "_b", *carry)
-    out = df.withColumns(local).join(carried, [*keys, "_b"])
+    marks = [F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "_b"])]
+    carried = carried.select(*marks, *[f"_p_{name}" for name in values])
+    # Null keys and orders are values like any other.
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, "_b"])]
+    out = df.withColumns(local).join(carried, same)
     return out.withColumns(final).select(*[c for c in df.columns if c != "_b"], *values)

@@ -19,6 +19,7 @@ from ..functions.scalar import (
     count_matches,
     let,
     matches,
+    ranked_values,
     ratio,
     rows,
     slug,
@@ -208,22 +209,12 @@ def beat(text: Column | str, n_words: Column | None = None) -> Column:
     return let(densities, label)
 
 
-def speakers(text: Column | str, top: int = 6) -> Column:
-    """Capitalised names away from sentence starts, most frequent first.
+def speakers(text: Column | str) -> Column:
+    """Capitalised names away from sentence starts, all of them, most frequent first.
 
     Ties keep the order of first appearance.
     """
     found = F.filter(
         all_matches(text, L.SPEAKER, 1, multiline=True), lambda n: ~F.lower(n).isin(L.SPEAKER_STOP)
     )
-
-    def ranked(names: Column) -> Column:
-        counted = F.transform(
-            F.array_distinct(names),
-            lambda name, i: F.struct(
-                (-F.size(F.filter(names, lambda x: x == name))).alias("rank"), i.alias("first"), name.alias("name")
-            ),
-        )
-        return F.transform(F.slice(F.array_sort(counted), 1, top), lambda s: s["name"])
-
-    return let(found, ranked)
+    return let(found, ranked_values)

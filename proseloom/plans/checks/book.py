@@ -154,8 +154,8 @@ def signal_ctes() -> str:
         ("plot", 1.5, "br > 0.3"), ("notes", 1.0, "br > 0.3"), ("notes", 1.5, "br > 0.08"), ("timeline", 3.0, "dr > 0.2"),
         ("world", 1.5, "headings > 5 AND br > 0.15 AND NOT prose"),
     ]
-    rows += [(k, w, f"{Q.hits('lower(left(text, 20000))', p, False)} >= 3") for k, p, w, _ in L.VOCABULARY_SIGNALS]
-    rows += [("reference_book", 2.5, Q.has("left(text, 1500)", L.BYLINE, False))]
+    rows += [(k, w, f"{Q.hits('lower(text)', p, False)} >= 3") for k, p, w, _ in L.VOCABULARY_SIGNALS]
+    rows += [("reference_book", 2.5, Q.has("text", L.BYLINE, False))]
     return "sig AS (" + " UNION ALL ".join(
         f"SELECT doc_id, {n} AS n, '{k}' AS kind, CAST({w} AS DOUBLE) AS weight FROM feat WHERE {c}"
         for n, (k, w, c) in enumerate(rows)) + ")"

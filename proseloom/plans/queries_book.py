@@ -261,13 +261,13 @@ sp0 AS (SELECT doc_id, par_no, {_speaker_sql('text')} AS xs FROM par),
 sp1 AS (SELECT doc_id, par_no, unnest(xs) AS name, generate_subscripts(xs, 1) AS i FROM sp0),
 sp2 AS (SELECT doc_id, par_no, name, count(*) AS c, min(i) AS f FROM sp1 GROUP BY ALL),
 sp3 AS (SELECT doc_id, par_no, name, row_number() OVER (PARTITION BY doc_id, par_no ORDER BY c DESC, f) AS rk FROM sp2),
-spk AS (SELECT doc_id, par_no, list(name ORDER BY rk) AS speakers FROM sp3 WHERE rk <= 6 GROUP BY ALL),
+spk AS (SELECT doc_id, par_no, list(name ORDER BY rk) AS speakers FROM sp3 GROUP BY ALL),
 pas AS (SELECT b.book_id, b.doc_id, b.par_no, b.n_words, b.beat, coalesce(speakers, CAST([] AS VARCHAR[])) AS speakers,
   list_distinct(regexp_extract_all(lower(text), '{L.PASSAGE_TERM}')) AS terms FROM beats b LEFT JOIN spk USING (doc_id, par_no)),
 br AS (SELECT item_id AS brief_id, 'src' || (item_id % 20) AS book_id, {_BEATS}[CAST(item_id % 5 AS INT) + 1] AS beat,
-  CASE WHEN item_id % 3 = 0 THEN ['ilse', 'tobias'] ELSE CAST([] AS VARCHAR[]) END AS wanted,
+  CASE WHEN item_id % 3 = 0 THEN ['ilse', 'tobias'] ELSE CAST([] AS VARCHAR[]) END AS wanted, item_id % 7 + 2 AS k,
   list_distinct(list_filter(list_append({Q.words('text')}, 'quiet'), lambda z: length(z) > 3 AND z NOT IN {_STOP})) AS terms FROM benchmark),
-pr0 AS (SELECT b.brief_id, p.doc_id, p.par_no, p.n_words, len(list_intersect(b.terms, p.terms)) AS ov,
+pr0 AS (SELECT b.brief_id, b.k, p.doc_id, p.par_no, p.n_words, len(list_intersect(b.terms, p.terms)) AS ov,
   len(list_filter(p.speakers, lambda z: list_contains(b.wanted, lower(z)))) AS mt,
   len(p.speakers) AS ns, len(b.wanted) AS nw, b.beat AS bb, p.beat AS pbt,
   CASE WHEN p.beat = b.beat THEN 5.0 WHEN {near} THEN 1.5 ELSE 0.0 END AS sb FROM br b JOIN pas p USING (book_id)),
@@ -284,10 +284,11 @@ def ret1(spark, sf):
 
 @query("ret2_ranked", f"""WITH {_retrieval_ctes()} SELECT brief_id, doc_id || '-' || par_no AS passage_id, CAST(score AS DOUBLE) AS score,
   row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) AS rank FROM pr WHERE score > 0
-  QUALIFY row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) <= 4""")
+  QUALIFY row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) <= k""")
 def ret2(spark, sf):
-    reach = retrieve.reachable(X.briefs(spark, sf), cut_lineage(_paragraph_passages(spark, sf)), 4)
-    return retrieve.rank(reach, 4).select("brief_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
+    reach = retrieve.reachable(X.briefs(spark, sf), cut_lineage(_paragraph_passages(spark, sf)))
+    # The k best of each brief; k is the brief's own.
+    return retrieve.rank(reach).where(F.col("rank") <= F.col("b_k")).select("brief_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ret3_exemplars")

@@ -120,14 +120,18 @@ FROM nz n JOIN ho h ON h.book_id = n.book_id AND h.chapter = n.chapter - 1
 WHERE h.question <> '' AND NOT {_touch('n.w', 'h.question')}""")(_kind("dropped-hook"))
 
 
-@query("con8_knowledge_violation", f"""WITH {_led()}, {_STATE}, kn AS (SELECT p.book_id, p.chapter, c_no, name, unnest(list_filter(p.knows,
-    lambda z: NOT list_contains(s.knows, z))) AS fact FROM pe p JOIN lat ON lat.book_id = p.book_id AND name_key = lower(name))
+# The ledger a chapter is judged by ends with the chapter before it.
+@query("con8_knowledge_violation", f"""WITH {_led()}, prior AS (
+  SELECT p.book_id, p.chapter, p.c_no, p.name, p.knows, arg_max(q.knows, q.chapter * 10 + q.c_no) AS known
+  FROM pe p JOIN pe q ON q.book_id = p.book_id AND lower(q.name) = lower(p.name) AND q.chapter <= p.chapter - 1
+  GROUP BY p.book_id, p.chapter, p.c_no, p.name, p.knows),
+kn AS (SELECT book_id, chapter, name, unnest(knows) AS fact, known FROM prior)
 SELECT k.book_id, k.chapter, name, fact FROM kn k JOIN drafts d ON d.book_id = k.book_id AND d.chapter = k.chapter
-WHERE NOT {_mentions('text', 'fact')}""")
+WHERE NOT list_contains(known, fact) AND NOT {_mentions('text', 'fact')}""")
 def con8(spark, sf):
     drafts, h = X.drafts(spark, sf), _handoffs(spark, sf)
     out = N.knowledge_issues(drafts, h, h)
-    return out.select("book_id", "chapter", F.regexp_extract("message", '^(.*) now knows "', 1).alias("name"),
+    return out.select("book_id", "chapter", F.regexp_extract("message", '^(.*) has learned "', 1).alias("name"),
                       F.col("subject").alias("fact"))
 
 
@@ -200,8 +204,8 @@ def con12(spark, sf):
   SELECT d.book_id, chapter, 'canon' AS section, 2 AS n FROM drafts d WHERE book_id % 2 = 0
   UNION ALL SELECT d.book_id, d.chapter, 'previous', 4 FROM drafts d JOIN ho h ON h.book_id = d.book_id AND h.chapter = d.chapter - 1
   UNION ALL SELECT d.book_id, d.chapter, 'character', 1 FROM drafts d JOIN pe h ON h.book_id = d.book_id AND h.chapter = d.chapter - 1
-  UNION ALL SELECT d.book_id, d.chapter, 'thread', 1 FROM drafts d JOIN th ON th.book_id = d.book_id AND status IN ('open', 'advanced')
-  UNION ALL SELECT d.book_id, d.chapter, 'promise', 1 FROM drafts d JOIN pm ON pm.book_id = d.book_id)
+  UNION ALL SELECT d.book_id, d.chapter, 'thread', 1 FROM drafts d JOIN th ON th.book_id = d.book_id AND status IN ('open', 'advanced') AND th.last < d.chapter
+  UNION ALL SELECT d.book_id, d.chapter, 'promise', 1 FROM drafts d JOIN pm ON pm.book_id = d.book_id AND pm.planted < d.chapter)
 SELECT book_id, chapter, section, CAST(sum(n) AS BIGINT) AS n FROM ob GROUP BY ALL""")
 def con13(spark, sf):
     rows = N.obligations(X.drafts(spark, sf), _handoffs(spark, sf), X.threads(spark, sf), X.promises(spark, sf),
@@ -211,7 +215,7 @@ def con13(spark, sf):
 
 @query("con14_chapter_gate", f"""WITH {_FLOW} SELECT book_id, chapter, {_VERDICT} AS flow_verdict,
   CASE WHEN chapter % 2 = 0 AND blockers = 0 AND majors = 0 THEN 'validated' ELSE 'needs_work' END AS status,
-  CAST(least(20, blockers + majors + minors + 1) AS BIGINT) AS n_issues FROM fv""")
+  CAST(blockers + majors + minors + 1 AS BIGINT) AS n_issues FROM fv""")
 def con14(spark, sf):
     drafts, issues = _all_issues(spark, sf)
     status = drafts.select("book_id", "chapter", F.lit("drafted").alias("status"))
@@ -262,7 +266,7 @@ def src10(spark, sf):
 _NOANSI = "replace(regexp_replace(text, '\x1b?\\[[0-9;]*[A-Za-z]', '', 'g'), chr(13), '')"
 _MARK = r"(?i)RUN_PROGRESS\s+phase=([a-z_]+)(?:\s+percent=(\d+))?(?:\s+chapter=(\d+))?(?:\s+detail=([^\n\r]*))?"
 _CLEANED = f"regexp_replace({_NOANSI}, '{_MARK}', '', 'g')"
-_CLEANED = "left(" + Q.trim(Q.raw_sub(_CLEANED, r"(?i)\b(api[_ -]?key|token|secret|authorization)\s*[:=]\s*[^\s,;]+", r"\1=[redacted]")) + ", 600)"
+_CLEANED = Q.trim(Q.raw_sub(_CLEANED, r"(?i)\b(api[_ -]?key|token|secret|authorization)\s*[:=]\s*[^\s,;]+", r"\1=[redacted]"))
 
 
 @query("str1_normalised", f"WITH {EV}, c AS (SELECT run_id, seq, kind, {_CLEANED} AS text FROM run_events) SELECT * FROM c WHERE text <> ''")
@@ -270,9 +274,9 @@ def str1(spark, sf):
     return E.normalise(X.run_events(spark, sf)).select("run_id", "seq", "kind", "text")
 
 
-@query("str1_retained", f"""WITH {EV} SELECT run_id, seq FROM run_events QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) <= 50""")
+@query("str1_retained", f"""WITH {EV} SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS age FROM run_events""")
 def str1_retained(spark, sf):
-    return E.retain(X.run_events(spark, sf), 50).select("run_id", "seq")
+    return E.with_age(X.run_events(spark, sf)).select("run_id", "seq", F.col("age").cast("long").alias("age"))
 
 
 @query("str2_cursor", f"WITH {EV} SELECT run_id, seq, kind FROM run_events WHERE seq > 500")
@@ -396,8 +400,7 @@ def str7(spark, sf):
 _HALT = " ".join(f"WHEN bool_or({Q.has('text', p)}) THEN '{n}'" for p, n in L.HALT_RULES)
 
 
-@query("str8_halt_reason", f"""WITH {EV}, r AS (SELECT * FROM run_events QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) <= 40)
-SELECT run_id, CASE {_HALT} ELSE 'other' END AS reason FROM r GROUP BY run_id""")
+@query("str8_halt_reason", f"""WITH {EV} SELECT run_id, CASE {_HALT} ELSE 'other' END AS reason FROM run_events GROUP BY run_id""")
 def str8(spark, sf):
     return E.halt_reasons(X.run_events(spark, sf))
 

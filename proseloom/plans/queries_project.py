@@ -206,10 +206,10 @@ def int5(spark, sf):
     return E.relationship_pairs(docs, names, ["book_id"]).select("book_id", "first", "second", "shared", "romance")
 
 
-@query("int6_summaries", f"""WITH {LIB}, h AS (SELECT doc_id, {Q.n_words('text')} AS n, list_slice(list_filter(list_transform(
+@query("int6_summaries", f"""WITH {LIB}, h AS (SELECT doc_id, {Q.n_words('text')} AS n, list_filter(list_transform(
     string_split_regex(text, '\\r?\\n'), lambda z: {Q.sub(Q.trim('z'), '^#+' + chr(92) + 's*', '')}),
     lambda z: length(z) BETWEEN 3 AND 100 AND ({Q.has('z', L.SUMMARY_HEADING[0])} OR {Q.has('z', L.SUMMARY_HEADING[1])}
-      OR {Q.has('z', L.SUMMARY_TITLE, False)})), 1, 12) AS hs FROM library)
+      OR {Q.has('z', L.SUMMARY_TITLE, False)})) AS hs FROM library)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, array_to_string(hs, '|') AS headings FROM h""")
 def int6(spark, sf):
     s = E.summaries(X.library(spark, sf), ["doc_id"])
@@ -341,8 +341,7 @@ def int10_prefill(spark, sf):
 
 @query("int11_suggestions")
 def int11(spark, sf):
-    order = Window.partitionBy("book_id").orderBy("ord", "passage_no")
-    sample = X.passages(spark, sf).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 400)
+    sample = X.passages(spark, sf)
     counts = profile.pooled_counts(profile.profile_counts(sample, ["book_id"]), ["book_id"])
     chars = sample.groupBy("book_id").agg(F.sum(F.length("text") + 2).alias("sample_chars"))
     own = X.library(spark, sf).groupBy("book_id").agg(

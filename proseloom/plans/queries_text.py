@@ -275,7 +275,7 @@ def _speaker_sql(x: str) -> str:
 y AS (SELECT doc_id, unnest(xs) AS name, generate_subscripts(xs, 1) AS i FROM x),
 z AS (SELECT doc_id, name, count(*) AS c, min(i) AS f FROM y GROUP BY doc_id, name),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS rk FROM z)
-SELECT doc_id, string_agg(name, '|' ORDER BY rk) AS speakers FROM r WHERE rk <= 6 GROUP BY doc_id""")
+SELECT doc_id, string_agg(name, '|' ORDER BY rk) AS speakers FROM r GROUP BY doc_id""")
 def txt11(spark, sf):
     s = X.stories(spark, sf).select("doc_id", structure.speakers("text").alias("s"))
     return s.where(F.size("s") > 0).select("doc_id", F.array_join("s", "|").alias("speakers"))
@@ -440,7 +440,7 @@ def agg9(spark, sf):
 ) + f"""), r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, i) AS k FROM a WHERE n >= 2)
 SELECT p.book_id, coalesce(string_agg(v, '|' ORDER BY k), '') AS audience,
   coalesce(max({Q.rnd("least(0.9, 0.5 + n / greatest(r.n_words / 1000.0, 1.0) / 10.0)")}) FILTER (k = 1), 0.25) AS audience_confidence
-FROM pooled p LEFT JOIN r ON p.book_id = r.book_id AND k <= 2 GROUP BY p.book_id""")
+FROM pooled p LEFT JOIN r ON p.book_id = r.book_id GROUP BY p.book_id""")
 def agg10(spark, sf):
     counts = profile.pooled_counts(profile.profile_counts(X.library(spark, sf), ["book_id"]), ["book_id"])
     a = profile.audience(counts, ["book_id"])

@@ -131,7 +131,7 @@ def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(F.array(*[F.lit(x) for x in BEATS]), (b % 5).cast("int")).alias("beat"),
         F.when(b % 3 == 0, F.array(F.lit("Ilse"), F.lit("tobias"))).otherwise(F.array().cast("array<string>")).alias(
             "characters"),
-        F.col("text").alias("summary"), F.lit("quiet").alias("register"), F.lit(4).alias("k"),
+        F.col("text").alias("summary"), F.lit("quiet").alias("register"), (b % 7 + 2).cast("int").alias("k"),
         F.lit(1200).alias("max_words"),
     )
 

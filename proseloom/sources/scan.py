@@ -56,12 +56,11 @@ def is_readable(mime: str = "mime"):
 
 
 def folder_index(
-    spark: SparkSession, root: str, max_depth: int = 6, max_files: int = 5000, pattern: str = "*"
+    spark: SparkSession, root: str, pattern: str = "*"
 ) -> DataFrame:
-    """Files below a folder ``(path, name, depth, length)``, at most ``max_files``.
+    """Every file below a folder ``(path, relative, name, depth, length)``.
 
-    Content is never read.  Repeats of one path count once; the cap keeps the
-    first files in path order.
+    Content is never read.  Repeats of one path count once.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
@@ -74,9 +73,7 @@ def folder_index(
     return (
         files.dropDuplicates(["path"]).withColumn("relative", relative)
         .withColumn("depth", F.size(F.split("relative", "/")) - 1)
-        .where(F.col("depth") <= max_depth)
         .select("path", "relative", F.element_at(F.split("relative", "/"), -1).alias("name"), "depth", "length")
-        .orderBy("path").limit(max_files)
     )
 
 

@@ -54,25 +54,26 @@ def with_progress(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFra
             "chapter": F.when(F.col("explicit"), field(3).try_cast("int")).when(
                 known, F.nullif(first_match(raw, L.EVENT_CHAPTER, 1, True), F.lit("")).try_cast("int")
             ),
-            "detail": F.substring(
-                redact(F.when(F.col("explicit"), spoken).when(known, F.substring(trim(raw), 1, 240))), 1, 240
-            ),
+            "detail": redact(F.when(F.col("explicit"), spoken).when(known, trim(raw))),
         }
     )
 
 
 def normalise(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFrame:
-    """Clean event text: codes, markers and secrets out, empty rows dropped, 600 chars."""
+    """Clean event text: codes, markers and secrets out, empty rows dropped."""
     text = F.regexp_replace(strip_ansi(F.col("text")), _marker(marker), "")
-    clean = F.substring(trim(redact(text)), 1, L.EVENT_MAX_CHARS)
+    clean = trim(redact(text))
     rest = [c for c in events.columns if c != "text"]
     return sealed(events, rest, [clean.alias("text")]).where(F.col("text") != "")
 
 
-def retain(events: DataFrame, keep: int = L.EVENT_RETENTION) -> DataFrame:
-    """The newest events of each run; the rank limit runs before the shuffle."""
+def with_age(events: DataFrame) -> DataFrame:
+    """Every event with ``age``, 1 for the newest of its run; readers keep what they want.
+
+    A reader's filter ``age <= n`` is pushed below the shuffle as a rank limit.
+    """
     order = Window.partitionBy("run_id").orderBy(F.desc("seq"))
-    return events.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
+    return events.withColumn("age", F.row_number().over(order))
 
 
 def since(events: DataFrame, cursor: int) -> DataFrame:
@@ -219,11 +220,9 @@ def text_deltas(parts: DataFrame) -> DataFrame:
     )
 
 
-def halt_reasons(events: DataFrame, window: int = L.HALT_WINDOW) -> DataFrame:
-    """Why a run stopped, from its last 40 events, first rule that hits."""
-    order = Window.partitionBy("run_id").orderBy(F.desc("seq"))
-    recent = events.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= window)
-    flags = recent.groupBy("run_id").agg(
+def halt_reasons(events: DataFrame) -> DataFrame:
+    """Why a run stopped, from all its events, first rule that hits; one aggregation with map-side combine."""
+    flags = events.groupBy("run_id").agg(
         *[F.bool_or(matches("text", p)).alias(name) for p, name in L.HALT_RULES]
     )
     reason = F.lit("other")
