@@ -81,12 +81,13 @@ def test_a_draft_matches_its_own_fingerprint(spark):
     assert report.thin_corpus and report.short_draft
 
 
-def test_fidelity_stays_in_range_and_instructions_are_capped(spark):
+def test_fidelity_stays_in_range_and_every_instruction_is_given(spark):
     d = docs(spark, STORY, "word " * 400, "a b c d. " * 60)
     prints = metrics.pooled_fingerprint(d.where("doc_id = 0"), ["g"])
     for r in score.style_reports(d, prints, ["doc_id"], ["g"]).collect():
         assert 0 <= r.fidelity <= 100
-        assert len(r.instructions) <= 12
+        assert len(r.instructions) <= r.n_deviations + r.n_repetitions
+    assert max(len(r.instructions) for r in score.style_reports(d, prints, ["doc_id"], ["g"]).collect()) > 12
 
 
 def test_repetition_findings(spark):
