@@ -200,7 +200,7 @@ def intensity(counts: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def audience(counts: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The two strongest audience categories with at least two signals."""
+    """Audience categories with at least two signals, strongest first."""
     candidates = F.array(
         *[
             F.when(

@@ -82,8 +82,8 @@ def agg18(spark, sf):
 g AS (SELECT book_id, count(*) FILTER (v) AS voice_documents, coalesce(sum(n) FILTER (v), 0) AS vw,
   count(*) FILTER (list_contains(kinds, 'plot')) AS plot_documents, count(*) FILTER (list_contains(kinds, 'past_book')) AS sb FROM c GROUP BY book_id)
 SELECT book_id, voice_documents, CAST(vw AS BIGINT) AS voice_words, plot_documents, voice_documents > 0 AND vw >= 2000 AND plot_documents > 0 AS ok,
-  voice_documents > 0 AND sb = 0 AS from_reference, CASE WHEN voice_documents = 0 THEN 'Mark at least one Voice reference with 2,000 or more words.'
-  WHEN vw < 2000 THEN 'Only ' || format('{{:,}}', CAST(vw AS BIGINT)) || ' words to learn the voice from. Below about 2,000 the measurements are too noisy to steer by.'
+  voice_documents > 0 AND sb = 0 AS from_reference, CASE WHEN voice_documents = 0 THEN 'no voice source; 2,000 words are needed'
+  WHEN vw < 2000 THEN 'voice words: ' || format('{{:,}}', CAST(vw AS BIGINT)) || '; 2,000 are needed'
   ELSE '' END AS style_reason FROM g""")
 def agg19(spark, sf):
     catalog = X.library(spark, sf).withColumn("word_count", T.word_count("text"))
