@@ -41,7 +41,6 @@ ABSTRACT_NOUNS = [
 CONTRACTION = r"\b[a-z]+'(?:s|t|re|ve|ll|d|m|n)\b"
 SIMILE = r"\b(?:like a|like the|as if|as though|the way a|the way the)\b"
 LY_ADVERB = r"\b[a-z]{3,}ly\b"
-HYPHEN = r"-|--"
 ELLIPSIS = r"\.\.\.|…"
 
 # (metric id, column, label, compared?, weight)
@@ -78,8 +77,6 @@ METRIC_COLUMNS = [m[1] for m in METRICS]
 DRIFT_FLOORS = [("Rate", 0.05), ("Share", 0.05), ("Ratio", 0.05), ("Per1k", 1.5)]
 DRIFT_FLOOR_DEFAULT = 1.0
 DRIFT_TOLERANCE = 0.25
-SEVERITY_RANK = {"blocker": 3, "major": 2, "minor": 1}
-REPETITION_PENALTY = {"blocker": 12, "major": 6, "minor": 2}
 IGNORED_TAGS = ["said", "asked", "and", "the", "he", "she", "they", "but", "it", "we", "you"]
 
 # Edit instructions: metric id -> (above the author, below the author).
@@ -391,7 +388,6 @@ LABELLED_NAME = (
     r"([A-Z][a-zÀ-ɏ]+(?:\s+[A-Z][a-zÀ-ɏ]+){0,3})"
 )
 CALLED_NAME = r"\b(?:called|named)\s+([A-Z][a-zÀ-ɏ]+(?:\s+[A-Z][a-zÀ-ɏ]+){0,3})\b"
-NARRATIVE_NAME = r"\b([A-Z][a-zÀ-ɏ]{2,}(?:\s+[A-Z][a-zÀ-ɏ]{2,}){0,2})\b"
 SUMMARY_HEADING = [r"^chapter\b", r"^\d+[.)]\s"]
 SUMMARY_TITLE = r"^[A-Z][^.!?]{2,70}$"
 
@@ -494,4 +490,3 @@ HALT_RULES = [
 ]
 STALL_MINUTES = 15
 NESTED_STALL_MINUTES = 5
-WAITING_SECONDS = 30

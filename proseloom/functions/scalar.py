@@ -194,6 +194,33 @@ def mentions(text: Column, phrase: Column) -> Column:
     return F.when(trim(phrase) == "", F.lit(False)).otherwise(F.contains(normalise(text), normalise(phrase)))
 
 
+OFFSET_BLOCK = 512
+
+
+def offsets_before(lengths: Column) -> Column:
+    """Sum of all lengths before each one.
+
+    Blocks of the array are summed on their own and then shifted, so a fold
+    never copies more than one block: near linear in the array.
+    """
+    whole = F.size(lengths)
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0)), F.lit(OFFSET_BLOCK)),
+        lambda at: F.slice(lengths, at + 1, OFFSET_BLOCK),
+    )
+
+    def prefix(values: Column) -> Column:
+        sums = F.aggregate(
+            values, F.array(F.lit(0)), lambda out, x: F.array_append(out, F.element_at(out, -1) + x)
+        )
+        return F.slice(sums, 1, F.size(values))
+
+    before = prefix(F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x)))
+    return F.flatten(
+        F.zip_with(blocks, before, lambda block, start: F.transform(prefix(block), lambda x: x + start))
+    )
+
+
 def ranked_values(values: Column) -> Column:
     """Distinct values of an array, most frequent first, ties by first appearance.
 

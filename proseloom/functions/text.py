@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .patterns import SPACE, java
-from .scalar import all_matches, array_sum, col, let, replace_all, trim
+from .scalar import all_matches, array_sum, col, let, offsets_before, replace_all, trim
 
 MARK = "\x01"
 _ABBREVIATION = "|".join(L.ABBREVIATIONS)
@@ -60,17 +60,16 @@ def chunks_with_offsets(c: Column | str, delimiter: str = L.BLANK_LINE) -> Colum
     """
     marked = F.regexp_replace(col(c), f"({java(delimiter)})", "$1" + MARK)
     pieces = F.split(marked, MARK)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,char_offset:int>>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        lead = F.length(piece) - F.length(replace_all(piece, r"^\s+", ""))
-        item = F.struct(trim(piece).alias("text"), (acc["at"] + lead).alias("char_offset"))
-        return F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            F.when(trim(piece) == "", acc["out"]).otherwise(F.array_append(acc["out"], item)).alias("out"),
+
+    def placed(parts: Column) -> Column:
+        lead = lambda piece: F.length(piece) - F.length(replace_all(piece, r"^\s+", ""))
+        every = F.zip_with(
+            parts, offsets_before(F.transform(parts, F.length)),
+            lambda piece, at: F.struct(trim(piece).alias("text"), (at + lead(piece)).alias("char_offset")),
         )
+        return F.filter(every, lambda x: x["text"] != "")
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return let(pieces, placed)
 
 
 def spoken(c: Column | str) -> Column:
@@ -121,17 +120,9 @@ def first_words(tokens: Column, n: int) -> Column:
 
 def with_line_offsets(line_array: Column) -> Column:
     """Lines as ``array<struct<line, at>>`` with their start offsets."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def offsets(ls: Column) -> Column:
-        ends = F.aggregate(
-            ls,
-            start,
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.arrays_zip(ls.alias("line"), ends.alias("at"))
+        starts = offsets_before(F.transform(ls, lambda x: F.length(x) + 1))
+        return F.arrays_zip(ls.alias("line"), starts.alias("at"))
 
     return let(line_array, offsets)

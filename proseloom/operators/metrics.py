@@ -228,11 +228,3 @@ def merge_metrics(metrics: DataFrame, group: Sequence[str]) -> DataFrame:
         )
 
     return agg.select(*group, *L.COUNT_COLUMNS, *[value(c).alias(c) for c in L.METRIC_COLUMNS])
-
-
-def to_long(metrics: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Wide metric row to ``(key, metric, value)`` rows."""
-    pairs = F.array(
-        *[F.struct(F.lit(m[0]).alias("metric"), F.col(m[1]).alias("value")) for m in L.METRICS]
-    )
-    return metrics.select(*key, F.inline(pairs))

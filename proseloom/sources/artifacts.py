@@ -71,7 +71,3 @@ def resolve_errors(errors: DataFrame, matching: Column, resolution: str, resolve
             "resolved_at": F.when(hit, resolved_at).otherwise(F.col("resolved_at")),
         }
     )
-
-
-def resolved_count(resolved: DataFrame) -> DataFrame:
-    return resolved.agg(F.count_if("changed").alias("n_resolved"))

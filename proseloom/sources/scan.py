@@ -11,8 +11,6 @@ from ..functions import lexicons as L
 from ..functions.scalar import trim
 from ..operators.running import running
 
-READABLE_TYPES = ["application/vnd.google-apps.document", "application/rtf", "application/json"]
-
 
 def read_documents(
     spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", columns: Sequence[str] | None = None,
@@ -50,11 +48,6 @@ def spread_small_scan(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-def is_readable(mime: str = "mime"):
-    c = F.col(mime)
-    return c.startswith("text/") | c.isin(READABLE_TYPES)
-
-
 def folder_index(
     spark: SparkSession, root: str, pattern: str = "*"
 ) -> DataFrame:
