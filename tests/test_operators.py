@@ -235,6 +235,20 @@ def test_running_equals_a_plain_window(spark):
     assert a == b
 
 
+def test_running_keeps_null_keys_and_orders(spark):
+    rows = [(None, 1, 5), (None, 40, 7), ("a", 1, 1), ("a", None, 3), ("a", 90, 2)]
+    got = running(spark.createDataFrame(rows, "k string, seq long, v long"), ["k"], "seq", {"s": ("sum", "v")}, bucket=16)
+    assert sorted((r.k or "", r.seq or 0, r.s) for r in got.collect()) == [("", 1, 5), ("", 40, 12), ("a", 0, 3), ("a", 1, 4), ("a", 90, 6)]
+
+
+def test_offsets_of_a_very_long_document(spark):
+    text = "\n\n".join(f" line {i}" for i in range(100_000))
+    found = docs(spark, text).select(F.explode(T.chunks_with_offsets("text")).alias("x")).select("x.*")
+    rows = [(r.text, r.char_offset) for r in found.collect()]
+    assert len(rows) == 100_000
+    assert all(text[at : at + len(line)] == line for line, at in rows)
+
+
 # --- classification and manuscripts -----------------------------------------------------------------
 
 
@@ -363,6 +377,25 @@ def test_flow_issues(spark):
     assert "location-jump" not in kinds and "condition-ignored" not in kinds
 
 
+def test_knowledge_is_judged_by_earlier_chapters(spark):
+    ledger = handoffs(spark, [
+        ("b", n, "x", (n, "", "", False), [person("Anna", "x", facts, "", n)], "", "", n)
+        for n, facts in ((1, ["the code"]), (2, ["the code", "the traitor"]), (3, ["the code", "the traitor", "the heir"]))])
+    drafts = spark.createDataFrame([("b", n, "Nothing is told.") for n in (1, 2, 3)], "book_id string, chapter long, text string")
+    found = continuity.knowledge_issues(drafts, ledger, ledger).collect()
+    assert sorted((r.chapter, r.subject) for r in found) == [(2, "the traitor"), (3, "the heir")]
+    duties = continuity.obligations(
+        drafts, ledger,
+        spark.createDataFrame([("b", "t", "Who?", 2, 2, "open", None, "main")],
+                              "book_id string, thread_id string, question string, opened_chapter int, last_touched_chapter int, "
+                              "status string, must_resolve_by int, weight string"),
+        spark.createDataFrame([("b", "p", "the gun", 1, None)],
+                              "book_id string, promise_id string, setup string, planted_chapter int, paid_off_chapter int"),
+        spark.createDataFrame([("b", "single", 3, [])], "book_id string, shape string, planned_chapters int, inherited_canon array<string>"))
+    assert sorted((r.chapter, r.section) for r in duties.collect() if r.section in ("thread", "promise")) == [
+        (2, "promise"), (3, "promise"), (3, "thread")]
+
+
 def test_a_gap_means_no_previous_handoff(spark):
     ledger = handoffs(spark, [("b", 1, "x", (1, "", "", False), [], "", "q", 1)])
     drafts = spark.createDataFrame([("b", 3, "text")], "book_id string, chapter long, text string")
