@@ -21,16 +21,15 @@ CLS = f"{LIB}, {B.classify_ctes()}"
 
 
 def _signals_query(name: str, first: int, last: int):
-    check = (f"WITH {LIB}, {B.feature_ctes()}, {B.signal_ctes()} SELECT kind, weight, count(*) AS n FROM sig "
-             f"WHERE n BETWEEN {first} AND {last} GROUP BY kind, weight")
+    check = (f"WITH {LIB}, {B.feature_ctes()}, {B.signal_ctes()} SELECT doc_id, kind, weight FROM sig "
+             f"WHERE n BETWEEN {first} AND {last}")
 
     def run(spark, sf):
         lib = X.library(spark, sf)
         full = classify.features(lib)
         parts = [*classify.name_signals(F.col("name"), F.col("path")), *classify.structure_signals(F.col("name")),
                  *classify.vocabulary_signals(F.col("text"))][first:last + 1]
-        fired = full.select(F.inline(F.array_compact(F.array(*parts))))
-        return fired.groupBy("kind", "weight").agg(F.count(F.lit(1)).alias("n"))
+        return full.select("doc_id", F.inline(F.array_compact(F.array(*parts)))).select("doc_id", "kind", "weight")
 
     query(name, check)(run)
 

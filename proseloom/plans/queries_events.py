@@ -200,17 +200,19 @@ def con12(spark, sf):
     return N.flow_reports(*_all_issues(spark, sf))
 
 
-@query("con13_obligations", f"""WITH {_led()}, {_PR}, {_TH}, ob AS (
-  SELECT d.book_id, chapter, 'canon' AS section, 2 AS n FROM drafts d WHERE book_id % 2 = 0
-  UNION ALL SELECT d.book_id, d.chapter, 'previous', 4 FROM drafts d JOIN ho h ON h.book_id = d.book_id AND h.chapter = d.chapter - 1
-  UNION ALL SELECT d.book_id, d.chapter, 'character', 1 FROM drafts d JOIN pe h ON h.book_id = d.book_id AND h.chapter = d.chapter - 1
-  UNION ALL SELECT d.book_id, d.chapter, 'thread', 1 FROM drafts d JOIN th ON th.book_id = d.book_id AND status IN ('open', 'advanced') AND th.last < d.chapter
-  UNION ALL SELECT d.book_id, d.chapter, 'promise', 1 FROM drafts d JOIN pm ON pm.book_id = d.book_id AND pm.planted < d.chapter)
-SELECT book_id, chapter, section, CAST(sum(n) AS BIGINT) AS n FROM ob GROUP BY ALL""")
+@query("con13_obligations", f"""WITH {_led()}, {_PR}, {_TH}, pv AS (
+  SELECT h.book_id, h.chapter + 1 AS chapter, unnest(['location', 'time', 'closing beat', 'open question']) AS subject FROM ho h)
+SELECT d.book_id, chapter, 'canon' AS section, unnest(['Canon of ' || d.book_id, 'The gate stays shut']) AS subject FROM drafts d
+  WHERE book_id % 2 = 0
+UNION ALL SELECT d.book_id, d.chapter, 'previous', subject FROM drafts d JOIN pv USING (book_id, chapter)
+UNION ALL SELECT d.book_id, d.chapter, 'character', name FROM drafts d JOIN pe h ON h.book_id = d.book_id AND h.chapter = d.chapter - 1
+UNION ALL SELECT d.book_id, d.chapter, 'thread', question FROM drafts d JOIN th ON th.book_id = d.book_id
+  AND status IN ('open', 'advanced') AND th.last < d.chapter
+UNION ALL SELECT d.book_id, d.chapter, 'promise', setup FROM drafts d JOIN pm ON pm.book_id = d.book_id AND pm.planted < d.chapter""")
 def con13(spark, sf):
     rows = N.obligations(X.drafts(spark, sf), _handoffs(spark, sf), X.threads(spark, sf), X.promises(spark, sf),
                          X.heads(spark, sf))
-    return rows.groupBy("book_id", "chapter", "section").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("book_id", "chapter", "section", "subject")
 
 
 @query("con14_chapter_gate", f"""WITH {_FLOW} SELECT book_id, chapter, {_VERDICT} AS flow_verdict,

@@ -488,12 +488,11 @@ def sco1(spark, sf):
         "doc_id", "metric", "draft", "author", "drift", "direction")
 
 
-@query("sco2_severity", f"WITH {_DEV} SELECT metric, severity, count(*) AS n FROM dev GROUP BY metric, severity")
+@query("sco2_severity", f"WITH {_DEV} SELECT doc_id, metric, severity FROM dev")
 def sco2(spark, sf):
     drafts, prints = _scored(spark, sf)
     m = metrics.document_metrics(drafts, ["doc_id", "book_id"])
-    return score.deviations(m, prints, ["doc_id"], ["book_id"]).groupBy("metric", "severity").agg(
-        F.count(F.lit(1)).alias("n"))
+    return score.deviations(m, prints, ["doc_id"], ["book_id"]).select("doc_id", "metric", "severity")
 
 
 @query("sco3_ranked_deviations", f"WITH {_DEV} SELECT doc_id, position, metric, severity FROM dev")
