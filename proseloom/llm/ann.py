@@ -25,7 +25,7 @@ ROUNDS, TREES = 7, 2
 CELL_ROWS, GROUP_ROWS = 8192, 1024
 #: Rounds end early when the sum of all cosines grows by less than this share.
 SETTLED = 1e-3
-BEAM, EXPAND, SEARCH_ROUNDS = 128, 32, 12
+BEAM, EXPAND, SEARCH_ROUNDS = 160, 40, 12
 EDGES = "node long, other long, near float"
 
 
