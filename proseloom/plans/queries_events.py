@@ -266,9 +266,10 @@ def src10(spark, sf):
 # --- run events: batch --------------------------------------------------------------------
 
 _NOANSI = "replace(regexp_replace(text, '\x1b?\\[[0-9;]*[A-Za-z]', '', 'g'), chr(13), '')"
-_MARK = r"(?i)RUN_PROGRESS\s+phase=([a-z_]+)(?:\s+percent=(\d+))?(?:\s+chapter=(\d+))?(?:\s+detail=([^\n\r]*))?"
+_MARK = rf"(?i){L.PROGRESS_MARKER}\s+phase=([a-z_]+)(?:\s+percent=(\d+))?(?:\s+chapter=(\d+))?(?:\s+detail=([^\n\r]*))?"
 _CLEANED = f"regexp_replace({_NOANSI}, '{_MARK}', '', 'g')"
-_CLEANED = Q.trim(Q.raw_sub(_CLEANED, r"(?i)\b(api[_ -]?key|token|secret|authorization)\s*[:=]\s*[^\s,;]+", r"\1=[redacted]"))
+_ASSIGNED = next(pattern for name, pattern, _, _ in L.REDACTIONS if name == "assignment")
+_CLEANED = Q.trim(Q.raw_sub(_CLEANED, f"(?i){_ASSIGNED}", r"\1=[redacted]"))
 
 
 @query("str1_normalised", f"WITH {EV}, c AS (SELECT run_id, seq, kind, {_CLEANED} AS text FROM run_events) SELECT * FROM c WHERE text <> ''")

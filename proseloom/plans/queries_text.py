@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -111,20 +113,15 @@ def src6(spark, sf):
                                f"SELECT source AS book_id, word_count, sentence_count FROM fingerprints")
 def src7(spark, sf):
     prints = metrics.pooled_fingerprint(X.documents(spark, sf), ["source"], "text", LINE)
-    root = f"{shared_dir(spark)}/corpus-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**6}"
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     artifacts.write_corpus({"fingerprints": prints.withColumnRenamed("source", "book_id")}, root)
     return artifacts.read_corpus(spark, root, "fingerprints").select("book_id", "word_count", "sentence_count")
 
 
+# The same patterns in the SQL dialect: flags in front, dot over lines, backslash groups.
 _REDACT_SQL = [
-    ("bearer", r"(?i)Bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]"),
-    ("key", r"\b(?:sk|sk-ant)-[A-Za-z0-9_-]{12,}\b", "[redacted key]"),
-    ("token", r"\b(?:ya29\.[A-Za-z0-9._-]+|AIza[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9-]{20,})\b",
-     "[redacted token]"),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.)*?-----END [A-Z ]*PRIVATE KEY-----",
-     "[redacted private key]"),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[redacted token]"),
-    ("assignment", r"(?i)\b(api[_ -]?key|token|secret|authorization)\s*[:=]\s*[^\s,;]+", r"\1=[redacted]"),
+    (name, ("(?i)" if ignore_case else "") + pattern.replace(r"[\s\S]", "(?s:.)"), repl.replace("$1", r"\1"))
+    for name, pattern, ignore_case, repl in L.REDACTIONS
 ]
 
 
