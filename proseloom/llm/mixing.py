@@ -166,10 +166,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     at = F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), word_count(F.col(text_col)).alias("z")))
     keyed = docs.withColumn("_at", at)
-    single = keyed.join(taken.where("_rows = 1").select("_at", "_copies"), "_at")
+    both = keyed.join(taken.where("_rows = 1").select("_at", "_copies"), "_at")
     repeated = taken.where("_rows > 1")
-    turn = Window.partitionBy("_at").orderBy(F.col(text_col))
-    alike = keyed.join(repeated.select("_at").distinct(), "_at", "left_semi").withColumn("_nth", F.row_number().over(turn).cast("long"))
-    alike = alike.join(repeated.select("_at", "_nth", "_copies"), ["_at", "_nth"]).drop("_nth")
-    both = single.unionByName(alike).where("_copies > 0")
+    if not repeated.isEmpty():
+        turn = Window.partitionBy("_at").orderBy(F.col(text_col))
+        alike = keyed.join(repeated.select("_at").distinct(), "_at", "left_semi").withColumn("_nth", F.row_number().over(turn).cast("long"))
+        both = both.unionByName(alike.join(repeated.select("_at", "_nth", "_copies"), ["_at", "_nth"]).drop("_nth"))
+    both = both.where("_copies > 0")
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(c) for c in docs.columns])
