@@ -166,7 +166,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     at = F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), word_count(F.col(text_col)).alias("z")))
     keyed = docs.withColumn("_at", at)
-    both = keyed.join(taken.where("_rows = 1").select("_at", "_copies"), "_at")
+    # The decisions grow with the input, so they are never broadcast: one plan at every size.
+    once = taken.where("_rows = 1 and _copies > 0").select("_at", "_copies")
+    both = keyed.join(once.hint("merge"), "_at")
     repeated = taken.where("_rows > 1")
     if not repeated.isEmpty():
         turn = Window.partitionBy("_at").orderBy(F.col(text_col))

@@ -109,10 +109,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     twice = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
     twice = cut_lineage(twice)
     lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    # The ids grow with the input, so they are never broadcast: one plan at every size.
     if twice.isEmpty():
-        return docs.join(lost, id_col, "left_anti").select(*docs.columns)
-    stay = docs.join(lost.unionByName(twice), id_col, "left_anti")
-    again = docs.join(twice, id_col, "left_semi")
+        return docs.join(lost.hint("merge"), id_col, "left_anti").select(*docs.columns)
+    stay = docs.join(lost.unionByName(twice).hint("merge"), id_col, "left_anti")
+    again = docs.join(twice.hint("merge"), id_col, "left_semi")
     order = Window.partitionBy(id_col).orderBy(*[F.col(c) for c in docs.columns if c != id_col and _ordered(docs, c)])
     once = again.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
     return stay.unionByName(once).select(*docs.columns)
