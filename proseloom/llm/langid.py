@@ -8,9 +8,11 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.llm.sample import least_by_hash
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Feature slots; affixes, n-grams and whole words share them by hash.
@@ -233,16 +235,15 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Field:
     return Field(languages, weights, moves)
 
 
-def training_sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """(text, lang): at most so many texts per language, the least by hash of the text."""
+def training_sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, id_col: str | None = None) -> DataFrame:
+    """(text, lang): at most so many texts per language, by hash; an id keeps copies of a text apart."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return rows.select("lang", "text").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= docs_per_language).drop("turn")
+    return least_by_hash(rows.select("lang", "text", *([id_col] if id_col else [])), docs_per_language, "lang").select("lang", "text")
 
 
-def fit(labelled: DataFrame) -> Field:
+def fit(labelled: DataFrame, id_col: str | None = None) -> Field:
     """A field from the bounded sample of rows (text, lang)."""
-    rows = sorted((row["lang"], row["text"]) for row in training_sample(labelled).collect())
+    rows = sorted((row["lang"], row["text"]) for row in training_sample(labelled, id_col=id_col).collect())
     return train([text for _, text in rows], [lang for lang, _ in rows])
 
 

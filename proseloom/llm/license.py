@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.llm.sample import least_by_hash
+
 UNKNOWN = "unknown"
 #: Wording of the notices of public licence families.
 TEMPLATES = {
@@ -232,14 +234,14 @@ def train(others: list[str], seed: int = 0) -> Classifier:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Classifier:
-    """A classifier whose other paragraphs are a bounded sample of lines of ``docs``, the least by hash.
+    """A classifier whose other paragraphs are a bounded sample of lines of ``docs``, by hash.
 
     Lines with a licence cue stay out of the sample, as they may be notices.
     """
-    lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    lines = docs.select(F.xxhash64(*docs.columns).alias("document"), F.posexplode(F.split(F.col(text_col), "\n")).alias("place", "line"))
     lines = lines.where(F.length("line").between(10, 2_000) & ~F.col("line").rlike(f"(?i){CUE.pattern}"))
-    rows = lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()
-    return train([r["line"] for r in rows])
+    rows = least_by_hash(lines.withColumn("kind", F.lit(UNKNOWN)), NEGATIVES, "kind").collect()
+    return train(sorted(r["line"] for r in rows))
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,9 +6,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.llm.sample import least_by_hash
+
 #: Words of a passage; the last one of a text may be shorter.
 PASSAGE_WORDS = 64
 #: Hashed word shapes beside the surface features.
@@ -171,7 +173,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention:
-    """A network from a bounded sample of ``labels`` (id, label 0 or 1), the least ids by hash of each label.
+    """A network from a bounded sample of ``labels`` (id, label 0 or 1), by hash for each label.
 
     The share of each label is counted over all rows of ``labels``.  Rows with
     a null id or label are left out, and a repeated id counts once.
@@ -179,8 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     named = named.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     prior = named.agg(F.avg("label")).first()[0]
-    turn = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = named.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_DOCS).drop("turn")
+    chosen = least_by_hash(named, SAMPLE_DOCS, "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS)
     # At most SAMPLE_DOCS ids per label are broadcast.

@@ -121,7 +121,7 @@ def remainder(id_col: str, divisor: int):
 @_query()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    field = langid.fit(docs.where(remainder("doc_id", 3) != 1))
+    field = langid.fit(docs.where(remainder("doc_id", 3) != 1), "doc_id")
     held = docs.select(F.struct("doc_id", (remainder("doc_id", 3) == 1).alias("held_out")).alias("row"), "text")
     return langid.predict(held, field, "row").select("row.*", "lang_pred", "score")
 
