@@ -23,6 +23,8 @@ from proseloom.session import cut_lineage
 NEIGHBOURS, POOL = 32, 48
 ROUNDS, TREES = 7, 2
 CELL_ROWS, GROUP_ROWS = 8192, 1024
+#: Least number of cells, so that small tables keep all cores busy; and what a cell reports per node.
+LEAST_CELLS, REPORT = 16, 16
 #: Rounds end early when the sum of all cosines grows by less than this share.
 SETTLED = 1e-3
 BEAM, EXPAND, SEARCH_ROUNDS = 160, 40, 12
@@ -226,7 +228,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     nodes = members.where("id = node").select("node", "width", "vector", _half("vector").alias("half"), _single("vector").alias("single"))
     nodes = cut_lineage(nodes)
     count = nodes.count()
-    graph = Graph(members, nodes, None, max(1, ceil(count / CELL_ROWS)))
+    graph = Graph(members, nodes, None, max(LEAST_CELLS, ceil(count / CELL_ROWS)))
     bits = max(0, ceil(log2(max(count, 1) / GROUP_ROWS)))
     starts = None
     for tree in range(TREES):
@@ -277,7 +279,7 @@ def _descend(graph: Graph) -> DataFrame:
     known = cut_lineage(graph.nodes.select("node", "half").join(kth, "node", "left").select(
         F.col("node").alias("id"), "half", F.coalesce("kth", F.lit(-9.0).cast("float")).alias("kth")))
     needed = around.select(F.col("cell").alias("place"), F.col("other").alias("id")).distinct().join(known, "id")
-    pairs = around.groupBy("cell").cogroup(needed.groupBy("place")).applyInArrow(_local_join(NEIGHBOURS, POOL), EDGES)
+    pairs = around.groupBy("cell").cogroup(needed.groupBy("place")).applyInArrow(_local_join(REPORT, POOL), EDGES)
     return _kept(graph, pairs.unionByName(graph.edges))
 
 
