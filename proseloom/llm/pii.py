@@ -25,8 +25,19 @@ WIDE = {
     "spelled": r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]{1,63}\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[a-z0-9-]{2,63}(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\.)\x20?[a-z0-9-]{2,63}){1,4}",
     "colons": r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{1,4}:){4,7}:?[0-9a-f]{1,4}(?![0-9a-z:])",
 }
+_NATIONAL = r"(?:1[\x20.-])?(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}"
+_SOCIAL = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
+_ALONE, _OVER = r"(?<![0-9A-Za-z])(?<![0-9][.-])", r"(?![0-9A-Za-z]|[.-][0-9])"
+#: Bounded shapes inside what "number" may run over, each proposed beside it.
+BOUNDED = {
+    "national": rf"{_ALONE}{_NATIONAL}{_OVER}",
+    "social": rf"{_ALONE}{_SOCIAL}{_OVER}",
+    "grouped": rf"{_ALONE}(?:0[1-9](?:[\x20.-][0-9]{{2}}){{4}}|\(?0[0-9]{{1,4}}\)?(?:[\x20/.-][0-9]{{3,4}}[\x20.-][0-9]{{3,4}}|[\x20/-][0-9]{{5,8}})){_OVER}",
+    "run": rf"{_ALONE}(?<!\+)[0-9](?:[.-]?[0-9]){{6,18}}{_OVER}",
+}
 #: What must occur in a text before a generator is tried.
-GUARD = {"number": r"[0-9]{3}", "coded": r"[A-Z]{2}[0-9]{2}", "spelled": r"(?i)at[\])\x20]", "colons": r"[0-9a-fA-F]:[0-9a-fA-F]"}
+GUARD = {"national": r"[2-9][0-9]{2}[\x20.-][0-9]{4}", "social": r"[0-9]{3}-[0-9]{2}-", "grouped": r"0[0-9]{1,4}\)?[\x20/.-][0-9]{2}", "run": r"[0-9](?:[.-]?[0-9]){6}",
+         "number": r"[0-9]{3}", "coded": r"[A-Z]{2}[0-9]{2}", "spelled": r"(?i)at[\])\x20]", "colons": r"[0-9a-fA-F]:[0-9a-fA-F]"}
 CUE = r"(?i)(?:phone|tel|telefon|t[ée]l[ée]phone|mobile?|call|fax|ssn|social security|iban|account|konto|cuenta|compte|mail|contact|address|adresse)\W{0,3}(?:\w{1,6}\W{1,2})?$"
 CONTEXT = 24
 BLOCK = 512
@@ -39,9 +50,9 @@ FLAGS: list[Flag] = [
     ("spelled", lambda g, t, b: g == "spelled"),
     ("colons", lambda g, t, b: g == "colons"),
     ("cue", lambda g, t, b: b.rlike(CUE)),
-    ("national", lambda g, t, b: t.rlike(r"^\(?[2-9][0-9]{2}(?:\)\x20?|[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}$")),
+    ("national", lambda g, t, b: t.rlike(f"^{_NATIONAL}$")),
     ("bracket", lambda g, t, b: t.rlike(r"^\([0-9]{3}\)")),
-    ("social", lambda g, t, b: t.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")),
+    ("social", lambda g, t, b: t.rlike(f"^{_SOCIAL}$")),
     ("dated", lambda g, t, b: t.rlike(r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2})\b")),
     ("plain", lambda g, t, b: t.rlike(r"^[0-9]+$")),
     ("slash", lambda g, t, b: t.contains("/")),
@@ -51,6 +62,7 @@ FLAGS: list[Flag] = [
     ("domain", lambda g, t, b: t.rlike(r"(?i)(?:\.|dot[\])\x20]\x20?)(?:com|net|org|edu|gov|info|io|de|fr|es|uk|eu)$")),
     ("marked", lambda g, t, b: t.rlike(r"(?i)[\[(]at[\])]")),
     ("eight", lambda g, t, b: F.size(F.split(t, ":")) >= 8),
+    ("merged", lambda g, t, b: t.rlike(r"[0-9]\.\x20|[0-9]{4}\x20\(")),
 ]
 TREES, RATE = 24, 0.4
 #: Share of redactions that should be right, by which the threshold is calibrated.
@@ -221,6 +233,8 @@ def training_rows(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
         ("number", F.concat(digit(1, 3), F.lit(" "), digit(2, 3), F.lit(" "), digit(3, 3)), other, 0),
         ("number", F.concat(digit(1, 1), F.lit("."), digit(2, 2), F.lit("."), digit(3, 2), F.lit("."), digit(4, 3)), other, 0),
         ("number", F.concat(digit(1, 3), F.lit("-"), digit(2, 1), F.lit("-"), digit(3, 4), F.lit("-"), digit(4, 4)), other, 0),
+        ("number", F.concat(block(1), F.lit("-"), block(2), F.lit("-"), digit(3, 4), said(". ", " ("), digit(4, 1)), cue, 0),
+        ("number", F.concat(block(1), F.lit("-"), block(2), F.lit("-"), digit(3, 4), F.lit(" "), block(4), F.lit("-"), block(5), F.lit("-"), digit(6, 4)), cue, 0),
         ("coded", F.concat(said("AB", "XR", "QT", "ZZ", "KL", "MN"), digit(1, 2), digit(2, 4), digit(3, 4)), other, 0),
         ("spelled", F.concat(F.lit("look at this.then"), digit(1, 1)), other, 0),
         ("spelled", F.concat(F.lit("arrive at noon.we"), digit(1, 1)), other, 0),
@@ -248,22 +262,22 @@ def find(docs: DataFrame, trees: Trees | None = None, text_col: str = "text") ->
     """Add ``base`` and ``spans``: arrays of (start, order, end, kind), in code points with the end exclusive.
 
     ``base`` holds the base kinds; ``spans`` adds the wider candidates whose
-    score reaches the calibrated threshold and that meet no base span; where
-    these overlap each other the higher score stays.  Null and empty texts have
+    score reaches the calibrated threshold and that meet no base span; they are
+    taken by falling score, and only what is kept removes what it overlaps.  Null and empty texts have
     no spans; other columns are kept, repeated rows too.
     """
     trees = trees or fit(training_rows(docs.sparkSession))
     df = base_spans(docs, text_col)
-    for name, pattern in WIDE.items():
+    for name, pattern in (WIDE | BOUNDED).items():
         df = _found(df, "_text", pattern, f"_{name}", F.col("_text").rlike(GUARD[name]))
 
     def proposed(name: str) -> Column:
         return F.transform(f"_{name}", lambda x: F.struct(
-            F.lit(name).alias("generator"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end")))
+            F.lit("number" if name in BOUNDED else name).alias("generator"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end")))
 
-    parts = [proposed(name) for name in WIDE]
-    apart = lambda c, base: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    df = df.withColumn("_wide", F.filter(F.concat(*parts), lambda c: apart(c, F.col("base"))))
+    parts = [proposed(name) for name in WIDE | BOUNDED]
+    apart = lambda c, kept: ~F.exists(kept, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    df = df.withColumn("_wide", F.filter(F.array_distinct(F.concat(*parts)), lambda c: apart(c, F.col("base"))))
 
     def scored(c: Column) -> Column:
         start = F.greatest(c["start"] - CONTEXT, F.lit(0))
@@ -274,13 +288,15 @@ def find(docs: DataFrame, trees: Trees | None = None, text_col: str = "text") ->
         return F.struct(trees.score(flags).alias("score"), c["start"].alias("start"), c["end"].alias("end"), kind.alias("kind"))
 
     df = df.withColumn("_scored", F.filter(F.transform("_wide", scored), lambda c: c["score"] >= F.lit(trees.threshold)))
-    beaten = lambda c: F.exists("_scored", lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (
-        (o["score"] > c["score"]) | ((o["score"] == c["score"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["end"] > c["end"]))))))
+    turns = F.array_sort(F.transform("_scored", lambda c: F.struct(
+        (-c["score"]).alias("turn"), c["start"].alias("start"), (-c["end"]).alias("last"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<turn:double,start:int,last:int,end:int,kind:string>>")
+    df = df.withColumn("_kept", F.reduce(turns, none, lambda kept, c: F.when(apart(c, kept), F.concat(kept, F.array(c))).otherwise(kept)))
     order = lambda kind: F.coalesce(*[F.when(kind == k, i) for k, i in ORDER.items()], F.lit(len(ORDER)))
-    added = F.transform(F.filter("_scored", lambda c: ~beaten(c)), lambda c: F.struct(
+    added = F.transform("_kept", lambda c: F.struct(
         c["start"].alias("start"), order(c["kind"]).alias("order"), c["end"].alias("end"), c["kind"].alias("kind")))
-    df = df.withColumn("spans", F.array_sort(F.concat("base", F.array_distinct(added))))
-    return df.drop("_text", "_wide", "_scored", *[f"_{name}" for name in WIDE])
+    df = df.withColumn("spans", F.array_sort(F.concat("base", added)))
+    return df.drop("_text", "_wide", "_scored", "_kept", *[f"_{name}" for name in WIDE | BOUNDED])
 
 
 def joined(spans: Column) -> Column:

@@ -164,6 +164,19 @@ def test_wider_candidates(spark, trees):
     assert got == cases
 
 
+def test_neighbouring_numbers_are_told_apart(spark, trees):
+    cases = {
+        "202-555-0143 202-555-0144": "phone:0:12,phone:13:25", "(202) 555-0143 / (202) 555-0144": "phone:0:14,phone:17:31",
+        "123-45-6789 202-555-0143": "ssn:0:11,phone:12:24", "2024-01-02 202-555-0143": "phone:11:23",
+        "Call 202-555-0143. 5 people": "phone:5:17", "Ring 202-555-0143 (2 lines)": "phone:5:17",
+        "202-555-0143 10.0.0.1": "phone:0:12,ip:13:21", "call me: 202-555-0143 202-555-0144": "phone:9:21,phone:22:34",
+        "phone 1-202-555-0143, item 12345678": "phone:6:20", "tel. 030 1234 5678. 5 people": "phone:5:18", "call me: 5551234567. 5 people": "phone:9:19",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "text string")
+    got = {r["text"]: r["s"] for r in pii.find(rows, trees).select("text", pii.joined(F.col("spans")).alias("s")).collect()}
+    assert got == cases
+
+
 def test_redaction_changes_text_and_count_only(spark, trees):
     rows = spark.createDataFrame(
         [(1, "write a@b.cd, or +1 (988) 555-2485!", 35, "x"), (2, None, 0, None), (3, "clean", 5, "y")],
