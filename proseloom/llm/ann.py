@@ -8,7 +8,7 @@ need it.  Nothing is gathered on the driver.
 
 from __future__ import annotations
 
-from math import ceil, log2
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from proseloom.session import cut_lineage
 NEIGHBOURS, POOL = 32, 48
 ROUNDS, TREES = 7, 2
 CELL_ROWS, GROUP_ROWS = 8192, 1024
+#: Rows of a random group of one width, and how many of it each node is linked to, so that no node stands alone.
+LINK_ROWS, LINKS = 128, 8
 #: Least number of cells, so that small tables keep all cores busy; and what a cell reports per node.
 LEAST_CELLS, REPORT = 16, 16
 #: Rounds end early when the sum of all cosines grows by less than this share.
@@ -56,6 +58,17 @@ def _rows(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(joined, dtype=kind).reshape(len(column), -1).astype(np.float32)
 
 
+def _by_width(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Vectors of any lengths: the bytes of each, its row among those of its length, and one matrix for each length."""
+    raw = column.to_pylist()
+    sizes, row, parts = np.array([len(x) for x in raw]), np.empty(len(raw), dtype=np.int64), {}
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        row[at] = np.arange(len(at))
+        parts[int(size)] = np.frombuffer(b"".join(raw[i] for i in at), dtype=kind).reshape(len(at), -1).astype(np.float32)
+    return sizes, row, parts
+
+
 def _edges(node, other, near) -> pa.Table:
     return pa.table({"node": pa.array(node, pa.int64()), "other": pa.array(other, pa.int64()), "near": pa.array(near, pa.float32())})
 
@@ -103,7 +116,8 @@ def _local_join(most: int, pool: int):
             return _edges([], [], [])
         ids, kth = vectors["id"].to_numpy(), vectors["kth"].to_numpy()
         order = np.argsort(ids)
-        ids, kth, x = ids[order], kth[order], _rows(vectors["half"], "<f2")[order]
+        sizes, row, parts = _by_width(vectors["half"], "<f2")
+        ids, kth, sizes, row = ids[order], kth[order], sizes[order], row[order]
         node, other, _ = _best(*(edges[c].to_numpy() for c in ("node", "other", "near")), pool)
         at = np.searchsorted(ids, other)
         starts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1))
@@ -113,7 +127,8 @@ def _local_join(most: int, pool: int):
         size = 0
         for start, end in zip(starts, ends):
             here = at[start:end]
-            near = x[here] @ x[here].T
+            x = parts[sizes[here[0]]][row[here]]
+            near = x @ x.T
             near[np.arange(len(here)), np.arange(len(here))] = -9
             a, b = np.nonzero(near > kth[here][:, None])
             found.append((here[a], here[b], near[a, b]))
@@ -139,7 +154,7 @@ def _score(candidates: pa.Table, vectors: pa.Table) -> pa.Table:
     if not candidates.num_rows or not vectors.num_rows:
         return pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
     ids, asks = vectors["id"].to_numpy(), vectors["asks"].to_numpy(zero_copy_only=False)
-    x = _rows(vectors["single"], "<f4")
+    sizes, row, parts = _by_width(vectors["single"], "<f4")
 
     def place(of: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         order = np.flatnonzero(chosen)
@@ -148,7 +163,12 @@ def _score(candidates: pa.Table, vectors: pa.Table) -> pa.Table:
 
     query, node, kth = (candidates[c].to_numpy() for c in ("query", "node", "kth"))
     left, right = place(query, asks), place(node, ~asks)
-    near = np.concatenate([np.einsum("nd,nd->n", x[left[i : i + 8192]], x[right[i : i + 8192]]) for i in range(0, len(query), 8192)])
+    near = np.empty(len(query), dtype=np.float32)
+    for size, x in parts.items():
+        alike = np.flatnonzero(sizes[left] == size)
+        for i in range(0, len(alike), 8192):
+            some = alike[i : i + 8192]
+            near[some] = np.einsum("nd,nd->n", x[row[left[some]]], x[row[right[some]]])
     keep = near > kth
     return pa.table({"query": query[keep], "node": node[keep], "near": near[keep]})
 
@@ -216,7 +236,9 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Rows with equal vectors are one node, whose ``copies`` smallest ids are
     kept as members.  First neighbours come from brute force in groups that lie
-    on the same side of random planes; groups too large are dealt into parts.
+    on the same side of random planes, whose number follows the nodes of each
+    length; groups too large are dealt into parts.  Random groups of each
+    length add a few links, so that no node or small group stands alone.
     Then each round joins neighbours of neighbours, both ways, and every node
     keeps its nearest.  Vectors that are null, all zero, or hold null or
     non-finite components take no part; vectors meet those of their length.
@@ -229,15 +251,18 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     nodes = cut_lineage(nodes)
     count = nodes.count()
     graph = Graph(members, nodes, None, max(LEAST_CELLS, ceil(count / CELL_ROWS)))
-    bits = max(0, ceil(log2(max(count, 1) / GROUP_ROWS)))
-    starts = None
+    widths = cut_lineage(nodes.groupBy("width").agg(F.count("*").alias("rows")))
+    bits = F.greatest(F.ceil(F.log2(F.col("rows") / GROUP_ROWS)), F.lit(0)).cast("int")
+    sized = cut_lineage(nodes.join(widths, "width").select("node", "width", "half", "rows", bits.alias("bits")))
+    deal = F.pmod(F.xxhash64("node", F.lit("links")), F.greatest(F.floor(F.col("rows") / LINK_ROWS), F.lit(1)))
+    starts = sized.withColumn("deal", deal).groupBy("width", "deal").applyInArrow(_all_pairs(LINKS), EDGES)
     for tree in range(TREES):
-        code = _side_code(bits, tree)
-        coded = cut_lineage(nodes.select("node", "width", "half", code("half").alias("code")))
+        code = _side_code(tree)
+        coded = cut_lineage(sized.select("node", "width", "half", code("half", "bits").alias("code")))
         sizes = coded.groupBy("width", "code").agg(F.ceil(F.count("*") / F.lit(2.0 * GROUP_ROWS)).alias("parts"))
         parted = coded.join(cut_lineage(sizes), ["width", "code"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(tree)), F.col("parts")))
         found = parted.groupBy("width", "code", "part").applyInArrow(_all_pairs(NEIGHBOURS // TREES), EDGES)
-        starts = found if starts is None else starts.unionByName(found)
+        starts = starts.unionByName(found)
     graph.edges = _kept(graph, starts)
     total = _total(graph.edges)
     for _ in range(rounds):
@@ -252,15 +277,15 @@ def _total(edges: DataFrame) -> float:
     return edges.agg(F.sum(F.col("near").cast("double"))).first()[0] or 0.0
 
 
-def _side_code(bits: int, tree: int):
+def _side_code(tree: int):
     @F.pandas_udf("long")
-    def of(vectors: pd.Series) -> pd.Series:
+    def of(vectors: pd.Series, bits: pd.Series) -> pd.Series:
         out = []
         planes: dict[int, np.ndarray] = {}
-        for raw in vectors:
+        for raw, most in zip(vectors, bits):
             x = np.frombuffer(raw, dtype="<f2").astype(np.float32)
             if len(x) not in planes:
-                planes[len(x)] = np.random.default_rng([tree, len(x)]).normal(size=(bits, len(x)))
+                planes[len(x)] = np.random.default_rng([tree, len(x)]).normal(size=(most, len(x)))
             out.append(int(sum(1 << i for i, side in enumerate(planes[len(x)] @ x) if side > 0)))
         return pd.Series(out, dtype="int64")
 

@@ -93,6 +93,19 @@ def test_nearest_neighbours_of_copies_and_odd_vectors(spark):
     assert ann.search(ann.build(none), none).count() == 0
 
 
+def test_outliers_and_rare_lengths_have_neighbours(spark):
+    rng = np.random.default_rng(6)
+    cone = rng.normal(size=(5_000, 8)) * 0.01 + 1
+    rows = [(i + 1000, [float(np.float32(x)) for x in v]) for i, v in enumerate(cone)]
+    rows += [(50 * i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(12)]
+    rare = [(50 * i, [float(np.float32(x)) for x in rng.normal(size=5)]) for i in range(14, 20)]
+    vectors = _vectors(spark, rows + rare)
+    got = ann.search(ann.build(vectors), vectors.where("vec_id % 50 = 0 AND vec_id < 1000")).collect()
+    assert len(got) == 18 * 5
+    assert _recall(rows, [r for r in got if r["query_id"] < 700]) >= 0.9
+    assert _recall(rare, [r for r in got if r["query_id"] >= 700]) == 1
+
+
 def _brute_targets(sizes: dict) -> dict:
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
