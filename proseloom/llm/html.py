@@ -46,6 +46,8 @@ COMMENTS = frozenset("comment comments commentlist disqus reply replies respond"
 BASE = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "form": -10.0}
 #: A sibling joins the best container at this share of its score, or as a paragraph this long and free of links.
 SIBLING, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
+#: A list beside the best container is left out above this share of characters inside links.
+LINKED = 0.8
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -181,8 +183,9 @@ def main_text(html: str | None) -> str:
     Each block of text earns a point, one per comma and up to three for its
     length.  Its parent gets all of them, the grandparent half, and those above
     a share that falls with distance; sums are discounted by the share of
-    characters inside links.  The best container is kept with those siblings
-    that score like it or read like paragraphs.  Elements named or marked as
+    characters inside links.  The best container is kept whole with those
+    siblings that score like it or read like paragraphs, text that stands
+    directly beside it too; a sibling list that is nearly all links is not.  Elements named or marked as
     navigation, notices, adverts, forms or comments are left out before.
     """
     if not html:
@@ -213,22 +216,31 @@ def main_text(html: str | None) -> str:
         return node.score * (1 - node.links / max(node.chars, 1))
 
     best = max(nodes.values(), key=lambda n: (final(n), -n.order))
-    limit, keep = max(10.0, SIBLING * final(best)), {best.order}
-    for node, text, links in blocks:
+    limit, keep, beside = max(10.0, SIBLING * final(best)), {best.order}, set()
+
+    def reads(text: str, links: int) -> bool:
+        return (len(text) > SIBLING_CHARS or text[-1:] in ".!?…") and links < SIBLING_LINKS * len(text)
+
+    for at, (node, text, links) in enumerate(blocks):
+        if node is best.parent:
+            if reads(text, links):
+                beside.add(at)
+            continue
         near = node
         while near is not None and near.parent is not best.parent:
             near = near.parent
-        if near is None or near.order in keep or not best.parent or not best.parent.tag or best.tag in ("article", "main", "body"):
+        if near is None or near.order in keep:
             continue
-        prose = near.tag == "p" and (len(text) > SIBLING_CHARS or text[-1:] in ".!?…") and links < SIBLING_LINKS * len(text)
-        if near.tag in HEADINGS or prose or (near.order in nodes and final(near) >= limit):
+        listed = near.tag in ("ul", "ol", "menu", "dl") and near.links > LINKED * near.chars
+        alike = near.order in nodes and final(near) >= limit and not listed
+        if near.tag in HEADINGS or (near.tag == "p" and reads(text, links)) or alike:
             keep.add(near.order)
     out = []
-    for node, text, links in blocks:
+    for at, (node, text, _) in enumerate(blocks):
         walk = node
         while walk is not None and walk.order not in keep:
             walk = walk.parent
-        if walk is not None and not (links > 0.8 * len(text) and node.tag in ("li", "ul", "ol", "div")):
+        if walk is not None or at in beside:
             out.append(text)
     return "\n".join(out)
 

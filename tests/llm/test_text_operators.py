@@ -42,6 +42,18 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_what_stands_beside_an_article_is_kept():
+    told = "<p>One part, long enough, of what the page tells, with commas.</p>" * 3
+    page = f"<body><main><h1>Title</h1><p>A lead that ends here.</p><article>{told}</article><ul><li><a>Other</a></li><li><a>Pages</a></li></ul></main></body>"
+    told = "One part, long enough, of what the page tells, with commas.\n" * 3
+    assert html.main_text(page) == "Title\nA lead that ends here.\n" + told.strip()
+    parts = "".join(f"<article><p>Part {i}, long enough, with commas, of the page.</p></article>" for i in range(3))
+    for page in (parts, f"<body>{parts}</body>", f"<body><div>{parts}</div></body>"):
+        assert html.main_text(page).split("\n") == [f"Part {i}, long enough, with commas, of the page." for i in range(3)]
+    page = "<body><article><p>Prose, with commas, of the article, first.</p><ul><li><a>Source one</a></li><li><a>Source two</a></li></ul></article></body>"
+    assert html.main_text(page).split("\n")[1:] == ["Source one", "Source two"]
+
+
 def test_deep_and_long_pages_end():
     assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert len(html.main_text("<article>" + "<p>word, word</p>" * 20000 + "</article>").split("\n")) == 20000
