@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A network from a bounded sample of ``labels`` (id, label 0 or 1), by hash for each label.
 
     The share of each label is counted over all rows of ``labels``.  Rows with
-    a null id or label are left out, and a repeated id counts once.
+    a null id or label are left out, and a repeated id counts once, in ``docs``
+    with the text of the least hash.
     """
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     named = named.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
@@ -185,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS)
     # At most SAMPLE_DOCS ids per label are broadcast.
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "id", "text").collect()
-    rows = sorted((r["label"], r["id"], r["text"] or "") for r in rows)[: 4 * SAMPLE_DOCS]
+    once = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("label", "id").agg(once).collect()
+    rows = sorted((r["label"], r["id"], r["text"] or "") for r in rows)
     return train([r[2] for r in rows], [r[0] for r in rows], prior)
 
 

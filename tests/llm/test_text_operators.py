@@ -304,6 +304,14 @@ def test_quality_of_odd_texts(spark):
     assert {r["score"] for r in quality.score(docs, blank).collect()} == {0.5}
 
 
+def test_quality_sample_counts_a_repeated_document_once(spark):
+    docs = spark.range(20).selectExpr("id AS doc_id", "repeat(IF(id % 2 = 1, 'Good words, well put. ', 'BAD!! BAD!! '), 9) AS text")
+    docs = docs.union(spark.range(7_000).selectExpr("0L AS doc_id", "repeat('BAD!! BAD!! ', 9) AS text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert len(got) == 7_020 and all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+
+
 def test_attention_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(0)
     counts, labels = np.array([1, 3, 2]), np.array([0.0, 1.0, 1.0])
