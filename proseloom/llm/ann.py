@@ -25,8 +25,8 @@ ROUNDS, TREES = 7, 2
 CELL_ROWS, GROUP_ROWS = 8192, 1024
 #: Rows of a random group of one width, and how many of it each node is linked to, so that no node stands alone.
 LINK_ROWS, LINKS = 128, 8
-#: Least number of cells, so that small tables keep all cores busy; and what a cell reports per node.
-LEAST_CELLS, REPORT = 16, 16
+#: Least number of cells, so that small tables keep all cores busy.
+LEAST_CELLS = 16
 #: Rounds end early when the sum of all cosines grows by less than this share.
 SETTLED = 1e-3
 BEAM, EXPAND, SEARCH_ROUNDS = 160, 40, 12
@@ -304,7 +304,7 @@ def _descend(graph: Graph) -> DataFrame:
     known = cut_lineage(graph.nodes.select("node", "half").join(kth, "node", "left").select(
         F.col("node").alias("id"), "half", F.coalesce("kth", F.lit(-9.0).cast("float")).alias("kth")))
     needed = around.select(F.col("cell").alias("place"), F.col("other").alias("id")).distinct().join(known, "id")
-    pairs = around.groupBy("cell").cogroup(needed.groupBy("place")).applyInArrow(_local_join(REPORT, POOL), EDGES)
+    pairs = around.groupBy("cell").cogroup(needed.groupBy("place")).applyInArrow(_local_join(NEIGHBOURS, POOL), EDGES)
     return _kept(graph, pairs.unionByName(graph.edges))
 
 
