@@ -30,6 +30,8 @@ LEAST_CELLS = 16
 #: Rounds end early when the sum of all cosines grows by less than this share.
 SETTLED = 1e-3
 BEAM, EXPAND, SEARCH_ROUNDS = 160, 40, 12
+#: Recall that a search must reach on as many of its queries, drawn by hash.
+WANTED, PROBES = 0.9, 200
 EDGES = "node long, other long, near float"
 
 
@@ -358,6 +360,48 @@ def search(
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _kth(graph: Graph, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, kth, wanted): cosine of the k-th nearest other row by brute force, and how many there are up to k."""
+    asked = probes.select("id", _single("vector").alias("single")).collect()
+    queries = np.array([r["id"] for r in asked], dtype=np.int64)
+    sights = [np.frombuffer(r["single"], dtype="<f4") for r in asked]
+
+    def run(batches):
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            sizes, row, parts = _by_width(batch["single"], "<f4")
+            out = []
+            for size, x in parts.items():
+                mine = np.empty(len(x), dtype=np.int64)
+                mine[row[sizes == size]] = ids[sizes == size]
+                for query, sight in zip(queries, sights):
+                    if sight.nbytes == size:
+                        near = np.where(mine == query, -9, x @ sight).astype(np.float32)
+                        top = np.argpartition(-near, min(k, len(near)) - 1)[:k]
+                        top = top[near[top] > -9]
+                        out.append((np.full(len(top), query), mine[top], near[top]))
+            if out:
+                yield from _edges(*(np.concatenate(part) for part in zip(*out))).to_batches()
+
+    pairs = graph.members.select("id", _single("vector").alias("single")).mapInArrow(run, EDGES)
+    turn = Window.partitionBy("node").orderBy(F.desc("near"))
+    best = pairs.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= k)
+    return best.groupBy(F.col("node").alias("query_id")).agg(F.min("near").alias("kth"), F.count("*").alias("wanted"))
+
+
+def search_until(graph: Graph, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM, wanted: float = WANTED) -> DataFrame:
+    """:func:`search` with a beam widened until its recall on queries drawn by hash, against brute force, is as wanted."""
+    drawn = usable(queries, id_col, vector_col).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(PROBES)
+    kth, most = cut_lineage(_kth(graph, cut_lineage(drawn), k)), graph.nodes.count()
+    total = kth.agg(F.sum("wanted")).first()[0] or 0
+    while True:
+        found = cut_lineage(search(graph, queries, k, id_col, vector_col, beam, max(1, beam // 4)))
+        right = found.join(F.broadcast(kth), "query_id").where(F.col("score") >= F.col("kth") - 1e-5).count()
+        if right >= wanted * total or beam >= most:
+            return found
+        beam *= 2
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision."""
     wide = lambda v: F.transform(v, lambda x: x.cast("double"))

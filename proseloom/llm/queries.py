@@ -129,7 +129,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    return ann.search(ann.build(vectors), vectors.where(F.col("vec_id") % 50 == 0))
+    return ann.search_until(ann.build(vectors), vectors.where(F.col("vec_id") % 50 == 0))
 
 
 @_query()

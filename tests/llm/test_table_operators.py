@@ -82,6 +82,16 @@ def test_nearest_neighbours_recall_over_several_groups(spark):
     assert np.isclose(one["score"], a @ b / np.linalg.norm(a) / np.linalg.norm(b), rtol=1e-12)
 
 
+def test_beam_widens_until_recall_is_reached(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=48)]) for i in range(3_000)]
+    vectors = _vectors(spark, rows)
+    graph, asked = ann.build(vectors), vectors.where("vec_id % 50 = 0")
+    assert _recall(rows, ann.search(graph, asked, beam=4, expand=1).collect()) < 0.9
+    got = ann.search_until(graph, asked, beam=4).collect()
+    assert len(got) == 60 * 5 and _recall(rows, got) >= 0.9
+
+
 def test_nearest_neighbours_of_copies_and_odd_vectors(spark):
     same = [(i, [1.0, 2.0]) for i in range(100, 160)]
     rows = same + [(0, [2.0, 1.0]), (50, [1.0, 2.0]), (1, [0.0, 0.0]), (2, None), (3, [NAN, 1.0]), (4, [1.0, None]), (5, [3.0]), (50, [1.0, 2.0])]
