@@ -281,6 +281,24 @@ def ret1(spark, sf):
     return pairs.select("brief_id", "passage_id", "overlap", "score")
 
 
+# What a brief's greedy choice can reach: fewer than k better ones need no more words, or its source
+# and fewer than k sources are among those.
+_REACH = """it AS (SELECT * FROM pr WHERE score > 0 AND n_words <= 1200),
+rc AS (SELECT a.brief_id, a.doc_id, a.par_no, a.n_words, a.score, a.k, count(b.doc_id) AS better, count(DISTINCT b.doc_id) AS sources,
+    count_if(b.doc_id = a.doc_id) AS own
+  FROM it a LEFT JOIN it b ON b.brief_id = a.brief_id AND b.n_words <= a.n_words
+    AND (b.score > a.score OR (b.score = a.score AND (b.doc_id, b.par_no) < (a.doc_id, a.par_no)))
+  GROUP BY ALL),
+reach AS (SELECT * FROM rc WHERE better < k OR (own = 0 AND sources < k))"""
+
+
+@query("ret1_reachable", f"""WITH {_retrieval_ctes()}, {_REACH} SELECT brief_id, doc_id || '-' || par_no AS passage_id, n_words,
+  CAST(score AS DOUBLE) AS score FROM reach""")
+def ret1_reachable(spark, sf):
+    reach = retrieve.reachable(X.briefs(spark, sf), cut_lineage(_paragraph_passages(spark, sf)))
+    return reach.select("brief_id", "passage_id", F.col("n_words").cast("long").alias("n_words"), "score")
+
+
 @query("ret2_ranked", f"""WITH {_retrieval_ctes()} SELECT brief_id, doc_id || '-' || par_no AS passage_id, CAST(score AS DOUBLE) AS score,
   row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) AS rank FROM pr WHERE score > 0
   QUALIFY row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) <= k""")
@@ -297,6 +315,26 @@ def ret3(spark, sf):
     return chosen.select("brief_id", "position", "passage_id", "source", "n_words", "score")
 
 
+# One step per candidate and pass: the first pass takes a source once, the second fills up.
+@query("ret3_paragraph_exemplars", f"""WITH RECURSIVE {_retrieval_ctes()}, {_REACH},
+li AS (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) AS n,
+    count(*) OVER (PARTITION BY brief_id) AS m FROM reach),
+pick AS (
+  SELECT brief_id, k, m, CAST(0 AS BIGINT) AS step, CAST(1200 AS BIGINT) AS left_words, CAST([] AS BIGINT[]) AS docs,
+    CAST([] AS VARCHAR[]) AS taken FROM li WHERE n = 1
+  UNION ALL
+  SELECT brief_id, k, m, step + 1, CASE WHEN ok THEN left_words - n_words ELSE left_words END,
+    CASE WHEN ok THEN list_append(docs, doc_id) ELSE docs END, CASE WHEN ok THEN list_append(taken, id) ELSE taken END
+  FROM (SELECT p.*, l.n_words, l.doc_id, l.doc_id || '-' || l.par_no AS id, len(taken) < p.k AND l.n_words <= left_words
+        AND NOT CASE WHEN step < p.m THEN list_contains(docs, l.doc_id) ELSE list_contains(taken, l.doc_id || '-' || l.par_no) END AS ok
+        FROM pick p JOIN li l ON l.brief_id = p.brief_id AND l.n = step % p.m + 1 WHERE step < 2 * p.m)),
+last AS (SELECT brief_id, taken FROM pick WHERE step = 2 * m)
+SELECT brief_id, CAST(pos AS BIGINT) AS position, taken[pos] AS passage_id FROM (SELECT *, unnest(range(1, len(taken) + 1)) AS pos FROM last)""")
+def ret3_paragraphs(spark, sf):
+    chosen = retrieve.select_exemplars(X.briefs(spark, sf), cut_lineage(_paragraph_passages(spark, sf)))
+    return chosen.select("brief_id", "position", "passage_id")
+
+
 @query("ret4_reasons", f"""WITH {_retrieval_ctes()} SELECT brief_id, doc_id || '-' || par_no AS passage_id,
   concat_ws('; ', CASE WHEN sb = 5 THEN 'same beat type (' || pbt || ')' WHEN sb > 0 THEN 'related beat (' || pbt || ')' END,
     CASE WHEN ov > 0 THEN ov || ' shared content word' || CASE WHEN ov = 1 THEN '' ELSE 's' END END) AS reasons

@@ -70,6 +70,21 @@ def test_pruned_selection_equals_brute_force(spark, seed):
         assert got.get(brief[0], []) == greedy(brief, passages), brief
 
 
+def test_a_term_of_every_passage_gives_few_pairs(spark):
+    rng = random.Random(4)
+    rows = [("b", f"{i}", f"s{i % 50}", i, 0, rng.choice(BEATS), rng.randint(20, 300), [], "winter " + rng.choice(["stone", "", "", ""]))
+            for i in range(4000)]
+    p = spark.createDataFrame(rows, "book_id string, passage_id string, source string, ord long, passage_no int, beat string, "
+                              "n_words long, speakers array<string>, text string")
+    b = spark.createDataFrame([("b", i, beat, [], text, "", 4, 1200) for i, (beat, text) in enumerate(
+        [("action", "winter"), ("dialogue", "winter stone")])],
+        "book_id string, brief_id int, beat string, characters array<string>, summary string, register string, k int, max_words int")
+    pairs = {r.brief_id: r["count"] for r in retrieve.candidate_pairs(b, p).groupBy("brief_id").count().collect()}
+    few = retrieve.champions(b, p).count()
+    assert few < 400 and pairs[0] == few and pairs[1] < few + 200
+    assert {r["count"] for r in retrieve.matched_pairs(b, p).groupBy("brief_id").count().collect()} == {4000}
+
+
 # --- streams --------------------------------------------------------------------
 
 
