@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.scalar import rows
 from ..operators import classify, formatting, manuscript, retrieve
-from ..session import cut_lineage
 from . import tables as X
 from .checks import book as B
 from .checks import sql as Q
@@ -295,7 +294,7 @@ reach AS (SELECT * FROM rc WHERE better < k OR (own = 0 AND sources < k))"""
 @query("ret1_reachable", f"""WITH {_retrieval_ctes()}, {_REACH} SELECT brief_id, doc_id || '-' || par_no AS passage_id, n_words,
   CAST(score AS DOUBLE) AS score FROM reach""")
 def ret1_reachable(spark, sf):
-    reach = retrieve.reachable(X.briefs(spark, sf), cut_lineage(_paragraph_passages(spark, sf)))
+    reach = retrieve.reachable(X.briefs(spark, sf), _paragraph_passages(spark, sf))
     return reach.select("brief_id", "passage_id", F.col("n_words").cast("long").alias("n_words"), "score")
 
 
@@ -303,15 +302,14 @@ def ret1_reachable(spark, sf):
   row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) AS rank FROM pr WHERE score > 0
   QUALIFY row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) <= k""")
 def ret2(spark, sf):
-    reach = retrieve.reachable(X.briefs(spark, sf), cut_lineage(_paragraph_passages(spark, sf)))
+    reach = retrieve.reachable(X.briefs(spark, sf), _paragraph_passages(spark, sf))
     # The k best of each brief; k is the brief's own.
     return retrieve.rank(reach).where(F.col("rank") <= F.col("b_k")).select("brief_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ret3_exemplars")
 def ret3(spark, sf):
-    # Passages are an artifact with several readers here: written once.
-    chosen = retrieve.select_exemplars(X.briefs(spark, sf), cut_lineage(X.passages(spark, sf)))
+    chosen = retrieve.select_exemplars(X.briefs(spark, sf), X.passages(spark, sf))
     return chosen.select("brief_id", "position", "passage_id", "source", "n_words", "score")
 
 
@@ -331,7 +329,7 @@ pick AS (
 last AS (SELECT brief_id, taken FROM pick WHERE step = 2 * m)
 SELECT brief_id, CAST(pos AS BIGINT) AS position, taken[pos] AS passage_id FROM (SELECT *, unnest(range(1, len(taken) + 1)) AS pos FROM last)""")
 def ret3_paragraphs(spark, sf):
-    chosen = retrieve.select_exemplars(X.briefs(spark, sf), cut_lineage(_paragraph_passages(spark, sf)))
+    chosen = retrieve.select_exemplars(X.briefs(spark, sf), _paragraph_passages(spark, sf))
     return chosen.select("brief_id", "position", "passage_id")
 
 

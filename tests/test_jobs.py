@@ -79,8 +79,8 @@ def test_a_term_of_every_passage_gives_few_pairs(spark):
     b = spark.createDataFrame([("b", i, beat, [], text, "", 4, 1200) for i, (beat, text) in enumerate(
         [("action", "winter"), ("dialogue", "winter stone")])],
         "book_id string, brief_id int, beat string, characters array<string>, summary string, register string, k int, max_words int")
-    pairs = {r.brief_id: r["count"] for r in retrieve.candidate_pairs(b, p).groupBy("brief_id").count().collect()}
-    few = retrieve.champions(b, p).count()
+    pairs = {r.brief_id: r["count"] for r in retrieve.candidate_pairs(b, retrieve.measured(p)).groupBy("brief_id").count().collect()}
+    few = retrieve.champions(b, retrieve.measured(p)).count()
     assert few < 400 and pairs[0] == few and pairs[1] < few + 200
     assert {r["count"] for r in retrieve.matched_pairs(b, p).groupBy("brief_id").count().collect()} == {4000}
 
