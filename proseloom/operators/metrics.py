@@ -107,16 +107,32 @@ def rates_from_counts(distinct: Column) -> dict[str, Column]:
     }
 
 
-def document_metrics(
-    df: DataFrame, key: Sequence[str], text: str = "text", delimiter: str = L.BLANK_LINE, keep_arrays: bool = False
+def _tokenised(df: DataFrame, key: Sequence[str], text: str, delimiter: str) -> DataFrame:
+    """Token arrays and raw counts of every document."""
+    base = with_structure(df.select(*key, F.col(text).alias("_text")), "_text", delimiter)
+    return base.withColumns(count_columns("_text")).withColumn("par_words", array_sum("_plen").cast("long"))
+
+
+def measures(
+    df: DataFrame, key: Sequence[str], text: str = "text", delimiter: str = L.BLANK_LINE, **more: Column
 ) -> DataFrame:
-    """Three counts and 24 metrics per document, in one narrow stage."""
-    arrays = ["_words", "_slen", "_plen", "_spans", "_tags", "_ps", "_psw"]
-    slen = F.col("_slen")
-    full = with_structure(df.select(*key, F.col(text).alias("_text")), "_text", delimiter).withColumns(
-        count_columns("_text")
-    )
-    sentence = {
+    """What one reading of every document leaves: counts, sentence lengths, distinct words.
+
+    The state adds up: :func:`fingerprints` measures any grouping of the rows as
+    one text, :func:`draft_metrics` each row alone, and neither reads a text.
+    Write it where both are wanted.  ``more`` columns are computed from the token
+    arrays of :func:`with_structure` in the same pass.
+    """
+    return sealed(_tokenised(df, key, text, delimiter), key, [
+        *COUNTS, "par_words", F.col("_slen").alias("lengths"), F.array_distinct("_words").alias("vocabulary"),
+        *[c.alias(name) for name, c in more.items()],
+    ])
+
+
+def _row_rates(distinct: Column) -> dict[str, Column]:
+    """The metrics of a row with ``lengths``."""
+    slen = F.col("lengths")
+    return {
         "sentence_mean_words": round_half_up(array_mean(slen)),
         "sentence_median_words": round_half_up(array_percentile(slen, 0.5)),
         "sentence_stdev_words": round_half_up(array_spread(slen)),
@@ -124,34 +140,53 @@ def document_metrics(
         "sentence_p90_words": round_half_up(array_percentile(slen, 0.9)),
         "sentence_fragment_rate": share(F.size(F.filter(slen, lambda n: n < 5)), F.size(slen)),
         "sentence_long_rate": share(F.size(F.filter(slen, lambda n: n > 30)), F.size(slen)),
-        "paragraph_mean_words": round_half_up(array_mean("_plen")),
+        "paragraph_mean_words": round_half_up(ratio(F.col("par_words"), F.col("n_paragraphs"))),
+        **rates_from_counts(distinct),
     }
-    rates = {**sentence, **rates_from_counts(F.size(F.array_distinct("_words")))}
-    return sealed(full, key, [
-        F.col("n_words").alias("word_count"),
-        F.col("n_sentences").alias("sentence_count"),
-        F.col("n_paragraphs").alias("paragraph_count"),
-        *[rates[name].alias(name) for name in L.METRIC_COLUMNS],
-        *(arrays if keep_arrays else []),
-    ])
+
+
+def _metric_columns(rates: dict[str, Column]) -> list[Column]:
+    return [
+        F.col("n_words").alias("word_count"), F.col("n_sentences").alias("sentence_count"),
+        F.col("n_paragraphs").alias("paragraph_count"), *[rates[name].alias(name) for name in L.METRIC_COLUMNS],
+    ]
+
+
+def draft_metrics(measured: DataFrame, key: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Three counts and 24 metrics of every row of :func:`measures`."""
+    rates = _row_rates(F.size("vocabulary"))
+    return sealed(measured, key, [*_metric_columns(rates), *keep])
+
+
+def document_metrics(
+    df: DataFrame, key: Sequence[str], text: str = "text", delimiter: str = L.BLANK_LINE, keep_arrays: bool = False
+) -> DataFrame:
+    """Three counts and 24 metrics per document, in one narrow stage."""
+    arrays = ["_words", "_slen", "_plen", "_spans", "_tags", "_ps", "_psw"]
+    full = _tokenised(df, key, text, delimiter).withColumn("lengths", F.col("_slen"))
+    rates = _row_rates(F.size(F.array_distinct("_words")))
+    return sealed(full, key, [*_metric_columns(rates), *(arrays if keep_arrays else [])])
 
 
 def pooled_fingerprint(
     df: DataFrame, group: Sequence[str], text: str = "text", delimiter: str = L.BLANK_LINE
 ) -> DataFrame:
-    """Metrics of a whole group measured as one text, never averaged.
+    """Metrics of a whole group measured as one text, never averaged."""
+    base = _tokenised(df, list(group), text, delimiter)
+    return fingerprints(
+        base.withColumn("lengths", F.col("_slen")).withColumn("vocabulary", F.array_distinct("_words")), group)
+
+
+def fingerprints(measured: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Metrics of each group of :func:`measures`, as if measured as one text.
 
     Each document becomes ``(kind, item, n)`` facts: its additive counts, its
     sentence lengths and its distinct words.  One aggregation by ``(group, kind,
     item)`` with map-side combine turns them into a small histogram, a
-    vocabulary and totals per group, so the text is read and tokenised once and
-    a group holding a third of all rows never meets in one task.
+    vocabulary and totals per group, so a group holding a third of all rows
+    never meets in one task.
     """
     group = list(group)
-    base = with_structure(df.select(*group, F.col(text).alias("_text")), "_text", delimiter).withColumns(
-        count_columns("_text")
-    )
-    base = base.withColumn("par_words", array_sum("_plen"))
 
     def fact(kind: str, item: Column, n: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), item.alias("item"), n.cast("long").alias("n"))
@@ -159,10 +194,10 @@ def pooled_fingerprint(
     names = [*COUNTS, "par_words"]
     facts = F.concat(
         F.array(*[fact("count", F.lit(name), F.col(name)) for name in names]),
-        F.transform("_slen", lambda n: fact("length", n.cast("string"), F.lit(1))),
-        F.transform(F.array_distinct("_words"), lambda w: fact("word", w, F.lit(1))),
+        F.transform("lengths", lambda n: fact("length", n.cast("string"), F.lit(1))),
+        F.transform("vocabulary", lambda w: fact("word", w, F.lit(1))),
     )
-    tallies = base.select(*group, F.inline(facts)).groupBy(*group, "kind", "item").agg(F.sum("n").alias("n"))
+    tallies = measured.select(*group, F.inline(facts)).groupBy(*group, "kind", "item").agg(F.sum("n").alias("n"))
     is_length = F.col("kind") == "length"
     length = F.when(is_length, F.col("item").try_cast("bigint"))
     freq = F.when(is_length, F.col("n"))
@@ -180,7 +215,7 @@ def pooled_fingerprint(
         F.percentile(length, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.coalesce(freq, F.lit(0))).alias("s_pct"),
     )
     pct = lambda i: F.coalesce(F.get("s_pct", i), F.lit(0.0))
-    sentence = {
+    rates = {
         "sentence_mean_words": round_half_up(ratio(F.col("s_sum"), F.col("s_n"))),
         "sentence_median_words": round_half_up(pct(1)),
         "sentence_stdev_words": round_half_up(spread(F.col("s_n"), F.col("s_sum"), F.col("s_sq"))),
@@ -189,15 +224,9 @@ def pooled_fingerprint(
         "sentence_fragment_rate": share(F.col("s_short"), F.col("s_n")),
         "sentence_long_rate": share(F.col("s_long"), F.col("s_n")),
         "paragraph_mean_words": round_half_up(ratio(F.col("par_words"), F.col("n_paragraphs"))),
+        **rates_from_counts(F.col("n_distinct")),
     }
-    rates = {**sentence, **rates_from_counts(F.col("n_distinct"))}
-    return zero.select(
-        *group,
-        F.col("n_words").alias("word_count"),
-        F.col("n_sentences").alias("sentence_count"),
-        F.col("n_paragraphs").alias("paragraph_count"),
-        *[rates[name].alias(name) for name in L.METRIC_COLUMNS],
-    )
+    return zero.select(*group, *_metric_columns(rates))
 
 
 def merge_metrics(metrics: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.scalar import rows
-from ..operators import classify, formatting, manuscript, retrieve
+from ..operators import classify, corpus, formatting, manuscript, retrieve
+from ..session import shared_dir
 from . import tables as X
 from .checks import book as B
 from .checks import sql as Q
@@ -232,6 +235,17 @@ def agg15(spark, sf):
         F.transform("words_per_chapter", lambda x: x.cast("string")), ",").alias("words_per_chapter"))
 
 
+@query("src7_document_stats", f"""WITH {CH} SELECT st.book_id, b.doc_id, CAST({Q.n_words('any_value(story)')} AS BIGINT) AS story_words,
+  count(chapter_no) AS chapter_count, coalesce(string_agg(CAST(n_words AS VARCHAR), ',' ORDER BY chapter_no), '') AS words_per_chapter
+FROM bounds b JOIN stories st USING (doc_id) LEFT JOIN chapters c USING (doc_id) GROUP BY st.book_id, b.doc_id""")
+def src7_stats(spark, sf):
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    corpus.build(X.stories(spark, sf), root, ["document_stats"])
+    counts = F.array_join(F.transform("words_per_chapter", lambda x: x.cast("string")), ",")
+    return corpus.read(spark, root, "document_stats").select(
+        "book_id", "doc_id", "story_words", "chapter_count", counts.alias("words_per_chapter"))
+
+
 # --- retrieval ------------------------------------------------------------------------------
 
 # Passages for the checked pairs are the paragraphs of the stories.
@@ -249,13 +263,19 @@ def _paragraph_passages(spark, sf):
         S.beat("text", F.col("n_words")).alias("beat"), S.speakers("text").alias("speakers"))
 
 
-def _retrieval_ctes() -> str:
-    from .queries_text import _PAR, _beat_cte, _speaker_sql
+def _retrieval_ctes(passages: bool = False) -> str:
+    """Scored pairs over paragraphs, or over passages with WITH RECURSIVE."""
+    from .queries_text import _FOLD, _PAR, _beat_cte, _speaker_sql
+
+    if passages:
+        cut = f"{_FOLD}, pb AS (SELECT doc_id, passage_no AS par_no, book_id, text FROM psg)"
+    else:
+        cut = f"{_PAR}, pb AS (SELECT p.doc_id, p.par_no, s.book_id, p.text FROM par p JOIN stories s USING (doc_id))"
 
     near = " OR ".join(f"(p.beat = '{a}' AND b.beat IN {Q.listed(n)})" for a, n in L.ADJACENT_BEATS.items())
-    return f"""{STORY}, {_PAR}, pb AS (SELECT p.doc_id, p.par_no, s.book_id, p.text FROM par p JOIN stories s USING (doc_id)),
+    return f"""{STORY}, {cut},
 {_beat_cte('pb', 'book_id, doc_id, par_no, text').replace('text, text,', 'text,').replace('n, sp, CAST', 'n, sp, CAST')},
-sp0 AS (SELECT doc_id, par_no, {_speaker_sql('text')} AS xs FROM par),
+sp0 AS (SELECT doc_id, par_no, {_speaker_sql('text')} AS xs FROM pb),
 sp1 AS (SELECT doc_id, par_no, unnest(xs) AS name, generate_subscripts(xs, 1) AS i FROM sp0),
 sp2 AS (SELECT doc_id, par_no, name, count(*) AS c, min(i) AS f FROM sp1 GROUP BY ALL),
 sp3 AS (SELECT doc_id, par_no, name, row_number() OVER (PARTITION BY doc_id, par_no ORDER BY c DESC, f) AS rk FROM sp2),
@@ -267,7 +287,7 @@ br AS (SELECT item_id AS brief_id, 'src' || (item_id % 20) AS book_id, {_BEATS}[
   list_distinct(list_filter(list_append({Q.words('text')}, 'quiet'), lambda z: length(z) > 3 AND z NOT IN {_STOP})) AS terms FROM benchmark),
 pr0 AS (SELECT b.brief_id, b.k, p.doc_id, p.par_no, p.n_words, len(list_intersect(b.terms, p.terms)) AS ov,
   len(list_filter(p.speakers, lambda z: list_contains(b.wanted, lower(z)))) AS mt,
-  len(p.speakers) AS ns, len(b.wanted) AS nw, b.beat AS bb, p.beat AS pbt,
+  len(p.speakers) AS ns, len(b.wanted) AS nw, p.speakers, b.wanted, b.beat AS bb, p.beat AS pbt,
   CASE WHEN p.beat = b.beat THEN 5.0 WHEN {near} THEN 1.5 ELSE 0.0 END AS sb FROM br b JOIN pas p USING (book_id)),
 pr AS (SELECT *, {Q.rnd("sb + CASE WHEN mt > 0 THEN 3.0 * mt WHEN nw > 0 AND ns = 0 AND bb <> 'dialogue' THEN 0.5 ELSE 0 END + least(ov, 6) * 0.75 + CASE WHEN n_words BETWEEN 80 AND 260 THEN 1 WHEN n_words < 40 THEN -1 ELSE 0 END")} AS score
   FROM pr0)"""
@@ -307,14 +327,8 @@ def ret2(spark, sf):
     return retrieve.rank(reach).where(F.col("rank") <= F.col("b_k")).select("brief_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("ret3_exemplars")
-def ret3(spark, sf):
-    chosen = retrieve.select_exemplars(X.briefs(spark, sf), X.passages(spark, sf))
-    return chosen.select("brief_id", "position", "passage_id", "source", "n_words", "score")
-
-
 # One step per candidate and pass: the first pass takes a source once, the second fills up.
-@query("ret3_paragraph_exemplars", f"""WITH RECURSIVE {_retrieval_ctes()}, {_REACH},
+_CHOICE = f"""{_REACH},
 li AS (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY score DESC, doc_id, par_no) AS n,
     count(*) OVER (PARTITION BY brief_id) AS m FROM reach),
 pick AS (
@@ -326,18 +340,30 @@ pick AS (
   FROM (SELECT p.*, l.n_words, l.doc_id, l.doc_id || '-' || l.par_no AS id, len(taken) < p.k AND l.n_words <= left_words
         AND NOT CASE WHEN step < p.m THEN list_contains(docs, l.doc_id) ELSE list_contains(taken, l.doc_id || '-' || l.par_no) END AS ok
         FROM pick p JOIN li l ON l.brief_id = p.brief_id AND l.n = step % p.m + 1 WHERE step < 2 * p.m)),
-last AS (SELECT brief_id, taken FROM pick WHERE step = 2 * m)
-SELECT brief_id, CAST(pos AS BIGINT) AS position, taken[pos] AS passage_id FROM (SELECT *, unnest(range(1, len(taken) + 1)) AS pos FROM last)""")
+last AS (SELECT brief_id, taken FROM pick WHERE step = 2 * m),
+chosen AS (SELECT brief_id, CAST(pos AS BIGINT) AS position, taken[pos] AS passage_id
+  FROM (SELECT *, unnest(range(1, len(taken) + 1)) AS pos FROM last))"""
+
+
+@query("ret3_exemplars", f"""WITH RECURSIVE {_retrieval_ctes(True)}, {_CHOICE}
+SELECT c.brief_id, position, c.passage_id, CAST(l.doc_id AS VARCHAR) AS source, l.n_words, CAST(l.score AS DOUBLE) AS score
+FROM chosen c JOIN li l ON l.brief_id = c.brief_id AND l.doc_id || '-' || l.par_no = c.passage_id""")
+def ret3(spark, sf):
+    chosen = retrieve.select_exemplars(X.briefs(spark, sf), X.passages(spark, sf))
+    return chosen.select("brief_id", "position", "passage_id", "source", "n_words", "score")
+
+
+@query("ret3_paragraph_exemplars", f"""WITH RECURSIVE {_retrieval_ctes()}, {_CHOICE} SELECT * FROM chosen""")
 def ret3_paragraphs(spark, sf):
     chosen = retrieve.select_exemplars(X.briefs(spark, sf), _paragraph_passages(spark, sf))
     return chosen.select("brief_id", "position", "passage_id")
 
 
 @query("ret4_reasons", f"""WITH {_retrieval_ctes()} SELECT brief_id, doc_id || '-' || par_no AS passage_id,
-  concat_ws('; ', CASE WHEN sb = 5 THEN 'same beat type (' || pbt || ')' WHEN sb > 0 THEN 'related beat (' || pbt || ')' END,
-    CASE WHEN ov > 0 THEN ov || ' shared content word' || CASE WHEN ov = 1 THEN '' ELSE 's' END END) AS reasons
-FROM pr WHERE ov > 0 AND mt = 0""")
+  concat_ws('; ', CASE WHEN sb = 5 THEN 'beat matches: ' || pbt WHEN sb > 0 THEN 'beat is near: ' || pbt END,
+    CASE WHEN mt > 0 THEN 'with ' || array_to_string(list_filter(speakers, lambda z: list_contains(wanted, lower(z))), ', ') END,
+    CASE WHEN ov > 0 THEN 'terms in common: ' || ov END) AS reasons
+FROM pr WHERE ov > 0 OR mt > 0""")
 def ret4(spark, sf):
     pairs = retrieve.matched_pairs(X.briefs(spark, sf), _paragraph_passages(spark, sf))
-    return pairs.where((F.col("overlap") > 0) & (F.size("matched") == 0)).select(
-        "brief_id", "passage_id", F.array_join("reasons", "; ").alias("reasons"))
+    return pairs.select("brief_id", "passage_id", F.array_join("reasons", "; ").alias("reasons"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.scalar import rows
-from ..operators import clean, formatting, metrics, profile, score, structure
-from ..session import shared_dir
-from ..sources import artifacts, scan
+from ..operators import clean, corpus, formatting, metrics, profile, score, structure
+from ..session import cut_lineage, shared_dir
+from ..sources import scan
 from . import tables as X
 from .checks import sql as Q
 from .checks import text as C
@@ -109,15 +109,6 @@ def src6(spark, sf):
     return X.library(spark, sf).select("doc_id", clean.prose("text").alias("prose"))
 
 
-@query("src7_corpus_artifact", f"WITH {C.pooled_ctes('documents', 'source', 'text', LINE)} "
-                               f"SELECT source AS book_id, word_count, sentence_count FROM fingerprints")
-def src7(spark, sf):
-    prints = metrics.pooled_fingerprint(X.documents(spark, sf), ["source"], "text", LINE)
-    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    artifacts.write_corpus({"fingerprints": prints.withColumnRenamed("source", "book_id")}, root)
-    return artifacts.read_corpus(spark, root, "fingerprints").select("book_id", "word_count", "sentence_count")
-
-
 # The same patterns in the SQL dialect: flags in front, dot over lines, backslash groups.
 _REDACT_SQL = [
     (name, ("(?i)" if ignore_case else "") + pattern.replace(r"[\s\S]", "(?s:.)"), repl.replace("$1", r"\1"))
@@ -237,7 +228,28 @@ def txt8(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("txt9_passages")
+# The ordered fold as a recursion over the paragraphs of every document.
+_FOLD = f"""prosed AS (SELECT book_id, doc_id, {_prose_sql('text')} AS text FROM stories), {_PAR.replace('FROM stories', 'FROM prosed')},
+pp AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY par_no) AS i, text, {Q.n_words('text')} AS n,
+    len({Q.spoken('text')}) > 0 AS speech FROM par WHERE {Q.n_words('text')} > 0),
+fold AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS held,
+    CAST(0 AS BIGINT) AS n, '' AS run FROM pp
+  UNION ALL
+  SELECT doc_id, i, place, place + CAST(over OR closes AS BIGINT), CASE WHEN over OR closes THEN 0 ELSE held END,
+    CASE WHEN over OR closes THEN 0 ELSE n END, CASE WHEN over OR closes THEN '' ELSE run END
+  FROM (SELECT *, NOT over AND NOT speech AND n >= 60 AS closes FROM (
+    SELECT doc_id, i, over, speech, g + CAST(held > 0 AND (over OR seam) AS BIGINT) AS place, CASE WHEN seam THEN 1 ELSE held + 1 END AS held,
+      CASE WHEN seam THEN pn ELSE n + pn END AS n, CASE WHEN speech OR seam OR run = '' THEN sr ELSE run END AS run
+    FROM (SELECT *, NOT over AND run <> '' AND run <> sr AND n >= 25 AS seam FROM (
+      SELECT f.doc_id, p.i, f.g, f.held, f.n, f.run, p.n AS pn, p.speech, p.n >= 320 AS over,
+        CASE WHEN p.speech THEN 'speech' ELSE 'narration' END AS sr
+      FROM fold f JOIN pp p ON p.doc_id = f.doc_id AND p.i = f.i + 1))))),
+psg AS (SELECT st.book_id, f.doc_id, f.place AS passage_no, f.doc_id || '-' || f.place AS passage_id,
+    string_agg(p.text, chr(10) || chr(10) ORDER BY p.i) AS text, CAST(sum(p.n) AS BIGINT) AS n_words
+  FROM fold f JOIN pp p ON p.doc_id = f.doc_id AND p.i = f.i JOIN stories st ON st.doc_id = f.doc_id GROUP BY ALL HAVING sum(p.n) >= 20)"""
+
+
+@query("txt9_passages", f"WITH RECURSIVE {STORY}, {_FOLD} SELECT book_id, passage_id, passage_no, n_words, text FROM psg")
 def txt9(spark, sf):
     return X.passages(spark, sf).select("book_id", "passage_id", "passage_no", "n_words", "text")
 
@@ -321,6 +333,26 @@ def _merged_sql() -> str:
             f"WHERE {w} > 0 GROUP BY book_id")
 
 
+def _stored(spark, sf, *tables):
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    corpus.build(X.stories(spark, sf), root, tables)
+    return corpus.read(spark, root, tables[-1])
+
+
+@query("src7_corpus_artifact", f"WITH {STORY}, {C.pooled_ctes('stories', 'book_id')} SELECT book_id, {_ALL} FROM fingerprints")
+def src7(spark, sf):
+    return _stored(spark, sf, "measures", "fingerprints").select("book_id", *L.COUNT_COLUMNS, *L.METRIC_COLUMNS)
+
+
+@query("src7_passages", f"""WITH RECURSIVE {STORY}, {_FOLD}, {_beat_cte('psg', 'passage_id')}, {C.metric_ctes('psg', 'passage_id')}
+SELECT b.passage_id, b.n_words, b.beat, m.sentence_count, m.paragraph_count, m.sentence_median_words, m.texture_commas_per_1k
+FROM beats b JOIN metrics m USING (passage_id)""")
+def src7_passages(spark, sf):
+    stored = _stored(spark, sf, "passages")
+    picked = ("sentence_count", "paragraph_count", "sentence_median_words", "texture_commas_per_1k")
+    return stored.select("passage_id", "n_words", "beat", *[F.col(f"metrics.{c}").alias(c) for c in picked])
+
+
 @query("agg3_weighted_merge", f"WITH {STORY}, {C.metric_ctes('stories', 'book_id, doc_id')} {_merged_sql()}")
 def agg3(spark, sf):
     per_doc = metrics.document_metrics(X.stories(spark, sf), ["book_id", "doc_id"])
@@ -472,31 +504,26 @@ _BASE = f"{STORY}, {C.pooled_ctes('stories', 'book_id')}, drafts_m AS (SELECT *
 _DEV = f"{_BASE}, {C.deviation_ctes('drafts_m', 'fingerprints', 'book_id')}"
 
 
-def _scored(spark, sf):
-    drafts = X.stories(spark, sf)
-    return drafts, metrics.pooled_fingerprint(drafts, ["book_id"])
+def _deviations(spark, sf):
+    """Every text is read once: group prints and draft rows derive from the same measures."""
+    measured = cut_lineage(metrics.measures(X.stories(spark, sf), ["doc_id", "book_id"]))
+    rows = metrics.draft_metrics(measured, ["doc_id", "book_id"])
+    return score.deviations(rows, metrics.fingerprints(measured, ["book_id"]), ["doc_id"], ["book_id"])
 
 
 @query("sco1_drift", f"WITH {_DEV} SELECT doc_id, metric, draft, author, drift, direction FROM dev")
 def sco1(spark, sf):
-    drafts, prints = _scored(spark, sf)
-    m = metrics.document_metrics(drafts, ["doc_id", "book_id"])
-    return score.deviations(m, prints, ["doc_id"], ["book_id"]).select(
-        "doc_id", "metric", "draft", "author", "drift", "direction")
+    return _deviations(spark, sf).select("doc_id", "metric", "draft", "author", "drift", "direction")
 
 
 @query("sco2_severity", f"WITH {_DEV} SELECT doc_id, metric, severity FROM dev")
 def sco2(spark, sf):
-    drafts, prints = _scored(spark, sf)
-    m = metrics.document_metrics(drafts, ["doc_id", "book_id"])
-    return score.deviations(m, prints, ["doc_id"], ["book_id"]).select("doc_id", "metric", "severity")
+    return _deviations(spark, sf).select("doc_id", "metric", "severity")
 
 
 @query("sco3_ranked_deviations", f"WITH {_DEV} SELECT doc_id, position, metric, severity FROM dev")
 def sco3(spark, sf):
-    drafts, prints = _scored(spark, sf)
-    m = metrics.document_metrics(drafts, ["doc_id", "book_id"])
-    return score.deviations(m, prints, ["doc_id"], ["book_id"]).select("doc_id", "position", "metric", "severity")
+    return _deviations(spark, sf).select("doc_id", "position", "metric", "severity")
 
 
 _REP = f"{STORY}, {C.metric_ctes('stories', 'doc_id')}, {C.repetition_ctes('stories')}"
@@ -543,27 +570,29 @@ fid AS (SELECT m.doc_id, m.book_id, m.word_count, f.word_count AS a_words, coale
   FROM metrics m JOIN fingerprints f USING (book_id) LEFT JOIN pd USING (doc_id) LEFT JOIN pr USING (doc_id))"""
 
 
-def _reports(spark, sf):
-    drafts, prints = _scored(spark, sf)
-    return score.style_reports(drafts, prints, ["doc_id"], ["book_id"])
+def _reports(spark, sf, *columns):
+    measured = cut_lineage(score.measured_drafts(X.stories(spark, sf), ["doc_id", "book_id"]))
+    prints = metrics.fingerprints(measured, ["book_id"])
+    return score.reports(measured, prints, ["doc_id"], ["book_id"], columns=columns).select("doc_id", *columns)
 
 
 @query("sco10_fidelity", f"WITH {_FID} SELECT doc_id, fidelity, CAST(nd AS BIGINT) AS n_deviations, "
                          f"CAST(nr AS BIGINT) AS n_repetitions FROM fid")
 def sco10(spark, sf):
-    return _reports(spark, sf).select("doc_id", "fidelity", "n_deviations", "n_repetitions")
+    return _reports(spark, sf, "fidelity", "n_deviations", "n_repetitions")
 
 
 @query("sco11_verdict", f"""WITH {_FID} SELECT doc_id,
   CASE WHEN fidelity >= 80 THEN 'pass' WHEN fidelity >= 60 THEN 'revise' ELSE 'fail' END AS verdict,
   a_words < 2000 AS thin_corpus, word_count < 300 AS short_draft FROM fid""")
 def sco11(spark, sf):
-    return _reports(spark, sf).select("doc_id", "verdict", "thin_corpus", "short_draft")
+    return _reports(spark, sf, "verdict", "thin_corpus", "short_draft")
 
 
 @query("sco12_instructions")
 def sco12(spark, sf):
-    return _reports(spark, sf).select("doc_id", F.posexplode(rows("instructions")).alias("position", "instruction"))
+    return _reports(spark, sf, "instructions").select(
+        "doc_id", F.posexplode(rows("instructions")).alias("position", "instruction"))
 
 
 _SETS = list(L.ADVISORY_PHRASES)
@@ -595,8 +624,7 @@ fid AS (SELECT m.doc_id, m.source, coalesce(nd, 0) AS nd,
   WHEN fidelity >= 60 THEN 'revise' ELSE 'fail' END AS verdict, CAST(nd AS BIGINT) AS n_deviations FROM fid""")
 def style_reports(spark, sf):
     """Each document scored against the pooled fingerprint of its own source."""
-    docs = X.documents(spark, sf)
-    prints = metrics.pooled_fingerprint(docs, ["source"], "text", LINE)
-    report = score.style_reports(docs, prints, ["doc_id"], ["source"], "text", LINE)
-    return report.select("doc_id", "source", "fidelity", "verdict", "n_deviations")
+    measured = cut_lineage(score.measured_drafts(X.documents(spark, sf), ["doc_id", "source"], "text", LINE))
+    prints = metrics.fingerprints(measured, ["source"])
+    return score.reports(measured, prints, ["doc_id"], ["source"], columns=("fidelity", "verdict", "n_deviations"))
 

@@ -11,7 +11,7 @@ LOG_SCHEMA = (
     "_corrupt_record string"
 )
 LOG_KINDS = ("phase", "audit", "error")
-CORPUS_TABLES = ("passages", "fingerprints", "document_stats")
+CORPUS_TABLES = ("measures", "passages", "fingerprints", "document_stats")
 
 
 def write_corpus(tables: dict[str, DataFrame], root: str, partition: str = "book_id") -> None:

@@ -1,13 +1,15 @@
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from proseloom.functions import text as T
-from proseloom.operators import classify, clean, continuity, evidence, findings, formatting, inventory, manuscript
+from proseloom.operators import classify, clean, continuity, corpus, evidence, findings, formatting, inventory, manuscript
 from proseloom.operators import metrics, profile, score, structure
 from proseloom.operators.running import running
+from proseloom.session import cut_lineage, shared_dir
 from proseloom.sources import scan
 
 STORY = (
@@ -404,3 +406,34 @@ def test_a_gap_means_no_previous_handoff(spark):
 
 def test_words_column_is_reused(spark):
     assert one(docs(spark, "a b").select(T.word_count("text").alias("n"))).n == 2
+
+
+# --- stored measures ---------------------------------------------------------------
+
+
+def test_measures_add_up_and_reports_read_no_text(spark):
+    d = docs(spark, STORY, "", "A b c. D e.\n\nF g, \"h i\" said J.")
+    measured = cut_lineage(score.measured_drafts(d, ["g", "doc_id"]))
+    prints = metrics.fingerprints(measured, ["g"])
+    assert one(prints) == one(metrics.pooled_fingerprint(d, ["g"]))
+    rows = {r.doc_id: r for r in metrics.draft_metrics(measured, ["g", "doc_id"]).collect()}
+    assert rows == {r.doc_id: r for r in metrics.document_metrics(d, ["g", "doc_id"]).collect()}
+    report = score.reports(measured, prints, ["doc_id"], ["g"], columns=("fidelity", "verdict"))
+    assert report.columns == ["doc_id", "g", "fidelity", "verdict"]
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "split(" not in plan and "instruction" not in plan.split("\n")[0]
+
+
+def test_a_rebuild_replaces_its_books_only(spark):
+    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    schema = "book_id string, doc_id long, text string"
+    first = spark.createDataFrame([("a", 1, STORY), ("b", 2, STORY), ("b", 3, "One two.")], schema)
+    corpus.build(first, root)
+    before = {r.book_id: r.word_count for r in corpus.read(spark, root, "fingerprints").collect()}
+    corpus.build(spark.createDataFrame([("b", 2, "Only three words.")], schema), root)
+    after = {r.book_id: r.word_count for r in corpus.read(spark, root, "fingerprints").collect()}
+    assert after == {"a": before["a"], "b": 3} and before["b"] > 3
+    stats = {(r.book_id, r.doc_id) for r in corpus.read(spark, root, "document_stats").collect()}
+    assert stats == {("a", 1), ("b", 2)} == {(r.book_id, r.doc_id) for r in corpus.read(spark, root, "measures").collect()}
+    passages = corpus.read(spark, root, "passages").collect()
+    assert {r.book_id for r in passages} <= {"a"} and all(r.metrics.word_count == r.n_words for r in passages)
