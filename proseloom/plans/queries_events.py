@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..operators import continuity as N
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sources import artifacts
 from ..streaming import events as E
 from ..streaming import jobs as J
+from ..streaming import ordered as O
+from ..streaming import sinks
 from . import tables as X
 from .checks import sql as Q
 from .registry import query
@@ -385,10 +387,10 @@ def str6_islands(spark, sf):
     return E.quiet_sessions(X.run_events(spark, sf), _GAP)
 
 
-def _parts(df):
+def _parts(df, *more):
     k = F.get_json_object("props", "$.k").try_cast("int")
     return df.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("part_key"), F.col("event_id").alias("seq"),
-                     F.repeat(F.lit("word "), k % 4).alias("text"))
+                     F.repeat(F.lit("word "), k % 4).alias("text"), *more)
 
 
 @query("str7_text_deltas", """WITH p AS (SELECT user_id AS run_id, event_type AS part_key, event_id AS seq,
@@ -479,16 +481,97 @@ def str1_stream(spark, sf):
     return spark.read.parquet(out)
 
 
+def _current(spark, stream, keys, merge, partial):
+    """Rows of an upsert sink after all that is there now."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sinks.run_batches(stream, sinks.upsert(f"{root}/table", keys, merge, partial), f"{root}/checkpoint")
+    return sinks.read_current(spark, f"{root}/table")
+
+
 @query("str4_stream_progress", _STATE4)
 def str4_stream(spark, sf):
-    out = _run(spark, E.progress_state(_stream(spark, sf)), "update")
-    return _state_columns(J.latest_rows(spark, out, ["run_id"]))
+    return _state_columns(E.progress_rows(_current(spark, _stream(spark, sf), ["run_id"], E.merge_progress, E.progress_parts)))
 
 
 @query("str5_stream_agents", _AGENTS)
 def str5_stream(spark, sf):
-    out = _run(spark, E.agent_status(_stream(spark, sf)), "update")
-    return _agent_columns(J.latest_rows(spark, out, ["run_id", "agent_key"]))
+    rows = _current(spark, _stream(spark, sf), ["run_id", "agent_key"], E.merge_agents, E.agent_parts)
+    return _agent_columns(E.agent_states(rows))
+
+
+# Arrival in eight files by time, every fifth event two files late.
+_ARRIVED = """span AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) - min(epoch_us(ts)) + 1 AS w FROM events),
+arrived AS (SELECT event_id AS seq, epoch_us(ts) AS us, least(7, (epoch_us(ts) - a) * 8 // w + CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END) AS file
+  FROM events, span),
+seen AS (SELECT file, max(max(us)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM arrived GROUP BY file)"""
+
+
+def _arrivals(spark, sf):
+    """The events as a stream of eight files, some rows behind their time."""
+    events = X.run_events(spark, sf)
+    us = F.unix_micros("at")
+    span = events.agg(F.min(us).alias("_a"), (F.max(us) - F.min(us) + 1).alias("_w"))
+    late = F.when(F.col("seq") % 5 == 0, 2).otherwise(0)
+    file = F.least(F.lit(7), F.floor((us - F.col("_a")) * 8 / F.col("_w")) + late).cast("int")
+    # One row of two numbers meets every event.
+    placed = cut_lineage(events.join(F.broadcast(span)).withColumn("file", file).drop("_a", "_w"))
+    folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    for n in range(8):
+        placed.where(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(J.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("str1_late_rows", f"""WITH {_ARRIVED} SELECT seq, coalesce(us < before - 600000000, false) AS late
+FROM arrived JOIN seen USING (file)""")
+def str1_late(spark, sf):
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sinks.run_batches(_arrivals(spark, sf), sinks.split_late(root, E.WATERMARK), f"{root}/checkpoint")
+    sides = [sinks.read_side(spark, root, late).select("seq", F.lit(late).alias("late")) for late in (False, True)]
+    return sides[0].unionByName(sides[1])
+
+
+# The time up to which a stream of all events has decided.
+_UNTIL = "(SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)"
+
+
+@query("str5_stream_changes", f"""WITH {EV}, a AS (SELECT run_id, epoch_us(tat) // 1000 AS ms, seq * 2 + 1 AS ord, session_id,
+    coalesce(session_id, 'orchestrator') AS agent_key, {Q.has(Q.trim('text'), L.DONE_SIGNAL)} AS done,
+    CASE WHEN session_id IS NULL AND {Q.has('text', L.HANDOVER)} THEN 'waiting' ELSE 'working' END AS status FROM run_events),
+b AS (SELECT run_id, agent_key, ms, ord, done, status FROM a UNION ALL
+  SELECT run_id, 'orchestrator', ms, ord + 1, false, 'working' FROM a WHERE done AND session_id IS NOT NULL),
+c AS (SELECT *, CASE WHEN bool_or(done) OVER (w ROWS UNBOUNDED PRECEDING) THEN 'done' ELSE status END AS now FROM b WHERE ms <= {_UNTIL}
+  WINDOW w AS (PARTITION BY run_id, agent_key ORDER BY ord)),
+d AS (SELECT *, coalesce(lag(now) OVER w, '') AS before, lag(ms) OVER w AS prev_ms, lead(ms) OVER w AS next_ms FROM c
+  WINDOW w AS (PARTITION BY run_id, agent_key ORDER BY ord)),
+e AS (SELECT *, before = 'working' AND ms - prev_ms > {_GAP * 1000} AS rested FROM d)
+SELECT run_id, agent_key, prev_ms + {_GAP * 1000} AS ms, 'waiting' AS status FROM e WHERE rested UNION ALL
+SELECT run_id, agent_key, ms, now FROM e WHERE now <> CASE WHEN rested THEN 'waiting' ELSE before END UNION ALL
+SELECT run_id, agent_key, ms + {_GAP * 1000}, 'waiting' FROM e WHERE next_ms IS NULL AND now = 'working' AND ms + {_GAP * 1000} < {_UNTIL}""")
+def str5_changes(spark, sf):
+    out = _run(spark, O.agent_changes(_stream(spark, sf), _GAP), "append")
+    return spark.read.parquet(out)
+
+
+@query("str6_stream_alarms", f"""WITH {EV}, a AS (SELECT run_id, seq, epoch_us(tat) // 1000 AS ms, session_id IS NOT NULL AS nested FROM run_events),
+b AS (SELECT *, bool_or(nested) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS delegated,
+  coalesce(lead(ms) OVER (PARTITION BY run_id ORDER BY seq), {_UNTIL}) - ms AS quiet FROM a WHERE ms <= {_UNTIL})
+SELECT run_id, 'parent' AS kind, seq AS last_seq, ms AS quiet_since_ms FROM b WHERE quiet > {L.STALL_MINUTES * 60_000} UNION ALL
+SELECT run_id, 'nested', seq, ms FROM b WHERE delegated AND quiet > {L.NESTED_STALL_MINUTES * 60_000}""")
+def str6_alarms(spark, sf):
+    out = _run(spark, O.run_alarms(_stream(spark, sf)), "append")
+    return spark.read.parquet(out)
+
+
+@query("str7_stream_deltas", f"""WITH p AS (SELECT user_id AS run_id, event_type AS part_key, event_id AS seq,
+    repeat('word ', CAST(json_extract(props, '$.k') AS BIGINT) % 4) AS text FROM events WHERE epoch_us(ts) // 1000 <= {_UNTIL}),
+l AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY run_id, part_key ORDER BY seq), '') AS prev FROM p),
+d AS (SELECT *, CASE WHEN starts_with(text, prev) THEN trim(substr(text, length(prev) + 1)) ELSE text END AS delta FROM l WHERE text <> prev)
+SELECT run_id, part_key, seq, delta FROM d WHERE delta <> ''""")
+def str7_stream(spark, sf):
+    schema = X.given(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    parts = _parts(raw.withColumn("at", F.col("ts").cast("timestamp")), "at")
+    return spark.read.parquet(_run(spark, O.text_deltas(parts), "append"))
 
 
 @query("str6_stream_sessions", f"""WITH {_ISLANDS}, s AS (SELECT i.run_id, island, min(i.seq) AS first_seq, max(i.seq) AS last_seq, count(*) AS n,

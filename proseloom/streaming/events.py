@@ -83,16 +83,30 @@ def since(events: DataFrame, cursor: int) -> DataFrame:
 # --- progress and agents --------------------------------------------------------
 
 
-def progress_state(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFrame:
-    """Current progress per run; mergeable, so it serves streams in update mode."""
+def progress_parts(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFrame:
+    """What events say about the progress of their runs, in rows that :func:`merge_progress` can join with others."""
     updates = with_progress(events, marker).where(F.col("phase").isNotNull())
-    return updates.groupBy("run_id").agg(
-        F.max(F.least("percent", F.lit(100))).alias("percent"),
-        F.max_by("phase", "seq").alias("phase"),
-        F.max_by("detail", "seq").alias("detail"),
-        F.max_by("chapter", F.when(F.col("chapter").isNotNull(), F.col("seq"))).alias("chapter"),
-        F.max("seq").alias("seq"),
-    )
+    return merge_progress(updates.select(
+        "run_id", F.least("percent", F.lit(100)).alias("percent"), F.struct("seq", "phase", "detail").alias("last"),
+        F.when(F.col("chapter").isNotNull(), F.struct("seq", "chapter")).alias("place")))
+
+
+def merge_progress(parts: DataFrame) -> DataFrame:
+    """One row per run of any union of :func:`progress_parts`."""
+    return parts.groupBy("run_id").agg(
+        F.max("percent").alias("percent"), F.max("last").alias("last"), F.max("place").alias("place"))
+
+
+def progress_rows(parts: DataFrame) -> DataFrame:
+    """Current progress per run from merged parts."""
+    return parts.select(
+        "run_id", "percent", F.col("last.phase").alias("phase"), F.col("last.detail").alias("detail"),
+        F.col("place.chapter").alias("chapter"), F.col("last.seq").alias("seq"))
+
+
+def progress_state(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFrame:
+    """Current progress per run: percent never falls, the last phase and the last known chapter."""
+    return progress_rows(progress_parts(events, marker))
 
 
 def progress_history(events: DataFrame, marker: str = L.PROGRESS_MARKER) -> DataFrame:
@@ -109,7 +123,7 @@ def agent_rows(events: DataFrame) -> DataFrame:
     key = F.coalesce("session_id", F.lit("orchestrator"))
     done = is_done(F.col("text"))
     base = events.select(
-        "run_id", "seq", key.alias("agent_key"),
+        "run_id", "seq", *[c for c in events.columns if c == "at"], key.alias("agent_key"),
         F.when(F.col("agent").isin("Subagent", "Orchestrator"), None).otherwise(F.col("agent")).alias("name"),
         F.coalesce("depth", F.lit(0)).alias("depth"), done.alias("done"),
         F.when(F.col("session_id").isNull() & matches("text", L.HANDOVER), "waiting").otherwise("working").alias("status"),
@@ -121,21 +135,91 @@ def agent_rows(events: DataFrame) -> DataFrame:
         F.lit(False).alias("done"), F.lit("working").alias("status"), F.lit(2).alias("step"),
     )
     both = F.when(F.col("nested") & F.col("done"), F.array(own, wake)).otherwise(F.array(own))
-    return base.select("run_id", "seq", F.inline(both))
+    return base.select("run_id", "seq", *[c for c in events.columns if c == "at"], F.inline(both))
+
+
+def agent_parts(events: DataFrame) -> DataFrame:
+    """What events say about the agents of their runs, in rows that :func:`merge_agents` can join with others."""
+    named = F.when(F.col("name").isNotNull(), F.struct("seq", "name"))
+    return merge_agents(agent_rows(events).select(
+        "run_id", "agent_key", named.alias("known"), "depth", "done",
+        F.struct((F.col("seq") * 2 + F.col("step")).alias("ord"), "status", "seq").alias("last")))
+
+
+def merge_agents(parts: DataFrame) -> DataFrame:
+    """One row per agent of any union of :func:`agent_parts`."""
+    return parts.groupBy("run_id", "agent_key").agg(
+        F.max("known").alias("known"), F.min("depth").alias("depth"), F.bool_or("done").alias("done"), F.max("last").alias("last"))
+
+
+def agent_states(parts: DataFrame) -> DataFrame:
+    """Agents of each run from merged parts: done is sticky, depth is the smallest, last specific name."""
+    fallback = F.when(F.col("agent_key") == "orchestrator", "Orchestrator").otherwise("Subagent")
+    return parts.select(
+        "run_id", "agent_key", F.coalesce("known.name", fallback).alias("agent"), "depth",
+        F.when(F.col("done"), "done").otherwise(F.col("last.status")).alias("status"), "done", F.col("last.seq").alias("seq"))
 
 
 def agent_status(events: DataFrame) -> DataFrame:
     """Agents of each run: done is sticky, depth is the smallest, last specific name."""
-    named = F.when(F.col("name").isNotNull(), F.col("seq"))
-    fallback = F.when(F.col("agent_key") == "orchestrator", "Orchestrator").otherwise("Subagent")
-    out = agent_rows(events).groupBy("run_id", "agent_key").agg(
-        F.max_by("name", named).alias("name"), F.min("depth").alias("depth"), F.bool_or("done").alias("done"),
-        F.max_by("status", F.col("seq") * 2 + F.col("step")).alias("status"), F.max("seq").alias("seq"),
-    )
-    return out.select(
-        "run_id", "agent_key", F.coalesce("name", fallback).alias("agent"), "depth",
-        F.when(F.col("done"), "done").otherwise(F.col("status")).alias("status"), "done", "seq",
-    )
+    return agent_states(agent_parts(events))
+
+
+def agent_changes(events: DataFrame, idle_seconds: int = 30, until_ms: Column | None = None) -> DataFrame:
+    """(run_id, agent_key, ms, status): every change of status of every agent.
+
+    A working agent waits after ``idle_seconds`` without output and works again
+    on output; done stays.  ``until_ms`` is the time of the view: later rows are
+    left out, and quiet time lasts until then.
+    """
+    key, ms, idle = ["run_id", "agent_key"], F.col("ms"), idle_seconds * 1000
+    base = agent_rows(events).select(
+        *key, F.unix_millis("at").alias("ms"), (F.col("seq") * 2 + F.col("step")).alias("ord"), "status",
+        F.col("done").cast("int").alias("d"))
+    if until_ms is not None:
+        base = base.where(ms <= until_ms)
+    seen = running(base, key, "ord", {
+        "prev_ms": ("lag", "ms"), "prev_status": ("lag", "status"), "done_so_far": ("sum", "d")})
+    now = F.when(F.col("done_so_far") > 0, "done").otherwise(F.col("status"))
+    before = F.when(F.col("done_so_far") - F.col("d") > 0, "done").otherwise(F.coalesce("prev_status", F.lit("")))
+    rested = (before == "working") & (ms - F.col("prev_ms") > idle)
+    row = lambda at, status: F.struct(at.alias("ms"), status.alias("status"))
+    changes = seen.select(*key, F.inline(F.array_compact(F.array(
+        F.when(rested, row(F.col("prev_ms") + idle, F.lit("waiting"))),
+        F.when(now != F.when(rested, "waiting").otherwise(before), row(ms, now))))))
+    if until_ms is None:
+        return changes
+    last = seen.groupBy(*key).agg(F.max_by(F.struct(now.alias("status"), "ms"), "ord").alias("l"))
+    quiet = last.where((F.col("l.status") == "working") & (F.col("l.ms") + idle < until_ms))
+    return changes.unionByName(quiet.select(*key, (F.col("l.ms") + idle).alias("ms"), F.lit("waiting").alias("status")))
+
+
+def run_alarms(
+    events: DataFrame, parent_seconds: int = L.STALL_MINUTES * 60, nested_seconds: int = L.NESTED_STALL_MINUTES * 60,
+    until_ms: Column | None = None,
+) -> DataFrame:
+    """(run_id, kind, last_seq, quiet_since_ms): quiet times of runs over the limits of parent and nested work.
+
+    ``until_ms`` as in :func:`agent_changes`.
+    """
+    base = events.select(
+        "run_id", "seq", F.unix_millis("at").alias("ms"), F.col("session_id").isNotNull().cast("int").alias("nested"))
+    if until_ms is not None:
+        base = base.where(F.col("ms") <= until_ms)
+    seen = running(base, ["run_id"], "seq", {
+        "prev_ms": ("lag", "ms"), "prev_seq": ("lag", "seq"), "nested_so_far": ("sum", "nested")})
+    spells = seen.where(F.col("prev_seq").isNotNull()).select(
+        "run_id", F.col("prev_seq").alias("last_seq"), F.col("prev_ms").alias("quiet_since_ms"),
+        (F.col("ms") - F.col("prev_ms")).alias("quiet"), (F.col("nested_so_far") - F.col("nested") > 0).alias("delegated"))
+    if until_ms is not None:
+        last = seen.groupBy("run_id").agg(F.max_by(F.struct("seq", "ms", "nested_so_far"), "seq").alias("l"))
+        spells = spells.unionByName(last.select(
+            "run_id", F.col("l.seq").alias("last_seq"), F.col("l.ms").alias("quiet_since_ms"),
+            (until_ms - F.col("l.ms")).alias("quiet"), (F.col("l.nested_so_far") > 0).alias("delegated")))
+    kinds = F.array_compact(F.array(
+        F.when(F.col("quiet") > parent_seconds * 1000, F.lit("parent")),
+        F.when((F.col("quiet") > nested_seconds * 1000) & F.col("delegated"), F.lit("nested"))))
+    return spells.select("run_id", F.explode(kinds).alias("kind"), "last_seq", "quiet_since_ms")
 
 
 # --- stalls --------------------------------------------------------------------------

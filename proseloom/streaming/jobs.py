@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,87 +35,6 @@ def sessions(events: DataFrame, gap: str = "15 minutes", watermark: str = E.WATE
     )
 
 
-def _alarm_processor(quiet_ms: int):
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-
-    class QuietAlarm(StatefulProcessor):
-        """One event-time timer per run, moved forward by every event."""
-
-        def init(self, handle):
-            self.handle = handle
-            self.last = handle.getValueState("last", "seq bigint, ms bigint")
-
-        def handleInputRows(self, key, rows: Iterator, timerValues):
-            import pandas as pd
-
-            seq, ms = self.last.get() if self.last.exists() else (-1, -1)
-            for pdf in rows:
-                at = pdf["ms"].max()
-                if at > ms:
-                    ms, seq = int(at), int(pdf.loc[pdf["ms"].idxmax(), "seq"])
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(ms + quiet_ms)
-            self.last.update((seq, ms))
-            yield pd.DataFrame({"run_id": [], "last_seq": [], "quiet_since_ms": []}).astype("int64")
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            import pandas as pd
-
-            seq, ms = self.last.get()
-            yield pd.DataFrame({"run_id": [int(key[0])], "last_seq": [seq], "quiet_since_ms": [ms]})
-
-        def close(self):
-            pass
-
-    return QuietAlarm()
-
-
-def quiet_alarms(events: DataFrame, quiet_seconds: int = 15 * 60, watermark: str = E.WATERMARK) -> DataFrame:
-    """Live stall alarm: a run whose last event is older than the limit in event time.
-
-    State is one small row per run in the RocksDB store; it survives restarts
-    through the query checkpoint.
-    """
-    return (
-        events.withWatermark("at", watermark)
-        .select("run_id", "seq", "at", F.unix_millis("at").alias("ms"))
-        .groupBy("run_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_alarm_processor(quiet_seconds * 1000),
-            outputStructType="run_id bigint, last_seq bigint, quiet_since_ms bigint",
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
-
-
-def text_deltas(parts: DataFrame) -> DataFrame:
-    """New suffix of growing message parts, with the last text as keyed state."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        before = state.get[0] if state.exists else ""
-        out = []
-        for pdf in frames:
-            for seq, text in pdf.sort_values("seq")[["seq", "text"]].itertuples(index=False):
-                if text == before:
-                    continue
-                delta = text[len(before):].strip() if text.startswith(before) else text
-                before = text
-                if delta:
-                    out.append((key[0], key[1], seq, delta))
-        state.update((before,))
-        yield pd.DataFrame(out, columns=["run_id", "part_key", "seq", "delta"])
-
-    return parts.groupBy("run_id", "part_key").applyInPandasWithState(
-        step, "run_id bigint, part_key string, seq bigint, delta string", "before string", "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", partitions: int | None = None):
     """Process what is there now into a parquet table; returns the finished query.
 

@@ -14,6 +14,8 @@ from proseloom.session import shared_dir
 from proseloom.sources import artifacts
 from proseloom.streaming import events as E
 from proseloom.streaming import jobs as J
+from proseloom.streaming import ordered as O
+from proseloom.streaming import sinks
 
 SF = "/root/testdata/sf0.001"
 BEATS = ["dialogue", "action", "interiority", "description", "transition"]
@@ -111,27 +113,106 @@ def test_progress_survives_a_restart_and_equals_batch(spark):
     assert (live[1]["percent"], live[1]["phase"], live[1]["chapter"]) == (80, "gathering_info", 3)
 
 
-def test_text_deltas_stream_equals_batch(spark):
+def _shuffled_batches(spark, rows, schema, seed, files=3, mark=None):
+    """Rows in files that mix neighbouring times, then a row far ahead that moves the watermark past them."""
+    rng = random.Random(seed)
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    parts = [[] for _ in range(files)]
+    for row in rows:
+        parts[rng.randrange(files)].append(row)
+    for part in [*parts, [mark]]:
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), spark.read.parquet(folder)
+
+
+def _live(spark, stream):
     root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    rows = [(1, "a", 1, "He"), (1, "a", 2, "Hello"), (1, "a", 3, "Hello"), (1, "a", 4, "Bye"), (1, "b", 5, "x")]
-    schema = "run_id bigint, part_key string, seq bigint, text string"
-    df = spark.createDataFrame(rows, schema)
-    df.coalesce(1).write.parquet(f"{root}/in")
-    J.run_available(J.text_deltas(spark.readStream.schema(schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/cp")
-    live = {(r.part_key, r.seq, r.delta) for r in spark.read.parquet(f"{root}/out").collect()}
-    assert live == {(r.part_key, r.seq, r.delta) for r in E.text_deltas(df).collect()}
-    assert live == {("a", 1, "He"), ("a", 2, "llo"), ("a", 4, "Bye"), ("b", 5, "x")}
-
-
-def test_quiet_alarm_fires_on_event_time(spark):
+    J.run_available(stream, f"{root}/out", f"{root}/cp")
+    return spark.read.parquet(f"{root}/out")
+
+
+def test_shuffled_text_deltas_equal_batch(spark):
+    rng = random.Random(1)
+    rows, text = [], ""
+    for i in range(40):
+        text = "" if rng.random() < 0.2 else text + rng.choice(["a", " b", "", " "])
+        rows.append((1, "x" if i % 3 else "y", i, f"2024-01-01 00:00:{i:02d}", text))
+    mark = (9, "z", 99, "2024-01-02 00:00:00", "end")
+    stream, table = _shuffled_batches(spark, rows, "run_id bigint, part_key string, seq bigint, at string, text string", 5, mark=mark)
+    live = {(r.part_key, r.seq, r.delta) for r in _live(spark, O.text_deltas(stream)).collect()}
+    assert live == {(r.part_key, r.seq, r.delta) for r in E.text_deltas(table.where("run_id = 1")).collect()}
+    assert len(live) > 5
+
+
+def test_shuffled_agent_changes_and_alarms_equal_batch(spark):
+    rng = random.Random(2)
+    rows, at = [], 0
+    for i in range(60):
+        at += rng.choice([1, 5, 31, 40, 310, 1000])
+        text = rng.choice(["note", "note", "note", "Handing over to x", "done: true"])
+        rows.append((1 + i % 2, i, f"2024-01-01 {at // 3600:02d}:{at // 60 % 60:02d}:{at % 60:02d}", "note", text,
+                     rng.choice([None, "s1", "s2"]) if i > 10 else None, "Editor", 1))
+    mark = (9, 999, "2024-01-03 00:00:00", "note", "x", None, None, 0)
+    stream, table = _shuffled_batches(spark, rows, J.EVENT_SCHEMA.replace("timestamp", "string"), 7, mark=mark)
+    until = F.lit(1704240000000 - 600_000).cast("long")
+    table = table.where("run_id < 9")
+    slow = "1 day"
+    live = [(r.run_id, r.agent_key, r.ms, r.status) for r in _live(spark, O.agent_changes(stream, 30, slow)).collect()]
+    want = [(r.run_id, r.agent_key, r.ms, r.status) for r in E.agent_changes(table, 30, until).collect()]
+    assert sorted(live) == sorted(want) and {s for *_, s in live} == {"working", "waiting", "done"}
+    live = [tuple(r) for r in _live(spark, O.run_alarms(stream, watermark=slow)).collect()]
+    assert sorted(live) == sorted(tuple(r) for r in E.run_alarms(table, until_ms=until).collect())
+    assert {kind for _, kind, *_ in live} == {"parent", "nested"}
+
+
+def test_quiet_state_ends(spark):
+    machine = O._Agents(30)
+    empty = spark.createDataFrame([], machine.ROW).toPandas()
+    assert machine.step(empty, (1000, "working"), 40_000)[0] == {"ms": [31_000], "status": ["waiting"]}
+    assert machine.step(empty, (1000, "done"), 10**9)[0] == {"ms": [], "status": []}
+    alarms = O._Alarms(900, 300)
+    out, state, _ = alarms.step(spark.createDataFrame([], alarms.ROW).toPandas(), (0, 5, True, False, True), 10**7)
+    assert out == {"kind": ["parent"], "last_seq": [5], "quiet_since_ms": [0]} and state[3:] == (True, True)
+
+
+def test_late_rows_are_kept_beside_those_on_time(spark):
+    root, folder = (f"{shared_dir(spark)}/{uuid.uuid4().hex}" for _ in range(2))
+    files = [["2024-01-01 00:00:00", "2024-01-01 01:00:00"], ["2024-01-01 00:49:59", "2024-01-01 00:50:00", None], ["2024-01-01 02:00:00"],
+             ["2024-01-01 01:10:00"]]
+    for times in files:
+        spark.createDataFrame([(t,) for t in times], "at string").select(F.col("at").cast("timestamp")).coalesce(1).write.mode(
+            "append").parquet(folder)
+    stream = spark.readStream.schema("at timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    save = sinks.split_late(root, "10 minutes")
+    sinks.run_batches(stream, save, f"{root}/cp")
+    save(spark.createDataFrame([("2024-01-01 01:10:00",)], "at string").select(F.col("at").cast("timestamp")), 3)  # Replayed.
+    late = {str(r["at"]) for r in sinks.read_side(spark, root, True).collect()}
+    assert late == {"2024-01-01 00:49:59", "None", "2024-01-01 01:10:00"}
+    assert sinks.read_side(spark, root, False).count() == 4
+    marks = {r.batch: (r.n_on_time, r.n_late) for r in sinks.read_marks(spark, root).collect()}
+    assert marks == {0: (2, 0), 1: (1, 2), 2: (1, 0), 3: (0, 1)}
+
+
+def test_upsert_replays_and_keeps_reading_cheap(spark):
     root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    steps = [[(1, 1, "2024-01-01 00:00:00", "go"), (2, 1, "2024-01-01 00:00:00", "go")],
-             [(2, 2, "2024-01-01 01:00:00", "on")], [(2, 3, "2024-01-01 01:01:00", "on")]]
-    for rows in steps:
-        write_events(spark, f"{root}/in", rows)
-        J.run_available(J.quiet_alarms(J.open_parquet(spark, f"{root}/in", J.EVENT_SCHEMA)), f"{root}/out", f"{root}/cp")
-    fired = {(r.run_id, r.last_seq) for r in spark.read.parquet(f"{root}/out").collect()}
-    assert (1, 1) in fired and (2, 3) not in fired
+    merge = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    save = sinks.upsert(root, ["k"], merge, merge, buckets=4)
+    assert sinks.read_current(spark, root) is None
+    want = {}
+    for batch in range(12):
+        rows = [(k, batch + 1) for k in range(batch % 5, 20, 3)]
+        for k, n in rows:
+            want[k] = want.get(k, 0) + n
+        df = spark.createDataFrame(rows, "k int, n long")
+        save(df, batch)
+        if batch in (0, 7):
+            save(df, batch)  # The same batch again changes nothing.
+    assert {r.k: r.n for r in sinks.read_current(spark, root).collect()} == want
+    assert len(sinks._children(spark, f"{root}/listing")) == 2 and len(sinks._children(spark, f"{root}/data")) <= 8
+    save(spark.createDataFrame([], "k int, n long"), 12)
+    assert sinks.read_current(spark, root).count() == len(want)
 
 
 def test_logs_and_corpus_round_trip(spark):
