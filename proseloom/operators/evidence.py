@@ -207,11 +207,11 @@ def _counted_mentions(narrative: Column) -> Column:
     return let(marked, tally)
 
 
-def character_names(documents: DataFrame, group: Sequence[str], top: int = 8) -> DataFrame:
-    """Ranked names per group ``(group, rank, name, score, mentions)``.
+def character_names(documents: DataFrame, group: Sequence[str]) -> DataFrame:
+    """All ranked names per group ``(group, rank, name, score, mentions)``; readers filter.
 
     Candidates are reduced to one row per (group, name) with map-side combine
-    before they are ranked; the rank filter is pushed below the sort shuffle.
+    before they are ranked; a reader's rank filter is pushed below the sort shuffle.
     """
     group = list(group)
     documents = narrative_slice(documents)
@@ -273,18 +273,34 @@ def character_names(documents: DataFrame, group: Sequence[str], top: int = 8) ->
     from pyspark.sql import Window
 
     order = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("mentions"), "name")
-    return pooled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return pooled.withColumn("rank", F.row_number().over(order))
 
 
-def name_lists(names: DataFrame, group: Sequence[str]) -> DataFrame:
-    """At most eight ranked names per group as one array."""
-    return names.groupBy(*group).agg(
+#: Names of a group that findings and pairs go by.
+LEADING = 8
+
+
+def name_lists(names: DataFrame, group: Sequence[str], top: int = LEADING) -> DataFrame:
+    """The leading names per group as one array."""
+    return names.where(F.col("rank") <= top).groupBy(*group).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]
         ).alias("names")
     )
 
 
+#: Groups up to which their name lists are broadcast (about 60 MB); beyond, texts meet them through salted keys.
+BROADCAST_GROUPS = 200_000
+
+
+def with_names(texts: DataFrame, names: DataFrame, group: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Texts of groups with names, beside the group's ``names``; texts are not shuffled while the lists are few."""
+    lists = name_lists(names, group)
+    if lists.count() <= BROADCAST_GROUPS:
+        return texts.join(F.broadcast(lists), list(group))
+    return salted_lookup(texts, lists, group, key)
+
+
 def names_in(paragraph: Column, names: Column) -> Column:
     """Which of a short list of names a paragraph mentions.
 
@@ -302,13 +318,13 @@ def names_in(paragraph: Column, names: Column) -> Column:
 def relationship_pairs(documents: DataFrame, names: DataFrame, group: Sequence[str]) -> DataFrame:
     """Shared and romance paragraphs of every pair of the top eight names.
 
-    At most 28 pairs per paragraph by definition; the name list reaches the
-    paragraphs through a salted lookup and counts combine map side.
+    At most 28 pairs per paragraph by definition.  The name lists travel to the
+    paragraphs, which stay where they are; counts combine map side.
     """
     group = list(group)
     told = narrative_slice(documents.where(is_relationship_evidence()))
     paras = told.select(*group, "doc_id", F.posexplode(T.paragraphs("narrative")).alias("par_no", "p"))
-    named = salted_lookup(paras, name_lists(names, group), group, ["doc_id", "par_no"])
+    named = with_names(paras, names, group, ["doc_id", "par_no"])
     held = sealed(
         named, [*group, "p", "names"], [names_in(F.col("p"), F.col("names")).alias("in")]
     ).where(F.size("in") >= 2)

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from proseloom.functions import text as T
 from proseloom.operators import classify, clean, continuity, corpus, evidence, findings, formatting, inventory, manuscript
 from proseloom.operators import metrics, profile, score, structure
+from proseloom.operators.lookup import interval_join
 from proseloom.operators.running import running
 from proseloom.session import cut_lineage, shared_dir
 from proseloom.sources import scan
@@ -437,3 +438,37 @@ def test_a_rebuild_replaces_its_books_only(spark):
     assert stats == {("a", 1), ("b", 2)} == {(r.book_id, r.doc_id) for r in corpus.read(spark, root, "measures").collect()}
     passages = corpus.read(spark, root, "passages").collect()
     assert {r.book_id for r in passages} <= {"a"} and all(r.metrics.word_count == r.n_words for r in passages)
+
+
+def test_interval_join_meets_matching_pairs_only(spark):
+    rng = random.Random(8)
+    points = [(rng.choice("ab"), rng.choice([None, *range(300)]), i) for i in range(300)]
+    spans = [(rng.choice("abc"), rng.choice([None, *range(320)]), rng.choice([None, *range(320)]), i) for i in range(200)]
+    p = spark.createDataFrame(points, "k string, x int, p int")
+    s = spark.createDataFrame(spans, "k string, a int, z int, s int")
+    got = {(r.p, r.s) for r in interval_join(p, s, ["k"], "x", "a", "z").collect()}
+    assert got == {(i, j) for k, x, i in points for m, a, z, j in spans
+                   if k == m and x is not None and a is not None and a <= x and (z is None or x <= z)}
+    got = {(r.p, r.s) for r in interval_join(p, s.drop("z"), ["k"], "x", "a").collect()}
+    assert got == {(i, j) for k, x, i in points for m, a, z, j in spans if k == m and x is not None and a is not None and a <= x}
+
+
+def test_ten_thousand_chapters_and_threads_of_one_book_meet_where_they_match(spark):
+    chapters = spark.range(10_000).select(F.lit("b").alias("k"), F.col("id").cast("int").alias("x"))
+    threads = spark.range(10_000).select(F.lit("b").alias("k"), (F.col("id") % 9_000 + 990).cast("int").alias("a"),
+                                         (F.col("id") % 9_000 + 992).cast("int").alias("z"), F.col("id").alias("s"))
+    met = interval_join(chapters, threads, ["k"], "x", "a", "z")
+    want = sum(min(9_999, i % 9_000 + 992) - (i % 9_000 + 990) + 1 for i in range(10_000) if i % 9_000 + 990 <= 9_999)
+    assert met.count() == want
+    pairs = interval_join(chapters, threads, ["k"], "x", "a", "z", width=64)
+    assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paragraphs_stay_where_they_are(spark):
+    d = spark.createDataFrame([("b", 1, "Anna kissed Tobias.\n\nAnna and Mara left.", ["past_book"])], "book_id string, doc_id long, text string, kinds array<string>")
+    names = spark.createDataFrame([("b", i + 1, n) for i, n in enumerate(["Anna", "Tobias", "Mara"])], "book_id string, rank int, name string")
+    pairs = evidence.relationship_pairs(d, names, ["book_id"])
+    assert {(r.first, r.second) for r in pairs.collect()} == {("Anna", "Tobias"), ("Anna", "Mara")}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):
+        assert not ("Exchange hashpartitioning" in line and "doc_id" in line)
