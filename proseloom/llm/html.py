@@ -30,25 +30,38 @@ CELLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 #: Elements that never hold main text.
 NEVER = frozenset(
     "head nav footer aside form script style noscript template iframe object svg canvas button select textarea input "
-    "dialog menu title audio video map math".split()
+    "dialog menu title audio video map".split()
 )
-#: Words in class, id and role that mark what surrounds an article.
+#: Roles of elements that surround an article.
+ROLES = frozenset("navigation complementary contentinfo search dialog banner menu menubar toolbar alertdialog".split())
+#: Last words of class and id names that mark what surrounds an article.
 ASIDE = frozenset(
-    "ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies "
-    "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social "
-    "related recommended recommendations sidebar rail widget widgets menu nav navigation navbar breadcrumb breadcrumbs "
-    "pagination pager footer header masthead toolbar comment comments commentlist disqus reply replies respond "
-    "complementary contentinfo search dialog hidden".split()
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie "
+    "cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup share sharing social related "
+    "recommended recommendations sidebar rail menu nav navigation navbar breadcrumb breadcrumbs pagination pager footer "
+    "header masthead toolbar disqus".split()
 )
-#: Words that mark the article itself; they win over the ones above, comments excepted.
+#: Last words that mark reader comments.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond responses feedback discussion discussions".split())
+#: Words that say nothing about what an element holds; the word before them counts.
+GENERIC = frozenset(
+    "area bar block box col column container content div group holder inner item items left links list outer page panel "
+    "region right row section slot top unit wrap wrapper".split()
+)
+#: Names that speak about another element.
+ABOUT = frozenset("has with no without hide".split())
+#: Words that mark the article itself; a name that ends with one wins over the ones above, comments excepted.
 MAIN = frozenset("article content main body entry post story text".split())
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BASE = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "form": -10.0}
 #: A sibling joins the best container at this share of its score, or as a paragraph this long and free of links.
 SIBLING, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
+#: Containers elsewhere at this share of the best score are part of the article.
+COUSIN = 0.75
+#: Cells of an article's table are kept up to this share of characters inside links.
+CELL_LINKS = 0.5
 #: A list beside the best container is left out above this share of characters inside links.
 LINKED = 0.8
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
@@ -59,22 +72,45 @@ class _Node:
         self.score, self.chars, self.links = 0.0, 0, 0
 
 
-def _aside(tag: str, attrs: str, parent: _Node) -> bool:
-    """Whether an element stands beside the article, by its tag and attributes."""
-    if tag in NEVER or (tag == "header" and not _within(parent, "article")):
+def _said(name: str) -> tuple[str, list[str]]:
+    """What a class or id name says its element is: the last word that is not generic, and all its words."""
+    words = _WORDS.findall(name)
+    if words and words[0] in ABOUT:
+        return "", words
+    kept = [w for w in words if w not in GENERIC]
+    return (kept or words or [""])[-1], words
+
+
+def _aside(tag: str, attrs: str, parent: _Node, named: bool) -> bool:
+    """Whether an element stands beside the article: by its tag and, if ``named``, its class, id and role."""
+    inside = _within(parent, "article")
+    if tag in NEVER or (tag == "header" and not inside):
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    marks: set[str] = set()
+    names: list[str] = []
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id", "role", "aria-label"):
-            marks.update(_WORDS.findall(value))
+        if name in ("class", "id"):
+            names += value.split()
+        elif name == "role" and named and ROLES & set(value.split()):
+            return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-    return bool(marks & COMMENTS) or (bool(marks & ASIDE) and not marks & MAIN)
+    if not named or tag in HEADINGS:
+        return False
+    main = surrounds = False
+    for name in names:
+        last, words = _said(name)
+        if last in COMMENTS and not (last.startswith("discussion") and tag == "section"):
+            return True
+        if last in ("header", "masthead") and (inside or MAIN & set(words)):
+            continue
+        surrounds |= last in ASIDE
+        main |= words[-1:] != [] and words[-1] in MAIN and last not in ASIDE
+    return surrounds and not main
 
 
 def _within(node: _Node | None, tag: str) -> bool:
@@ -85,7 +121,7 @@ def _within(node: _Node | None, tag: str) -> bool:
     return False
 
 
-def _blocks(html: str) -> list[tuple[_Node, str, int]]:
+def _blocks(html: str, named: bool) -> list[tuple[_Node, str, int]]:
     """Text blocks in page order: the element, its text, and its characters inside links."""
     root = _Node("", None, False, 0)
     stack, out, parts = [root], [], []
@@ -113,7 +149,7 @@ def _blocks(html: str) -> list[tuple[_Node, str, int]]:
         for node in stack[to:]:
             if node.tag == "a":
                 linked -= 1
-        if any(node.tag in BLOCK or node.dropped for node in stack[to:]):
+        if any(node.tag in BLOCK for node in stack[to:]):
             flush()
         del stack[to:]
         holder = next((n for n in reversed(stack) if n.tag in BLOCK), root)
@@ -158,7 +194,7 @@ def _blocks(html: str) -> list[tuple[_Node, str, int]]:
             pop(next(i for i, n in enumerate(stack) if n.tag == "a"))
         parent = stack[-1]
         count += 1
-        dropped = parent.dropped or _aside(tag, attrs, parent)
+        dropped = parent.dropped or _aside(tag, attrs, parent, named)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(html, at)
             at = end.start() if end else size
@@ -183,14 +219,27 @@ def main_text(html: str | None) -> str:
     Each block of text earns a point, one per comma and up to three for its
     length.  Its parent gets all of them, the grandparent half, and those above
     a share that falls with distance; sums are discounted by the share of
-    characters inside links.  The best container is kept whole with those
-    siblings that score like it or read like paragraphs, text that stands
-    directly beside it too; a sibling list that is nearly all links is not.  Elements named or marked as
-    navigation, notices, adverts, forms or comments are left out before.
+    characters inside links.  The best container is kept whole, containers that
+    score nearly like it too, and of the siblings of each those that score like
+    it, read like paragraphs or are headings; a sibling list that is nearly all
+    links is not.  In a table the other cells are kept unless they are mostly
+    links.  Elements whose tag, role or name marks them as navigation, notices,
+    adverts, forms or comments are left out before; if that leaves no text, names
+    and roles decide nothing.
     """
     if not html:
         return ""
-    blocks = _blocks(html)
+    return _best(_blocks(html, True) or _blocks(html, False))
+
+
+def _up(node: _Node | None, tags: frozenset[str] | set[str]) -> _Node | None:
+    """The node itself or its nearest ancestor of one of the tags."""
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node
+
+
+def _best(blocks: list[tuple[_Node, str, int]]) -> str:
     nodes: dict[int, _Node] = {}
     for node, text, links in blocks:
         points = 1.0 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3.0)
@@ -215,25 +264,45 @@ def main_text(html: str | None) -> str:
     def final(node: _Node) -> float:
         return node.score * (1 - node.links / max(node.chars, 1))
 
+    def above_of(node: _Node) -> set[int]:
+        out, walk = set(), node
+        while walk is not None:
+            out.add(walk.order)
+            walk = walk.parent
+        return out
+
     best = max(nodes.values(), key=lambda n: (final(n), -n.order))
-    limit, keep, beside = max(10.0, SIBLING * final(best)), {best.order}, set()
+    limit, line = SIBLING * final(best), above_of(best)
+    # Containers elsewhere in the page that score nearly as well: the article goes on there.
+    seeds = [best]
+    for node in sorted(nodes.values(), key=lambda n: n.order):
+        if final(node) >= max(COUSIN * final(best), 1.0) and not any(
+                node.order in above_of(seed) or seed.order in above_of(node) for seed in seeds):
+            seeds.append(node)
+    keep, beside = {seed.order for seed in seeds}, set()
 
     def reads(text: str, links: int) -> bool:
         return (len(text) > SIBLING_CHARS or text[-1:] in ".!?…") and links < SIBLING_LINKS * len(text)
 
+    parents = {seed.parent.order for seed in seeds if seed.parent is not None}
+    table = _up(best, {"table"}) if best.tag in ("td", "th", "tr", "tbody", "thead", "tfoot") else None
     for at, (node, text, links) in enumerate(blocks):
-        if node is best.parent:
+        if node.order in parents:
             if reads(text, links):
                 beside.add(at)
             continue
+        cell = _up(node, {"td", "th"}) if table is not None else None
+        if cell is not None and table.order in above_of(cell) and cell.links <= CELL_LINKS * cell.chars:
+            keep.add(cell.order)
         near = node
-        while near is not None and near.parent is not best.parent:
+        while near is not None and near.parent is not None and near.parent.order not in parents:
             near = near.parent
-        if near is None or near.order in keep:
+        if near is None or near.parent is None or near.order in keep or near.order in line:
             continue
         listed = near.tag in ("ul", "ol", "menu", "dl") and near.links > LINKED * near.chars
+        told = near.links < SIBLING_LINKS * near.chars and (near.tag == "p" or (len(text) > SIBLING_CHARS and reads(text, links)))
         alike = near.order in nodes and final(near) >= limit and not listed
-        if near.tag in HEADINGS or (near.tag == "p" and reads(text, links)) or alike:
+        if near.tag in HEADINGS or told or alike:
             keep.add(near.order)
     out = []
     for at, (node, text, _) in enumerate(blocks):
