@@ -35,9 +35,9 @@ BOUNDED = {
     "grouped": rf"{_ALONE}(?:0[1-9](?:[\x20.-][0-9]{{2}}){{4}}|\(?0[0-9]{{1,4}}\)?(?:[\x20/.-][0-9]{{3,4}}[\x20.-][0-9]{{3,4}}|[\x20/-][0-9]{{5,8}})){_OVER}",
     "run": rf"{_ALONE}(?<!\+)[0-9](?:[.-]?[0-9]){{6,18}}{_OVER}",
 }
-#: What must occur in a text before a generator is tried.
+#: What must occur in a text before a generator is tried; each is implied by its generator.
 GUARD = {"national": r"[2-9][0-9]{2}[\x20.-][0-9]{4}", "social": r"[0-9]{3}-[0-9]{2}-", "grouped": r"0[0-9]{1,4}\)?[\x20/.-][0-9]{2}", "run": r"[0-9](?:[.-]?[0-9]){6}",
-         "number": r"[0-9]{3}", "coded": r"[A-Z]{2}[0-9]{2}", "spelled": r"(?i)at[\])\x20]", "colons": r"[0-9a-fA-F]:[0-9a-fA-F]"}
+         "number": r"[0-9][0-9\x20()./-]{5,}[0-9]", "coded": r"[A-Z]{2}[0-9]{2}", "spelled": r"(?i)at[\])\x20]", "colons": r"[0-9a-fA-F]:[0-9a-fA-F]"}
 CUE = r"(?i)(?:phone|tel|telefon|t[ée]l[ée]phone|mobile?|call|fax|ssn|social security|iban|account|konto|cuenta|compte|mail|contact|address|adresse)\W{0,3}(?:\w{1,6}\W{1,2})?$"
 CONTEXT = 24
 BLOCK = 512
