@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.llm.sample import least_by_hash
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that belong to them.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 #: Feature slots; affixes, n-grams and whole words share them by hash.
 SLOTS = 1 << 16
@@ -236,8 +237,17 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Field:
 
 
 def training_sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, id_col: str | None = None) -> DataFrame:
-    """(text, lang): at most so many texts per language, by hash; an id keeps copies of a text apart."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
+    """(text, lang): at most so many texts per language, by hash; an id keeps copies of a text apart.
+
+    Texts of up to ``SAMPLE_CHARS`` characters are taken; a language that has
+    none is learned from that much of its longer ones.
+    """
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    fits = F.char_length("text") <= SAMPLE_CHARS
+    # One row per language, few by their nature.
+    known = F.broadcast(rows.groupBy(F.col("lang").alias("_lang")).agg(F.bool_or(fits).alias("_some")))
+    rows = rows.join(known, F.col("lang") == F.col("_lang")).where(fits | ~F.col("_some")).withColumn(
+        "text", F.left("text", F.lit(SAMPLE_CHARS)))
     return least_by_hash(rows.select("lang", "text", *([id_col] if id_col else [])), docs_per_language, "lang").select("lang", "text")
 
 

@@ -126,7 +126,7 @@ def remainder(id_col: str, divisor: int):
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     field = langid.fit(docs.where(remainder("doc_id", 3) != 1), "doc_id")
-    held = docs.select(F.struct("doc_id", (remainder("doc_id", 3) == 1).alias("held_out")).alias("row"), "text")
+    held = docs.select(F.struct("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")).alias("row"), "text")
     return langid.predict(held, field, "row").select("row.*", "lang_pred", "score")
 
 
@@ -140,7 +140,7 @@ def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels")
-    held = remainder("doc_id", 5) == 0
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     model = quality.fit(docs, labels.where(~held))
     scored = quality.score(docs, model)
     predicted = (F.col("score") >= quality.PREDICT_AT).cast("int")
