@@ -54,6 +54,46 @@ def test_what_stands_beside_an_article_is_kept():
     assert html.main_text(page).split("\n")[1:] == ["Source one", "Source two"]
 
 
+LONG = "<p>" + "One part, long enough, of what the page tells, with commas. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["main-nav", "post-related", "article-sidebar", "content-ad", "post-share", "story-promo", "user-feedback"])
+def test_compound_names_are_judged_by_their_last_word(name):
+    page = f'<div class="post">{LONG * 2}</div><div class="{name}">{LONG}</div>'
+    assert len(html.main_text(page).split("\n")) == 2
+    assert len(html.main_text(page.replace("class", "id")).split("\n")) == 2
+
+
+@pytest.mark.parametrize("page, blocks", [
+    (f'<div class="widget">{LONG * 3}</div>', 3), (f'<div class="search-results-page">{LONG * 3}</div>', 3),
+    (f'<div class="sidebar">{LONG * 3}</div>', 3), (f'<body class="has-sidebar"><div class="with-nav">{LONG * 3}</div></body>', 3),
+    (f'<article>{LONG}<div class="alert">Mind the gap, reader, here.</div>{LONG}</article>', 3),
+    (f'<article>{LONG}<p class="search">A search began.</p><p id="hidden-fees">Fees rose.</p></article>', 3),
+    (f'<article><div class="entry-header"><h1>Title</h1></div>{LONG}</article>', 2),
+    (f'<div>{LONG * 2}</div><div id="discussion">{LONG}</div>', 2), (f'<article>{LONG}<section id="discussion">{LONG}</section></article>', 2),
+    (f'<div><div>{LONG * 5}</div><div>{LONG}</div></div>', 6),
+    (f'<div><div><div>{LONG * 3}</div></div><div><div>{LONG * 3}</div></div></div>', 6),
+    (f'<div><p>A short lead</p><div>{LONG * 4}</div><p>The end</p></div>', 6),
+    ("<table><tr><td>a, b</td><td>c</td><td>d</td></tr></table>", 3),
+    (f'<table><tr><td><a>Home</a></td><td>{LONG * 3}</td></tr></table>', 3),
+])
+def test_articles_lose_and_gain_nothing(page, blocks):
+    assert len(html.main_text(page).split("\n")) == blocks
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>one <script>x()</script> two</p>", "one two"), ('<article><p>one <span class="ad">x</span> two</p></article>', "one two"),
+    ('<article><p>one <span hidden>x</span>two</p></article>', "one two"), ("<article><p>so <math><mi>x</mi></math> is</p></article>", "so x is"),
+])
+def test_dropped_inline_elements_break_no_block(page, text):
+    assert html.main_text(page) == text
+
+
+def test_an_empty_table_of_pages(spark):
+    none = spark.createDataFrame([], "html string, text string").select(html.extract(F.col("html")).alias("t"), "text")
+    assert none.count() == 0
+
+
 def test_deep_and_long_pages_end():
     assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert len(html.main_text("<article>" + "<p>word, word</p>" * 20000 + "</article>").split("\n")) == 20000
@@ -334,3 +374,29 @@ def test_attention_gradient_is_that_of_the_loss():
         down = loss()
         model.weights[name][at] = kept
         assert np.isclose((up - down) / (2 * small), slope[at], atol=1e-7)
+
+
+def test_unrelated_digits_do_not_decide_about_a_number(spark):
+    texts = ["tel 12 34 56 78 90 x", "tel 12 34 56 78 90 x, room 555"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.s for r in pii.find(rows).select("doc_id", pii.joined(F.col("spans")).alias("s")).orderBy("doc_id").collect()]
+    assert got[0] == got[1]
+    for name, guard in pii.GUARD.items():
+        for sample in ["12 34 56 78 90", "202-555-0143", "123-45-6789", "01 23 45 67 89", "GB29 NWBK 6016", "a.b [at] c.d", "1:2:3:4:5", "1234567"]:
+            if re.search((pii.WIDE | pii.BOUNDED)[name], sample):
+                assert re.search(guard, sample), (name, sample)
+
+
+def test_letters_by_category_with_their_marks():
+    assert langid.WORD.findall("½ ² ① x² हिन्दी e\u0301t 3rd") == ["x", "हिन्दी", "e\u0301t", "rd"]
+
+
+def test_texts_without_letters_and_languages_of_long_texts(spark):
+    rows = [("de", "und der Wald ist groß " * 3), ("en", "the woods are deep " * 3), ("fr", "la forêt est grande et belle " * 1200), (None, "x"), ("en", None)]
+    table = spark.createDataFrame(rows * 5, "lang string, text string")
+    sample = langid.training_sample(table).groupBy("lang").agg(F.max(F.char_length("text")).alias("n")).collect()
+    assert {r.lang for r in sample} == {"de", "en", "fr"} and max(r.n for r in sample) == langid.SAMPLE_CHARS
+    docs = spark.createDataFrame([(1, "½ ² ①"), (2, "la forêt est belle"), (None, None)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(table)).collect()}
+    assert got == {1: "und", 2: "fr", None: "und"}
+    assert langid.predict(docs.limit(0), langid.fit(table)).count() == 0
