@@ -30,6 +30,51 @@ def src1(spark, sf):
     return docs.drop("text")
 
 
+_RECORD = "doc_id bigint, source string, text string"
+
+
+def _exported(spark, sf, fmt):
+    """The documents as files of a format; a fiftieth of the JSON lines are torn."""
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    docs = X.given(spark, sf, "documents").select("doc_id", "source", "text")
+    if fmt == "json":
+        line = F.to_json(F.struct("doc_id", "source", "text"))
+        docs.select(F.when(F.col("doc_id") % 50 == 7, F.left(line, F.lit(20))).otherwise(line).alias("value")).write.text(folder)
+    elif fmt == "csv":
+        docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    else:
+        docs.write.format(fmt).save(folder)
+    return folder
+
+
+def _read_back(spark, sf, fmt):
+    root = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    good, bad = scan.read_records(spark, _exported(spark, sf, fmt), fmt, _RECORD, root)
+    rows = good.select("doc_id", "source", F.md5("text").alias("digest"), F.lit("").alias("reason"))
+    none = F.lit(None)
+    return rows.unionByName(bad.select(
+        none.cast("long").alias("doc_id"), none.cast("string").alias("source"), F.md5("record").alias("digest"), "reason"))
+
+
+_WHOLE = "SELECT doc_id, source, md5(text) AS digest, '' AS reason FROM documents WHERE text <> ''"
+
+
+@query("src1_json_scan", f"""{_WHOLE} AND doc_id % 50 <> 7 UNION ALL
+SELECT NULL, NULL, md5(left('{{"doc_id":' || doc_id || ',"source":"' || source || '"', 20)), 'malformed' FROM documents WHERE doc_id % 50 = 7""")
+def src1_json(spark, sf):
+    return _read_back(spark, sf, "json")
+
+
+@query("src1_csv_scan", _WHOLE)
+def src1_csv(spark, sf):
+    return _read_back(spark, sf, "csv")
+
+
+@query("src1_orc_scan", _WHOLE)
+def src1_orc(spark, sf):
+    return _read_back(spark, sf, "orc")
+
+
 _EXT = Q.array(L.UPLOAD_EXTENSIONS)
 
 

@@ -39,6 +39,46 @@ def read_documents(
     return df.where(F.col(text).isNotNull() & (F.col(text) != ""))
 
 
+BAD = "_bad_record"
+
+
+def _records(spark: SparkSession, path: str | Sequence[str], fmt: str, schema: str) -> DataFrame:
+    """Rows of the schema and, for records that do not fit it, their raw text."""
+    paths = [path] if isinstance(path, str) else list(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    wide = f"{schema}, {BAD} string"
+    if fmt == "json":
+        lines = spark.read.text(paths).where(trim("value") != "")
+        return lines.select(F.from_json("value", wide, options).alias("r")).select("r.*")
+    if fmt == "csv":
+        reader = spark.read.options(**options, header=True, multiLine=True, escape='"')
+        return reader.schema(wide).csv(paths)
+    if fmt == "orc":
+        # Records of a columnar file are whole; files that cannot be read are left out.
+        rows = spark.read.option("ignoreCorruptFiles", True).schema(schema).orc(paths)
+        return rows.withColumn(BAD, F.lit(None).cast("string"))
+    raise ValueError(f"no records in format {fmt}")
+
+
+def read_records(
+    spark: SparkSession, path: str | Sequence[str], fmt: str, schema: str, root: str, text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(documents, bad): records with a text, and what could not be read as ``(record, reason)``.
+
+    The files are parsed once; both sides are written below ``root`` and read
+    from there.  A record that breaks the schema is kept as its raw text, one
+    without a text as an empty record of that reason.
+    """
+    rows = _records(spark, path, fmt, schema)
+    empty = F.col(text).isNull() | (F.col(text) == "")
+    reason = F.when(F.col(BAD).isNotNull(), "malformed").when(empty, "no text").otherwise("")
+    rows.withColumn("reason", reason).write.partitionBy("reason").parquet(root)
+    written = spark.read.schema(f"{schema}, {BAD} string, reason string").parquet(root)
+    good = written.where(F.coalesce("reason", F.lit("")) == "").drop(BAD, "reason")
+    bad = written.where(F.col("reason") != "").select(F.coalesce(BAD, F.lit("")).alias("record"), "reason")
+    return good, bad
+
+
 def spread_small_scan(df: DataFrame) -> DataFrame:
     """Use every core on an input that has fewer splits than the cluster has slots.
 

@@ -472,3 +472,20 @@ def test_paragraphs_stay_where_they_are(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     for line in plan.split("\n"):
         assert not ("Exchange hashpartitioning" in line and "doc_id" in line)
+
+
+def test_bad_records_are_kept(spark):
+    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    lines = ['{"id": 1, "text": "a"}', '{"id": 2, "te', '{"id": "x", "text": "b"}', '{"id": 3, "text": ""}', "", '{"id": 4}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{root}/json")
+    good, bad = scan.read_records(spark, f"{root}/json", "json", "id int, text string", f"{root}/out")
+    assert [tuple(r) for r in good.collect()] == [(1, "a")]
+    assert sorted(tuple(r) for r in bad.collect()) == [
+        ("", "no text"), ("", "no text"), ('{"id": "x", "text": "b"}', "malformed"), ('{"id": 2, "te', "malformed")]
+    spark.createDataFrame([("id,text",), ('1,"a, ""b""',), (' c"',), ("x,d",), ("2,e",)], "value string").coalesce(1).write.text(f"{root}/csv")
+    good, bad = scan.read_records(spark, f"{root}/csv", "csv", "id int, text string", f"{root}/out2")
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 'a, "b"\n c'), (2, "e")]
+    assert [tuple(r) for r in bad.collect()] == [("x,d", "malformed")]
+    files = f"{root}/text"
+    spark.createDataFrame([("one\ntwo",)], "value string").coalesce(1).write.text(files)
+    assert [r.text for r in scan.read_documents(spark, files, "text").collect()] == ["one\ntwo\n"]
