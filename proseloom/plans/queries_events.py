@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..operators import continuity as N
+from ..operators import metrics, score
 from ..session import cut_lineage, shared_dir
 from ..sources import artifacts
 from ..streaming import events as E
@@ -217,18 +218,30 @@ def con13(spark, sf):
     return rows.select("book_id", "chapter", "section", "subject")
 
 
-@query("con14_chapter_gate", f"""WITH {_FLOW} SELECT book_id, chapter, {_VERDICT} AS flow_verdict,
-  CASE WHEN chapter % 2 = 0 AND blockers = 0 AND majors = 0 THEN 'validated' ELSE 'needs_work' END AS status,
-  CAST(blockers + majors + minors + 1 AS BIGINT) AS n_issues FROM fv""")
+def _gate_sql() -> str:
+    """Style reports of the chapters against their own book, beside the continuity verdicts."""
+    from .queries_text import _FID, _SAID, STORY
+
+    fid = _FID.replace(f"{STORY}, ", "").replace("stories", "dd")
+    return f"""{DR}, {_FLOW}, dd AS (SELECT book_id * 100000 + chapter AS doc_id, book_id, chapter, text FROM drafts), {fid}, {_SAID},
+ln AS (SELECT doc_id, count(*) AS n FROM loud GROUP BY doc_id),
+gt AS (SELECT v.*, fidelity, word_count, coalesce(n, 0) AS said FROM fv v
+  JOIN dd ON dd.book_id = v.book_id AND dd.chapter = v.chapter JOIN fid ON fid.doc_id = dd.doc_id LEFT JOIN ln ON ln.doc_id = dd.doc_id)"""
+
+
+@query("con14_chapter_gate", f"""WITH {_gate_sql()} SELECT book_id, chapter, {_VERDICT} AS flow_verdict, fidelity, word_count,
+  CASE WHEN fidelity >= 80 AND blockers = 0 AND majors = 0 THEN 'validated' ELSE 'needs_work' END AS status,
+  CAST(blockers + majors + minors + said AS BIGINT) AS n_issues FROM gt""")
 def con14(spark, sf):
     drafts, issues = _all_issues(spark, sf)
     status = drafts.select("book_id", "chapter", F.lit("drafted").alias("status"))
-    styles = drafts.select(
-        "book_id", "chapter", F.lit(0).cast("long").alias("word_count"), F.lit(90).alias("fidelity"),
-        F.when(F.col("chapter") % 2 == 0, "pass").otherwise("revise").alias("verdict"),
-        F.array(F.lit("Vary the openings.")).alias("instructions"))
+    measured = cut_lineage(score.measured_drafts(drafts, ["book_id", "chapter"]))
+    styles = score.reports(
+        measured, metrics.fingerprints(measured, ["book_id"]), ["book_id", "chapter"], ["book_id"],
+        columns=("word_count", "fidelity", "verdict", "instructions"))
     gate = N.chapter_gate(status, N.flow_reports(drafts, issues), issues, styles)
-    return gate.select("book_id", "chapter", "flow_verdict", "status", F.size("issues").cast("long").alias("n_issues"))
+    return gate.select(
+        "book_id", "chapter", "flow_verdict", "fidelity", "word_count", "status", F.size("issues").cast("long").alias("n_issues"))
 
 
 # --- logs -------------------------------------------------------------------------------
@@ -443,13 +456,18 @@ def _transcript(spark, sf):
 E_INPUT = "struct<subagent_type:string,description:string>"
 
 
-@query("str10_transcript_events", """WITH t AS (SELECT conv_id AS run_id, turn FROM conversations), e AS (
-  SELECT run_id, 'note' AS kind FROM t WHERE turn % 4 <> 1 UNION ALL SELECT run_id, 'step' FROM t WHERE turn % 4 IN (0, 2)
-  UNION ALL SELECT run_id, 'error' FROM t WHERE turn % 4 = 1 AND turn % 3 = 0)
-SELECT run_id, kind, count(*) AS n FROM e GROUP BY run_id, kind""")
+_SQUEEZED = Q.trim(Q.sub("text", r"\s+", " "))
+
+
+@query("str10_transcript_events", f"""WITH t AS (SELECT conv_id AS run_id, turn AS line_no, turn % 4 AS m, {_SQUEEZED} AS said FROM conversations)
+SELECT run_id, line_no, 0 AS part, 'note' AS kind, said AS text, NULL AS session_id, NULL AS agent, false AS done FROM t
+  WHERE m IN (0, 2) AND said <> ''
+UNION ALL SELECT run_id, line_no, CASE WHEN said = '' THEN 0 ELSE 1 END, 'step', 'Handing over to Editor: trim it.', 't' || line_no, 'Editor', false
+  FROM t WHERE m IN (0, 2)
+UNION ALL SELECT run_id, line_no, 0, 'error', 'A step failed: boom', NULL, NULL, false FROM t WHERE m = 1 AND line_no % 3 = 0
+UNION ALL SELECT run_id, line_no, 0, 'note', 'plain words, not json', NULL, NULL, false FROM t WHERE m = 3""")
 def str10(spark, sf):
-    ev = E.transcript_events(_transcript(spark, sf))
-    return ev.groupBy("run_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return E.transcript_events(_transcript(spark, sf))
 
 
 @query("str10_delegated_sessions", """WITH t AS (SELECT conv_id AS run_id, turn FROM conversations)

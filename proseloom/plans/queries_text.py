@@ -521,26 +521,33 @@ def agg10(spark, sf):
     return a.select("book_id", F.array_join("audience", "|").alias("audience"), "audience_confidence")
 
 
-_ITALIC_FREE = "regexp_replace(m, '\\*\\*+', chr(2), 'g')"
+def _italics(x: str) -> str:
+    """Spans between lone stars: runs of stars become another sign first, as this dialect cannot look behind."""
+    masked = f"regexp_replace({x}, '[*][*]+', chr(2), 'g')"
+    inside = chr(92) + "s*" + chr(92) + "n" + chr(2)
+    return f"len(regexp_extract_all({masked}, {Q.lit('[*][^' + inside + '](?:[^*' + chr(92) + 'n' + chr(2) + ']*[^' + inside + '])?[*]')}))"
+
+
 _FMT = f"""md AS (SELECT page_id, {_html_sql()} AS m FROM pages),
 obs AS (SELECT page_id, {Q.n_words('m')} AS word_count, {Q.hits('m', L.FORMAT_DIALOGUE, False)} AS dialogue_count,
   {Q.hits('m', L.FORMAT_BOLD_DIALOGUE, False)} AS bold_dialogue_count,
-  {Q.hits('m', L.FORMAT_BOLD, False)} AS bold_count FROM md)"""
+  {Q.hits('m', L.FORMAT_BOLD, False)} AS bold_count, {_italics('m')} AS italic_count FROM md)"""
 
 
 @query("agg11_formatting", f"WITH {_FMT} SELECT page_id, CAST(word_count AS BIGINT) AS word_count, dialogue_count, "
-                           f"bold_dialogue_count, bold_count FROM obs")
+                           f"bold_dialogue_count, bold_count, italic_count FROM obs")
 def agg11(spark, sf):
     md = src4(spark, sf).withColumnRenamed("markdown", "text")
-    return formatting.observations(md, ["page_id"]).drop("italic_count")
+    return formatting.observations(md, ["page_id"])
 
 
 @query("agg12_convention_rollup", f"""WITH {STORY}, o AS (SELECT book_id, doc_id,
-  {Q.hits("replace(text, chr(34) || chr(10), chr(34))", L.FORMAT_BOLD_DIALOGUE, False)} AS b, {Q.hits('text', r"[*] [*] [*]", False)} AS stars
-  FROM stories) SELECT book_id, count(*) AS sources, count(*) FILTER (b > 0) AS bold_dialogue_sources FROM o GROUP BY book_id""")
+  {Q.hits("replace(text, chr(34) || chr(10), chr(34))", L.FORMAT_BOLD_DIALOGUE, False)} AS b, {_italics('text')} AS i
+  FROM stories) SELECT book_id, count(*) AS sources, count(*) FILTER (b > 0) AS bold_dialogue_sources,
+  count(*) FILTER (i > 0) AS italic_sources FROM o GROUP BY book_id""")
 def agg12(spark, sf):
     seen = formatting.observations(X.stories(spark, sf), ["book_id", "doc_id"])
-    return formatting.conventions(seen, ["book_id"]).drop("italic_sources")
+    return formatting.conventions(seen, ["book_id"])
 
 
 # --- scoring ------------------------------------------------------------------------------
@@ -634,7 +641,28 @@ def sco11(spark, sf):
     return _reports(spark, sf, "verdict", "thin_corpus", "short_draft")
 
 
-@query("sco12_instructions")
+def _number_sql(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+_TEMPLATES = ", ".join(
+    f"({Q.lit(m)}, {Q.lit(score._templates(m, label)[0])}, {Q.lit(score._templates(m, label)[1])})"
+    for m, _, label, *_ in score.COMPARED)
+# Notes of findings, then instructions of deviations, both without minor ones.
+_SAID = f"""tp AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(metric, above, below)),
+nt AS (SELECT doc_id, 1 AS part, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK} DESC, n DESC, step, value) AS p, severity,
+  CASE step WHEN 1 THEN 'Repeated phrase, ' || n || ' uses: "' || value || '".' WHEN 2 THEN 'Repeated opening, ' || n || ' sentences: "' || value || '".'
+    WHEN 3 THEN 'Paragraphs hardly differ in length: mean ' || split_part(value, ' words ±', 1) || ', deviation ' || split_part(value, '±', 2) || ' words.'
+    WHEN 4 THEN 'Repeated tag, ' || n || ' uses: "' || value || '".'
+    ELSE 'Speeches hardly differ in length: ' || n || ' of them, mean ' || split_part(split_part(value, '~', 2), ' ', 1) || ' words.' END AS said FROM rep),
+dn AS (SELECT doc_id, 2 AS part, position AS p, severity, replace(replace(CASE WHEN direction = 'above' THEN above ELSE below END,
+    '{{author}}', {_number_sql('author')}), '{{target}}', 'author runs ' || {_number_sql('author')} || ', this draft runs ' || {_number_sql('draft')}) AS said
+  FROM dev JOIN tp USING (metric)),
+loud AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, p) - 1 AS position
+  FROM (SELECT * FROM nt UNION ALL SELECT * FROM dn) WHERE severity <> 'minor')"""
+
+
+@query("sco12_instructions", f"WITH {_FID}, {_SAID} SELECT doc_id, CAST(position AS INTEGER) AS position, said AS instruction FROM loud")
 def sco12(spark, sf):
     return _reports(spark, sf, "instructions").select(
         "doc_id", F.posexplode(rows("instructions")).alias("position", "instruction"))
