@@ -220,11 +220,11 @@ def int6(spark, sf):
 _KEYS = Q.array(L.FINDING_KEYS)
 _ANSWERS = ["lengthTarget", "chapterWords", "chapterCount", "prologue", "epilogue", "audience", "spice", "revealPolicy"]
 _FOUND = f"""fd AS (SELECT DISTINCT source AS book_id, {_KEYS}[CAST(doc_id // 20 % 13 AS INT) + 1] AS key,
-    {_KEYS}[CAST(doc_id // 20 % 13 AS INT) + 1] || ' note' AS value FROM documents WHERE text <> '' AND doc_id % 3 = 0),
+    {_KEYS}[CAST(doc_id // 20 % 13 AS INT) + 1] || ' note' AS value FROM documents WHERE text <> '' AND lang = 'fr'),
 an AS (SELECT DISTINCT source AS book_id, {Q.array(_ANSWERS)}[CAST(doc_id // 20 % 8 AS INT) + 1] AS key FROM documents
-    WHERE text <> '' AND doc_id % 5 = 0),
+    WHERE text <> '' AND lang = 'de'),
 ed AS (SELECT DISTINCT source AS book_id, {_KEYS}[CAST(doc_id // 20 % 13 AS INT) + 1] AS key,
-    CASE WHEN doc_id // 20 % 2 = 0 THEN '' ELSE 'fixed' END AS value FROM documents WHERE text <> '' AND doc_id % 7 = 0),
+    CASE WHEN doc_id // 20 % 2 = 0 THEN '' ELSE 'fixed' END AS value FROM documents WHERE text <> '' AND lang = 'es'),
 bk AS (SELECT DISTINCT source AS book_id, CAST(substr(source, 4) AS BIGINT) AS b FROM documents WHERE text <> '')"""
 _BOOKS = """gn AS (SELECT *, CASE b % 4 WHEN 0 THEN 'Romance' WHEN 1 THEN 'Mystery' WHEN 2 THEN 'Fantasy' END AS genre, b % 3 = 0 AS no_past,
     b % 2 = 0 AS series FROM bk)"""
@@ -234,21 +234,26 @@ def _slot(values):
     return F.get(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("doc_id") / F.lit(20)) % len(values)).cast("int"))
 
 
+def _of_language(spark, sf, lang):
+    """Documents of one language: French ones stand for findings, German ones for answers, Spanish ones for corrections."""
+    return X.given(spark, sf, "documents").where((F.col("text") != "") & (F.col("lang") == lang))
+
+
 def _found(spark, sf):
-    d = X.documents(spark, sf).where(F.col("doc_id") % 3 == 0)
+    d = _of_language(spark, sf, "fr")
     return d.select(F.col("source").alias("book_id"), _slot(L.FINDING_KEYS).alias("key")).distinct().select(
         "book_id", "key", F.concat("key", F.lit(" note")).alias("value"), F.lit(0.6).alias("confidence"),
         F.lit("Measured.").alias("evidence"))
 
 
 def _answers(spark, sf):
-    d = X.documents(spark, sf).where(F.col("doc_id") % 5 == 0)
+    d = _of_language(spark, sf, "de")
     return d.select(F.col("source").alias("book_id"), _slot(_ANSWERS).alias("key")).distinct().withColumn(
         "answer", F.lit("yes"))
 
 
 def _edits(spark, sf):
-    d = X.documents(spark, sf).where(F.col("doc_id") % 7 == 0)
+    d = _of_language(spark, sf, "es")
     blank = F.floor(F.col("doc_id") / F.lit(20)) % 2 == 0
     return d.select(F.col("source").alias("book_id"), _slot(L.FINDING_KEYS).alias("key"),
                     F.when(blank, "").otherwise("fixed").alias("value")).distinct()
@@ -312,12 +317,14 @@ def int9(spark, sf):
     return G.pending_questions(plan, _answers(spark, sf), asked, ["book_id"]).select("book_id", "key")
 
 
-@query("int9_blocking_questions", """SELECT source AS book_id, count(*) AS n FROM documents WHERE text <> '' AND doc_id % 2 = 0 AND doc_id % 3 > 0 GROUP BY source""")
+@query("int9_blocking_questions", """SELECT source AS book_id, 'q' || doc_id AS key FROM documents
+WHERE text <> '' AND lang = 'en' AND n_chars <= 2000""")
 def int9_blocking(spark, sf):
-    d = F.col("doc_id")
-    asked = X.documents(spark, sf).select(
-        F.col("source").alias("book_id"), (d % 2 == 0).alias("blocking"), F.when(d % 3 == 0, "done").alias("answer"))
-    return G.blocking_questions(asked).groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = X.given(spark, sf, "documents").where(F.col("text") != "")
+    asked = docs.select(
+        F.col("source").alias("book_id"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("key"),
+        (F.col("lang") == "en").alias("blocking"), F.when(F.col("n_chars") > 2000, "done").alias("answer"))
+    return G.blocking_questions(asked).select("book_id", "key")
 
 
 @query("int10_corrections", f"""WITH {_FOUND}, e1 AS (SELECT book_id, key, max(value) AS edit FROM ed GROUP BY ALL),
@@ -330,6 +337,60 @@ def int10(spark, sf):
     return G.apply_edits(_found(spark, sf), edits, ["book_id"]).select("book_id", "key", "value", "edited", "confidence")
 
 
+_MERGED = """e1 AS (SELECT book_id, key, max(value) AS edit FROM ed GROUP BY ALL),
+mg AS (SELECT coalesce(fd.book_id, e1.book_id) AS book_id, coalesce(fd.key, e1.key) AS key FROM fd FULL JOIN e1
+  ON fd.book_id = e1.book_id AND fd.key = e1.key WHERE edit IS NULL OR edit <> ''),
+ge AS (SELECT book_id, CASE WHEN b % 6 < 2 THEN '' ELSE 'Romance' END AS edit FROM gn WHERE b % 2 = 0),
+g2 AS (SELECT gn.* EXCLUDE (genre), CASE WHEN edit IS NULL THEN genre ELSE nullif(edit, '') END AS genre, edit IS NOT NULL AS edited
+  FROM gn LEFT JOIN ge USING (book_id))"""
+
+
+def _genre_edits(spark, sf):
+    """Series are corrected: some lose their genre, the others become romances."""
+    b = F.col("b")
+    return X.documents(spark, sf).select(F.col("source").alias("book_id")).distinct().withColumn(
+        "b", F.substring("book_id", 4, 10).cast("long")).where(b % 2 == 0).select(
+        "book_id", F.lit("genre").alias("key"), F.when(b % 6 < 2, "").otherwise("Romance").alias("value"))
+
+
+@query("int10_genre_corrections", f"""WITH {_FOUND}, {_BOOKS}, {_MERGED} SELECT book_id, coalesce(genre, '') AS genre,
+  CASE WHEN edited THEN 1.0 ELSE 0.5 END AS confidence FROM g2""")
+def int10_genres(spark, sf):
+    genres = _state(spark, sf).select("book_id", "genre", F.lit(0.5).alias("confidence"))
+    fixed = G.apply_genre_edits(genres, _genre_edits(spark, sf), ["book_id"])
+    return fixed.select("book_id", F.coalesce("genre", F.lit("")).alias("genre"), "confidence")
+
+
+@query("int10_gaps_after_corrections", f"WITH {_FOUND}, {_BOOKS}, {_MERGED} "
+       + _unknown_sql().replace("FROM gn", "FROM g2").replace("gn.", "g2.").replace("FROM fd WHERE fd.", "FROM mg WHERE mg."))
+def int10_gaps(spark, sf):
+    edits = _edits(spark, sf).groupBy("book_id", "key").agg(F.max("value").alias("value"))
+    found = G.apply_edits(_found(spark, sf), edits, ["book_id"])
+    state = _state(spark, sf)
+    genres = G.apply_genre_edits(
+        state.select("book_id", "genre", F.lit(0.5).alias("confidence")), _genre_edits(spark, sf), ["book_id"])
+    books = state.select("book_id", "documents", "shape", "past_books", "length_range")
+    fixed = G.project_state(
+        books, found, genres.withColumn("subgenre", F.lit(None).cast("string")), _answers(spark, sf), ["book_id"])
+    return G.unknowns(fixed, ["book_id"]).select("book_id", "unknown")
+
+
+# The chain on measured findings: no SQL states the findings themselves.
+@query("int10_chain_on_findings")
+def int10_chain(spark, sf):
+    """Questions still open after the measured findings of every book are corrected and fill the intake."""
+    lib, names, genres, profiles = _context(spark, sf)
+    found = cut_lineage(G.findings(lib, names, genres, profiles, ["book_id"]))
+    edits = _edits(spark, sf).groupBy("book_id", "key").agg(F.max("value").alias("value"))
+    fixed = cut_lineage(G.apply_edits(found, edits, ["book_id"]))
+    intake = G.prefill(_answers(spark, sf), fixed, edits, ["book_id"])
+    books = lib.groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.array_contains("kinds", "past_book")).alias("past_books"))
+    books = books.select("book_id", "documents", "past_books", F.lit("standalone").alias("shape"), F.lit(None).cast("string").alias("length_range"))
+    state = G.project_state(books, fixed, genres.select("book_id", "genre", F.lit(None).cast("string").alias("subgenre")), intake, ["book_id"])
+    return G.question_plan(state, ["book_id"]).select("book_id", "position", "key", "question", "blocking")
+
+
 @query("int10_prefill", f"""WITH {_FOUND}, ms AS (SELECT book_id, CASE key WHEN 'audience' THEN 'audience' ELSE 'spice' END AS key, value
   FROM fd WHERE key IN ('audience', 'intimacy'))
 SELECT coalesce(an.book_id, ms.book_id) AS book_id, coalesce(an.key, ms.key) AS key, CASE WHEN an.key IS NOT NULL THEN 'yes' ELSE value END AS answer
