@@ -290,7 +290,51 @@ def int7(spark, sf):
     return G.unknowns(_state(spark, sf), ["book_id"]).select("book_id", "unknown")
 
 
-@query("int8_question_plan")
+def _about_sql(key: str, word: str, lower: bool = False) -> str:
+    value = f"'{key} note'"
+    return (f"CASE WHEN list_contains(f, '{key}') THEN ' ({word}: ' || {'lower(' + value + ')' if lower else value} || ')' ELSE '' END")
+
+
+def _question_sql() -> str:
+    """Every rule in order with its question; findings of this table are all below the firm confidence."""
+    genre = "' Genre so far: ' || coalesce(genre, 'unnamed genre') || '.'"
+    no = lambda k: f"NOT list_contains(f, '{k}')"
+    romance, mystery = "coalesce(genre = 'Romance', false)", "coalesce(genre IN ('Mystery', 'Thriller'), false)"
+    rules = [
+        ("storyPromise", no("premise"), True, "", "'State the promise of the book to its reader.' || "
+         + _about_sql("protagonist", "lead") + " || " + _about_sql("setting", "setting") + " || " + genre),
+        ("protagonistArc", "true", True, "", "'Name the lead, the first want and the final change.' || " + _about_sql("protagonist", "candidate")),
+        ("relationshipArc", romance, True, "", "'Describe how the couple moves from first page to last, and at what price.' || "
+         + _about_sql("relationships", "noted")),
+        ("centralConflict", no("centralConflict"), True, "", "'Who or what stands in the way, and what is lost on defeat?' || "
+         + _about_sql("protagonist", "lead") + " || " + genre),
+        ("settingRules", no("setting"), False, "", "'Give place, period and the rules scenes must obey.'"),
+        ("endingAndStructure", no("structure"), True, "", "'Give the ending and any fixed turning points.' || " + genre),
+        ("audience", no("audience"), True, "Adult|New adult|Young adult|Middle grade|Children|Other",
+         "'Pick the shelf. Genre so far: ' || coalesce(genre, 'unnamed genre') || '.'"),
+        ("spice", romance, True, "None|Romantic tension only|Fade to black|Open door|Explicit|Very explicit",
+         "'Pick the limit for intimate scenes.' || " + _about_sql("intimacy", "measured", True)),
+        ("revealPolicy", mystery, True, "Keep secret|Imply early|Explain progressively|Fully expose in plans",
+         "'Pick how openly plans may treat the secret at the core.'"),
+        ("seriesPosition", f"series AND {no('structure')}", True, "", "'Which volume is this, and what does it inherit or leave open?'"),
+        ("lengthTarget", no("structure"), False, "", "'Give total words and the usual chapter size.'"),
+        ("lengthTarget", f"no_past AND NOT {no('structure')}", True, "", "'Give total words.'"),
+        ("chapterWords", "no_past", True, "", "'Give words per chapter, one number or a range.'"),
+        ("chapterCount", "no_past", True, "", "'Give a rough number of chapters.'"),
+        ("prologue", f"no_past AND {no('prologue')}", True, "Yes|No|Undecided", "'Prologue: yes or no, and for what?'"),
+        ("epilogue", f"no_past AND {no('epilogue')}", True, "Yes|No|Undecided", "'Epilogue: yes or no, and for what?'"),
+    ]
+    rows = " UNION ALL ".join(
+        f"SELECT book_id, {i} AS i, '{key}' AS key, {question} AS question, '{options}' AS options, {str(blocking).lower()} AS blocking "
+        f"FROM x WHERE ({condition}) AND NOT list_contains(a, '{key}')"
+        for i, (key, condition, blocking, options, question) in enumerate(rules))
+    return f"""has AS (SELECT book_id, list(key) AS ks FROM fd GROUP BY book_id), ans AS (SELECT book_id, list(key) AS ks FROM an GROUP BY book_id),
+x AS (SELECT gn.*, coalesce(has.ks, CAST([] AS VARCHAR[])) AS f, coalesce(ans.ks, CAST([] AS VARCHAR[])) AS a
+  FROM gn LEFT JOIN has USING (book_id) LEFT JOIN ans USING (book_id)), qs AS ({rows})
+SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY i) - 1 AS INTEGER) AS position, key, question, options, blocking FROM qs"""
+
+
+@query("int8_question_plan", f"WITH {_FOUND}, {_BOOKS}, {_question_sql()}")
 def int8(spark, sf):
     return G.question_plan(_state(spark, sf), ["book_id"]).select(
         "book_id", "position", "key", "question", F.array_join("options", "|").alias("options"), "blocking")

@@ -95,9 +95,14 @@ def src2(spark, sf):
     return scan.admit(X.library(spark, sf), "book_id", "ord")
 
 
-@query("src3_folder_index")
+@query("src3_folder_index", """SELECT DISTINCT 'source=' || source AS folder, 1 AS depth, true AS filled FROM documents WHERE text <> ''""")
 def src3(spark, sf):
-    return scan.folder_index(spark, sf, pattern="*.parquet").select("relative", "name", "depth", "length")
+    """The folders of the documents exported by source."""
+    folder = f"{shared_dir(spark)}/library-{uuid.uuid4().hex}"
+    X.documents(spark, sf).select("doc_id", "source").write.partitionBy("source").parquet(folder)
+    files = scan.folder_index(spark, folder, pattern="*.parquet")
+    return files.groupBy(F.element_at(F.split("relative", "/"), 1).alias("folder"), F.col("depth").cast("int").alias("depth")).agg(
+        F.bool_and(F.col("length") > 0).alias("filled"))
 
 
 def _html_sql(x: str = "html") -> str:
