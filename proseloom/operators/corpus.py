@@ -30,7 +30,8 @@ def measured_passages(docs: DataFrame, delimiter: str = L.BLANK_LINE) -> DataFra
 
 def document_stats(docs: DataFrame) -> DataFrame:
     """Story words, chapters and words per chapter of every document."""
-    return manuscript.document_stats(manuscript.manuscripts(docs, ["book_id", "doc_id"]), ["book_id", "doc_id"])
+    key = ["book_id", "doc_id"]
+    return manuscript.document_stats(manuscript.manuscripts(docs, key, columns=["story_words", "chapters"]), key)
 
 
 TABLES = ("measures", "passages", "document_stats", "fingerprints")

@@ -21,6 +21,7 @@ from ..functions.scalar import (
     count_matches,
     let,
     matches,
+    ranked_values,
     ratio,
     replace_all,
     rows,
@@ -243,16 +244,6 @@ def convention_columns() -> dict[str, Column]:
         .otherwise("other")
     )
     breaks = F.filter(F.transform("_main_lines", lambda x: trim(x["line"])), is_scene_break)
-
-    def mode(values: Column) -> Column:
-        counted = F.transform(
-            F.array_distinct(values),
-            lambda v, i: F.struct(
-                (-F.size(F.filter(values, lambda x: x == v))).alias("rank"), i.alias("i"), v.alias("v")
-            ),
-        )
-        return F.get(F.array_sort(counted), 0)["v"]
-
     curly = count_matches("_main", "[“”]", False)
     straight = count_matches("_main", '"', False)
     em = count_matches("_main", "—", False)
@@ -263,7 +254,7 @@ def convention_columns() -> dict[str, Column]:
     return {
         "heading_example": heading,
         "heading_case": case,
-        "scene_break": let(breaks, mode),
+        "scene_break": F.get(let(breaks, ranked_values), 0),
         "quotes": F.when((curly == 0) & (straight == 0), "none")
         .when(curly > straight * 3, "curly")
         .when(straight > curly * 3, "straight")
@@ -276,30 +267,41 @@ def convention_columns() -> dict[str, Column]:
     }
 
 
-def manuscripts(df: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
-    """One summary row per manuscript, chapters nested."""
-    full = with_chapters(df.select(*key, text), text).withColumn("_done", _completeness())
+def _registry(text: str) -> dict[str, Column]:
+    """Every column of a manuscript row, from the columns of :func:`with_chapters` and ``_done``."""
     rest = lambda at: T.word_count(F.substring(F.col(text), at + 1, F.length(text)))
-    return sealed(full, key, [
-        T.word_count(text).alias("total_words"),
-        T.word_count("_story").alias("story_words"),
-        F.col("story_end").cast("long").alias("story_end"),
-        F.col("_bm.at").cast("long").alias("back_matter_at"),
-        F.col("_bm.heading").alias("back_matter_heading"),
-        F.when(F.col("_bm").isNotNull(), rest(F.col("_bm.at"))).alias("back_matter_words"),
-        F.col("_ep.at").cast("long").alias("epilogue_at"),
-        F.col("_ep.heading").alias("epilogue_heading"),
-        F.when(
+    return {
+        "total_words": T.word_count(text),
+        "story_words": T.word_count("_story"),
+        "story_end": F.col("story_end").cast("long"),
+        "back_matter_at": F.col("_bm.at").cast("long"),
+        "back_matter_heading": F.col("_bm.heading"),
+        "back_matter_words": F.when(F.col("_bm").isNotNull(), rest(F.col("_bm.at"))),
+        "epilogue_at": F.col("_ep.at").cast("long"),
+        "epilogue_heading": F.col("_ep.heading"),
+        "epilogue_words": F.when(
             F.col("_ep").isNotNull(),
             T.word_count(F.substring(F.col("_story"), F.col("_ep.at") + 1, F.length("_story"))),
-        ).alias("epilogue_words"),
-        "chapters",
-        F.col("_done.complete").alias("complete"),
-        F.col("_done.why").alias("complete_why"),
-        tail(F.col("_main")).alias("tail"),
-        *[c.alias(n) for n, c in convention_columns().items()],
-        F.col("_story").alias("story"),
-    ])
+        ),
+        "chapters": F.col("chapters"),
+        "complete": F.col("_done.complete"),
+        "complete_why": F.col("_done.why"),
+        "tail": tail(F.col("_main")),
+        **convention_columns(),
+    }
+
+
+def manuscripts(
+    df: DataFrame, key: Sequence[str], text: str = "text", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """One summary row per manuscript, chapters nested.
+
+    Only the asked ``columns`` are planned, with what they depend on; all
+    without a choice.
+    """
+    full = with_chapters(df.select(*key, text), text).withColumn("_done", _completeness())
+    known = _registry(text)
+    return sealed(full, key, [known[c].alias(c) for c in columns or known])
 
 
 def section_kind(heading: Column) -> Column:

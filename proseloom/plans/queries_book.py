@@ -126,8 +126,8 @@ def cls9(spark, sf):
 CH = f"{STORY}, {B.chapter_ctes('stories')}"
 
 
-def _manuscripts(spark, sf):
-    return manuscript.manuscripts(X.stories(spark, sf), ["book_id", "doc_id"])
+def _manuscripts(spark, sf, *columns):
+    return manuscript.manuscripts(X.stories(spark, sf), ["book_id", "doc_id"], columns=columns or None)
 
 
 @query("man1_chapters", f"WITH {CH} SELECT doc_id, chapter_no, heading, CAST(n_words AS BIGINT) AS n_words, "
@@ -140,21 +140,22 @@ def man1(spark, sf):
                         f"CAST({Q.n_words('substr(story, CAST(ep_at AS BIGINT) + 1)')} AS BIGINT) AS epilogue_words "
                         f"FROM bounds WHERE ep_at IS NOT NULL")
 def man2(spark, sf):
-    return _manuscripts(spark, sf).where(F.col("epilogue_at").isNotNull()).select(
-        "doc_id", "epilogue_at", "epilogue_heading", "epilogue_words")
+    columns = ("epilogue_at", "epilogue_heading", "epilogue_words")
+    return _manuscripts(spark, sf, *columns).where(F.col("epilogue_at").isNotNull()).select("doc_id", *columns)
 
 
 @query("man3_back_matter", f"WITH {CH} SELECT doc_id, CAST(bm_at AS BIGINT) AS back_matter_at, bm_heading AS "
                            f"back_matter_heading, CAST({Q.n_words('substr(text, CAST(bm_at AS BIGINT) + 1)')} AS BIGINT) "
                            f"AS back_matter_words FROM bounds WHERE bm_at IS NOT NULL")
 def man3(spark, sf):
-    return _manuscripts(spark, sf).where(F.col("back_matter_at").isNotNull()).select(
-        "doc_id", "back_matter_at", "back_matter_heading", "back_matter_words")
+    columns = ("back_matter_at", "back_matter_heading", "back_matter_words")
+    return _manuscripts(spark, sf, *columns).where(F.col("back_matter_at").isNotNull()).select("doc_id", *columns)
 
 
 @query("man4_completeness", f"WITH {CH}, {B.completeness_ctes()} SELECT doc_id, complete, why FROM done")
 def man4(spark, sf):
-    return _manuscripts(spark, sf).select("doc_id", "complete", F.col("complete_why").alias("why"))
+    m = _manuscripts(spark, sf, "complete", "complete_why")
+    return m.select("doc_id", "complete", F.col("complete_why").alias("why"))
 
 
 @query("man5_tail", f"""WITH {CH}, tp AS (SELECT doc_id, unnest({Q.paragraphs(B.stripped('main'))}) AS p,
@@ -163,7 +164,7 @@ tw AS (SELECT doc_id, i, p, coalesce(sum({Q.n_words('p')}) OVER (PARTITION BY do
     AND 1 PRECEDING), 0) AS before FROM tp)
 SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY i) AS tail FROM tw WHERE before < 400 GROUP BY doc_id""")
 def man5(spark, sf):
-    return _manuscripts(spark, sf).select("doc_id", "tail").where(F.col("tail") != "")
+    return _manuscripts(spark, sf, "tail").select("doc_id", "tail").where(F.col("tail") != "")
 
 
 _NULLS = "coalesce({0}, '') AS {0}".format
@@ -172,7 +173,7 @@ _NULLS = "coalesce({0}, '') AS {0}".format
 @query("man6_conventions", f"""WITH {CH}, {B.convention_ctes()} SELECT doc_id, {_NULLS('heading_example')}, {_NULLS('heading_case')},
   {_NULLS('scene_break')}, quotes, dashes, indented FROM conv""")
 def man6(spark, sf):
-    m = _manuscripts(spark, sf)
+    m = _manuscripts(spark, sf, "heading_example", "heading_case", "scene_break", "quotes", "dashes", "indented")
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return m.select("doc_id", *[blank(c) for c in ("heading_example", "heading_case", "scene_break")], "quotes",
                     "dashes", "indented")
@@ -193,7 +194,7 @@ def man7(spark, sf):
 SELECT d.doc_id, CAST(CASE WHEN d.doc_id % 2 = 0 AND n > 1 THEN 2 WHEN complete THEN n + 1 ELSE n END AS BIGINT) AS next_chapter
 FROM done d JOIN k USING (doc_id)""")
 def man8(spark, sf):
-    m = _manuscripts(spark, sf)
+    m = _manuscripts(spark, sf, "chapters", "complete")
     status = m.select("doc_id", F.inline(rows("chapters"))).select(
         "doc_id", F.col("chapter_no").alias("number"),
         F.when((F.col("doc_id") % 2 == 0) & (F.col("chapter_no") > 1), "draft").otherwise("approved").alias("status"))
@@ -230,7 +231,7 @@ def agg13(spark, sf):
   count(chapter_no) AS chapter_count, coalesce(string_agg(CAST(n_words AS VARCHAR), ',' ORDER BY chapter_no), '') AS words_per_chapter
 FROM bounds b LEFT JOIN chapters c USING (doc_id) GROUP BY b.doc_id""")
 def agg15(spark, sf):
-    s = manuscript.document_stats(_manuscripts(spark, sf), ["doc_id"])
+    s = manuscript.document_stats(_manuscripts(spark, sf, "story_words", "chapters"), ["doc_id"])
     return s.select("doc_id", "story_words", "chapter_count", F.array_join(
         F.transform("words_per_chapter", lambda x: x.cast("string")), ",").alias("words_per_chapter"))
 

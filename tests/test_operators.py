@@ -489,3 +489,12 @@ def test_bad_records_are_kept(spark):
     files = f"{root}/text"
     spark.createDataFrame([("one\ntwo",)], "value string").coalesce(1).write.text(files)
     assert [r.text for r in scan.read_documents(spark, files, "text").collect()] == ["one\ntwo\n"]
+
+
+def test_only_asked_manuscript_columns_are_planned(spark):
+    d = docs(spark, BOOK)
+    plan = manuscript.manuscripts(d, ["doc_id"], columns=["quotes", "scene_break"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "closing punctuation" not in plan and "Untitled section" not in plan
+    whole = one(manuscript.manuscripts(d, ["doc_id"])).asDict()
+    some = one(manuscript.manuscripts(d, ["doc_id"], columns=["quotes", "scene_break", "complete"])).asDict()
+    assert some == {k: whole[k] for k in ("doc_id", "quotes", "scene_break", "complete")}
