@@ -42,6 +42,7 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
 
 @_query()
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length; pages without text give an empty one."""
     text = html.extract(F.col("html"))
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", text.alias("text"))
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -49,6 +50,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest id of its group of near duplicates."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
@@ -56,6 +58,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base kinds, and all spans."""
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("base", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
     digest = F.sha2(pii.joined(F.col("base")), 256)
@@ -82,11 +85,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 @_query(_TOPK_SQL)
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector, exactly."""
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 @_query()
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources takes of every document, with the targets of its source."""
     taken = mixing.copies(_table(spark, sf_dir, "documents"))
     words = (F.col("copies") * F.col("size")).cast("long")
     return taken.select("doc_id", "size", "source_size", "target", words.alias("taken"))
@@ -102,11 +107,13 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 @_query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as token pieces, and the place of each in a sequence."""
     return packed_pieces(_table(spark, sf_dir, "documents"))
 
 
 @_query()
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families named in every document, with their spans."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = license.scan(docs, license.fit(docs))
     place = lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["end"].cast("string"))
@@ -124,6 +131,7 @@ def remainder(id_col: str, divisor: int):
 
 @_query()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the ids."""
     docs = _table(spark, sf_dir, "documents")
     field = langid.fit(docs.where(remainder("doc_id", 3) != 1), "doc_id")
     held = docs.select(F.struct("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")).alias("row"), "text")
@@ -132,12 +140,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate nearest neighbours of every fiftieth vector, widened until drawn queries reach the wanted recall."""
     vectors = _table(spark, sf_dir, "embeddings")
     return ann.search_until(ann.build(vectors), vectors.where(F.col("vec_id") % 50 == 0))
 
 
 @_query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels of four fifths of the ids."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels")
     held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
