@@ -191,7 +191,12 @@ def normalise(c: Column | str) -> Column:
 
 def mentions(text: Column, phrase: Column) -> Column:
     """Does ``text`` contain ``phrase`` after normalising both; blank never does."""
-    return F.when(trim(phrase) == "", F.lit(False)).otherwise(F.contains(normalise(text), normalise(phrase)))
+    return holds(normalise(text), phrase)
+
+
+def holds(normalised: Column, phrase: Column) -> Column:
+    """:func:`mentions` of a text that is normalised already."""
+    return F.when(trim(phrase) == "", F.lit(False)).otherwise(F.contains(normalised, normalise(phrase)))
 
 
 OFFSET_BLOCK = 512
