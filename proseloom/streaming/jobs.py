@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import state_store
 from . import events as E
 
 EVENT_SCHEMA = (
@@ -39,17 +40,20 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     """Process what is there now into a parquet table; returns the finished query.
 
     Append goes straight to the file sink.  Update and complete write each
-    micro-batch under its own id, so a replayed batch overwrites itself.
+    micro-batch under its own id, so a replayed batch overwrites itself.  State is
+    kept in RocksDB, whatever store the session names.
     """
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", sink).start()
+        writer = writer.outputMode("append").format("parquet").option("path", sink)
     else:
         def save(batch: DataFrame, batch_id: int) -> None:
             out = batch if partitions is None else batch.coalesce(partitions)
             out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-        query = writer.outputMode(mode).foreachBatch(save).start()
+        writer = writer.outputMode(mode).foreachBatch(save)
+    with state_store(stream.sparkSession):
+        query = writer.start()
     query.awaitTermination()
     return query
 

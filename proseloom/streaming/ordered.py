@@ -8,13 +8,14 @@ machine, or the end of the state's life.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import lexicons as L
 from . import events as E
@@ -23,81 +24,67 @@ from . import events as E
 TIME_TO_LIVE = 24 * 3600
 
 
-class _Ordered(StatefulProcessor):
+class _Ordered:
     """Rows ``(ms, seq, ...)`` of a key in order; subclasses give ``STATE``, ``ROW``, ``OUT`` and ``step``.
 
     ``step(ready, state, until)`` gets the rows up to the watermark as a frame in
     order (it may be empty) and the state as a tuple or None, and returns output
     columns by name, the new state, and the next deadline in ms or None.
+
+    The state of a key travels with its rows, so a key costs no calls to the store.
     """
 
     STATE = ROW = OUT = ""
     ttl_ms = TIME_TO_LIVE * 1000
 
-    def init(self, handle):
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.ROW)
-        self.state = handle.getValueState("state", self.STATE)
-
     @staticmethod
     def _names(schema: str) -> list[str]:
         return [field.split()[0] for field in schema.split(", ")]
 
+    @property
+    def kept(self) -> str:
+        """Schema of what is kept of a key: the state, null without one, and the rows that wait."""
+        return f"{self.STATE}, waiting array<struct<{self.ROW.replace(' ', ': ').replace(',:', ',')}>>"
+
     def _result(self, key, out: dict) -> pd.DataFrame:
         """Output rows: the key's columns come first in ``OUT``."""
         names = self._names(self.OUT)
         size = len(out[names[-1]])
-        # Objects, as arrays in chunks cannot be sent.
         return pd.DataFrame({**{k: [v] * size for k, v in zip(names, key)}, **out}, columns=names, dtype=object)
 
-    def _wake(self, ms: int) -> None:
-        timers = list(self.handle.listTimers())
-        if timers and min(timers) <= ms:
-            return
-        for timer in timers:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(ms)
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat([frame[self._names(self.ROW)] for frame in rows])
-        self.waiting.appendList(list(pdf.itertuples(index=False, name=None)))
-        self._wake(int(pdf["ms"].min()))
-        yield self._result(key, {k: [] for k in self._names(self.OUT)[len(key):]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        until = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+    def handle(self, key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        """Rows that came for a key, or none when its time is up."""
+        names, until = self._names(self.ROW), kept.getCurrentWatermarkMs()
+        *state, waiting = kept.get if kept.exists else (None, [])
+        state = tuple(state) if state and state[0] is not None else None
+        held = [tuple(r) for r in waiting]
+        for frame in frames:
+            held += zip(*[frame[c].tolist() for c in names])
         ready = sorted((r for r in held if r[0] <= until), key=lambda r: r[:2])
         rest = [r for r in held if r[0] > until]
-        state = tuple(self.state.get()) if self.state.exists() else None
-        out, state, deadline = self.step(pd.DataFrame(ready, columns=self._names(self.ROW)), state, until)
-        if rest:
-            self.waiting.put(rest)
-        elif held:
-            self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        deadline = None
+        if ready or state:
+            out, state, deadline = self.step(pd.DataFrame(ready, columns=names), state, until)
+            yield self._result(key, out)
         # The first value of every state is the time of its last row.
         over = state is None or state[0] + self.ttl_ms <= until
         if over and not rest:
-            self.state.clear()
-        else:
-            self.state.update(state)
-            marks = [r[0] for r in rest] + ([] if deadline is None else [deadline]) + [state[0] + self.ttl_ms]
-            self.handle.registerTimer(max(min(marks), until + 1))
-        yield self._result(key, out)
+            kept.remove()
+            return
+        marks = [r[0] for r in rest] + ([] if deadline is None else [deadline]) + ([state[0] + self.ttl_ms] if state else [])
+        kept.update((*(state or [None] * len(self._names(self.STATE))), rest))
+        # Time is up once the watermark is past this mark, that is, when it has reached the next one.
+        kept.setTimeoutTimestamp(max(min(marks) - 1, until))
+
 
-    def close(self):
-        pass
+def _machine(rows: DataFrame, key: list[str], machine: _Ordered) -> DataFrame:
+    return rows.groupBy(*key).applyInPandasWithState(
+        machine.handle, machine.OUT, machine.kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _start(events: DataFrame, key: list[str], processor: StatefulProcessor, watermark: str, *columns) -> DataFrame:
-    return (
-        events.withWatermark("at", watermark).select(*key, "at", F.unix_millis("at").alias("ms"), *columns)
-        .groupBy(*key)
-        .transformWithStateInPandas(
-            statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="EventTime")
-    )
+def _start(events: DataFrame, key: list[str], machine: _Ordered, watermark: str, *columns) -> DataFrame:
+    return _machine(
+        events.withWatermark("at", watermark).select(*key, "at", F.unix_millis("at").alias("ms"), *columns), key, machine)
 
 
 class _Agents(_Ordered):
@@ -138,13 +125,9 @@ def agent_changes(events: DataFrame, idle_seconds: int = 30, watermark: str = E.
     Equals :func:`events.agent_changes` up to the watermark.
     """
     rows = E.agent_rows(events.withWatermark("at", watermark))
-    return (
-        rows.select("run_id", "agent_key", "at", F.unix_millis("at").alias("ms"), (F.col("seq") * 2 + F.col("step")).alias("ord"),
-                    "status", "done")
-        .groupBy("run_id", "agent_key")
-        .transformWithStateInPandas(
-            statefulProcessor=_Agents(idle_seconds), outputStructType=_Agents.OUT, outputMode="Append", timeMode="EventTime")
-    )
+    rows = rows.select("run_id", "agent_key", "at", F.unix_millis("at").alias("ms"),
+                       (F.col("seq") * 2 + F.col("step")).alias("ord"), "status", "done")
+    return _machine(rows, ["run_id", "agent_key"], _Agents(idle_seconds))
 
 
 class _Alarms(_Ordered):

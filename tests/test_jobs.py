@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proseloom.operators import metrics, retrieve, score
 from proseloom.plans import registry
 from proseloom.plans import tables as X
-from proseloom.session import shared_dir
+from proseloom.session import STATE_STORE, shared_dir
 from proseloom.sources import artifacts
 from proseloom.streaming import events as E
 from proseloom.streaming import jobs as J
@@ -167,6 +167,28 @@ def test_shuffled_agent_changes_and_alarms_equal_batch(spark):
     assert {kind for _, kind, *_ in live} == {"parent", "nested"}
 
 
+def test_streams_keep_state_whatever_store_the_session_names(spark):
+    schema = "run_id bigint, part_key string, seq bigint, at string, text string"
+    rows = [(1, "x", i, f"2024-01-01 00:00:0{i}", "ab"[: i + 1]) for i in range(2)]
+    stream, _ = _shuffled_batches(spark, rows, schema, 3, mark=(9, "z", 99, "2024-01-02 00:00:00", "end"))
+    named = spark.conf.get(STATE_STORE)
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(STATE_STORE, other)
+    try:
+        live = _live(spark, O.text_deltas(stream))
+        assert spark.conf.get(STATE_STORE) == other
+    finally:
+        spark.conf.set(STATE_STORE, named)
+    assert sorted((r.seq, r.delta) for r in live.collect()) == [(0, "a"), (1, "b")]
+
+
+def test_a_row_at_the_watermark_is_handled(spark):
+    schema = "run_id bigint, part_key string, seq bigint, at string, text string"
+    rows = [(1, "x", 1, "2024-01-01 23:50:00", "a"), (1, "x", 2, "2024-01-01 23:50:01", "ab")]
+    stream, _ = _shuffled_batches(spark, rows, schema, 3, mark=(9, "z", 99, "2024-01-02 00:00:00", "end"))
+    assert [(r.seq, r.delta) for r in _live(spark, O.text_deltas(stream)).collect()] == [(1, "a")]
+
+
 def test_quiet_state_ends(spark):
     machine = O._Agents(30)
     empty = spark.createDataFrame([], machine.ROW).toPandas()
