@@ -25,6 +25,13 @@ VOICE_COUNTS = [
     "n_spans", "n_paragraphs", *_AUDIENCE,
 ]
 
+# What each reading needs, for :func:`profile_counts`.
+DISTANCE_COUNTS = ["n_words", "filter", "interior"]
+SENSORY_COUNTS = ["n_words", *[f"sense_{s}" for s in L.SENSORY]]
+EMOTION_COUNTS = ["n_words", "emotion", "body_cue", "interior", "simile", "metaphor"]
+INTENSITY_COUNTS = ["romance", "sexual", "explicit", "fade"]
+AUDIENCE_COUNTS = ["n_words", *_AUDIENCE]
+
 
 def without_dialogue(text: Column | str) -> Column:
     """Text with cleanly quoted speech blanked out.
@@ -39,16 +46,21 @@ def without_dialogue(text: Column | str) -> Column:
 
 
 def profile_counts(
-    df: DataFrame, key: Sequence[str], text: str = "text", delimiter: str = L.BLANK_LINE
+    df: DataFrame, key: Sequence[str], text: str = "text", delimiter: str = L.BLANK_LINE,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Additive signal counts of each document."""
+    """Additive signal counts of each document: all of them, or the asked ``columns``.
+
+    The counts come as one sealed row, which readers cannot prune; every count is
+    a scan of the text.
+    """
     base = df.select(*key, F.col(text).alias("_text"), without_dialogue(text).alias("_narr")).withColumn(
         "_nw", T.words("_narr")
     )
     hits = lambda p, c="_text": count_matches(c, p).cast("long")
     second = [w for w in L.SECOND_PERSON if w not in L.FIRST_PERSON]
     third = [w for w in L.THIRD_PERSON if w not in L.FIRST_PERSON]
-    columns = {
+    counts = {
         "n_narrative": F.size("_nw").cast("long"),
         "first": T.count_in(F.col("_nw"), L.FIRST_PERSON),
         "second": T.count_in(F.col("_nw"), second),
@@ -74,14 +86,14 @@ def profile_counts(
         "n_paragraphs": F.size(T.paragraphs("_text", delimiter)).cast("long"),
     }
     for name, (_, patterns, _) in zip(_AUDIENCE, L.AUDIENCES):
-        columns[name] = sum((hits(p) for p in patterns[1:]), hits(patterns[0]))
-    return sealed(base, key, [c.alias(n) for n, c in columns.items()])
+        counts[name] = sum((hits(p) for p in patterns[1:]), hits(patterns[0]))
+    return sealed(base, key, [c.alias(n) for n, c in counts.items() if columns is None or n in columns])
 
 
 def pooled_counts(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     """Counts of a whole group: plain sums."""
     return counts.groupBy(*group).agg(
-        *[F.sum(c).cast("long").alias(c) for c in [*NARRATION_COUNTS, *VOICE_COUNTS]]
+        *[F.sum(c).cast("long").alias(c) for c in [*NARRATION_COUNTS, *VOICE_COUNTS] if c in counts.columns]
     )
 
 

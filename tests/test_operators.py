@@ -498,3 +498,12 @@ def test_only_asked_manuscript_columns_are_planned(spark):
     whole = one(manuscript.manuscripts(d, ["doc_id"])).asDict()
     some = one(manuscript.manuscripts(d, ["doc_id"], columns=["quotes", "scene_break", "complete"])).asDict()
     assert some == {k: whole[k] for k in ("doc_id", "quotes", "scene_break", "complete")}
+
+
+def test_readings_scan_only_for_their_counts(spark):
+    every = profile.profile_counts(docs(spark, "She saw the cold dark sea. I was afraid as if lost."), ["doc_id"])
+    for columns, reading in ((profile.DISTANCE_COUNTS, profile.distance), (profile.SENSORY_COUNTS, profile.sensory),
+                             (profile.EMOTION_COUNTS, profile.emotion), (profile.NARRATION_COUNTS, profile.narration)):
+        asked = profile.profile_counts(docs(spark, "She saw the cold dark sea. I was afraid as if lost."), ["doc_id"], columns=columns)
+        assert set(asked.columns) == {"doc_id", *columns}
+        assert one(reading(asked, ["doc_id"])) == one(reading(every, ["doc_id"]))

@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from proseloom.functions import lexicons as L
+from proseloom.functions import patterns as P
 from proseloom.functions import scalar as S
 from proseloom.functions import text as T
 
@@ -93,3 +94,18 @@ def test_scalars(spark):
     assert value(spark, S.mentions(F.col("x"), F.col("y")), x="The  OLD\nmill", y="old mill") is True
     assert value(spark, S.mentions(F.col("x"), F.col("y")), x="anything", y="  ") is False
     assert value(spark, S.trim("x"), x="   a b　\n") == "a b"
+
+
+def test_word_lists_spelled_short_match_the_same(spark):
+    lists = [v for v in vars(L).values() if isinstance(v, str) and v.startswith(r"\b(?:")] + [*L.SENSORY.values(), r"\b(?:ab|a|ac)(?:c|d)*\b"]
+    short = [p for p in lists if P._word_list(p)[1]]
+    assert len(short) > 20 and P._word_list(r"\b(?:ab|a|ac)\b")[0] == r"\b(?:a(?:b||c))\b"
+    rng = random.Random(4)
+    sign = ["", " ", "\n", "-", "'s ", "s", "ed ", "é", "_", "x "]
+    for p in short:
+        again = re.sub(r"\\[sw]|[(){}?:|*+\\b]", " ", p.replace(r"\b", "")).split()
+        text = "".join(rng.choice(again) + rng.choice(sign) + rng.choice(["", "the ", "The", "a "]) for _ in range(400))
+        plain = P.spell(r"(?:)" + p, "java", True)
+        assert "(?=[" in P.java(p, True) and "(?=[" not in plain
+        got, want = (F.regexp_extract_all(F.lit(text), F.lit(q), F.lit(0)) for q in (P.java(p, True), plain))
+        assert value(spark, F.struct(got.alias("a"), want.alias("b")), t=1)[0] == value(spark, want, t=1)
