@@ -7,7 +7,7 @@ combine map side, so no book is ever gathered in one place.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from ..functions.scalar import (
     replace_all,
     sealed,
     trim,
+    value_counts,
 )
 from .lookup import salted_lookup
 from .manuscript import with_chapters
@@ -101,28 +102,39 @@ def clean_snippet(value: Column, limit: int = 300) -> Column:
     return let(flat, cut)
 
 
+def _first(lines: Column, value: Callable[[Column], Column]) -> Column:
+    """The first value that is not null; lines after it are not looked at."""
+    return F.aggregate(
+        lines, F.lit(None).cast("string"), lambda found, x: F.when(found.isNotNull(), found).otherwise(value(x))
+    )
+
+
 def labelled(text: Column, pattern: str) -> Column:
     """First line whose label starts within three characters, value cleaned.
 
-    Null when no line carries 12 characters or more.
+    Null when no line carries 12 characters or more.  A label ends in a colon or
+    a hyphen.
     """
     at_start = java(r"^[^\n]{0,3}?" + pattern, True)
-    lines = F.filter(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: x.rlike(at_start))
-    values = F.transform(lines, lambda x: clean_snippet(F.regexp_extract(x, at_start, 1)))
-    return F.get(F.filter(values, lambda v: F.length(v) >= 12), 0)
+    label = lambda x: (F.contains(x, F.lit(":")) | F.contains(x, F.lit("-"))) & x.rlike(at_start)
+    value = lambda x: let(
+        clean_snippet(F.regexp_extract(x, at_start, 1)), lambda v: F.when(F.length(v) >= 12, v))
+    return _first(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: F.when(label(x), value(x)))
 
 
 def useful_line(text: Column) -> Column:
     """First line of 25 characters or more that is not a list or heading."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: clean_snippet(x))
-    return F.get(F.filter(lines, lambda x: (F.length(x) >= 25) & ~x.rlike(r"^[-*#\d]")), 0)
+    value = lambda x: let(
+        clean_snippet(x), lambda v: F.when((F.length(v) >= 25) & ~v.rlike(r"^[-*#\d]"), v))
+    # Cleaning makes no line longer.
+    return _first(F.split(text, r"\r?\n"), lambda x: F.when(F.length(x) >= 25, value(x)))
 
 
 def matching_line(text: Column, pattern: str) -> Column:
     """First line of 18 characters or more that matches, cleaned."""
-    candidates = F.filter(F.split(text, r"\r?\n"), lambda x: matches(x, pattern))
-    cleaned = F.transform(candidates, lambda x: clean_snippet(x))
-    return F.get(F.filter(cleaned, lambda x: matches(x, pattern) & (F.length(x) >= 18)), 0)
+    value = lambda x: let(
+        clean_snippet(x), lambda v: F.when(matches(v, pattern) & (F.length(v) >= 18), v))
+    return _first(F.split(text, r"\r?\n"), lambda x: F.when(matches(x, pattern), value(x)))
 
 
 def section_marker(text: Column, pattern: str, fallback: str) -> Column:
@@ -186,25 +198,35 @@ def _counted_mentions(narrative: Column) -> Column:
         rf"(?:[\x03.!?]{space}*)?{edge}[A-Z][a-zÀ-ɏ]{{2,}}(?:{space}+[A-Z][a-zÀ-ɏ]{{2,}}){{0,2}}{edge}"
     )
     found = F.regexp_extract_all(F.concat(F.lit("\x03"), _outside_quotes(narrative)), F.lit(pattern), F.lit(0))
+    # Name and place as one value, so that one sort counts both: a name's entries stand together, inner ones first.
     marked = F.transform(
         found,
-        lambda m: F.struct(
-            F.regexp_replace(m, r"^[^A-Z]+", "").alias("name"), m.rlike(r"^[\x03.!?]").cast("long").alias("start")
+        lambda m: F.concat(
+            F.regexp_replace(m, r"^[^A-Z]+", ""),
+            F.when(m.rlike(r"^[\x03.!?]"), F.lit("\x01" + "1")).otherwise(F.lit("\x01" + "0")),
+        ),
+    )
+    entries = F.transform(
+        value_counts(marked),
+        lambda c: F.struct(
+            F.substring_index(c["value"], "\x01", 1).alias("name"), c["n"].alias("n"), c["value"].endswith("0").alias("inner")
         ),
     )
 
-    def tally(ms: Column) -> Column:
-        names = F.array_distinct(F.transform(ms, lambda m: m["name"]))
-        return F.transform(
-            names,
-            lambda n: F.struct(
-                n.alias("name"),
-                F.size(F.filter(ms, lambda m: m["name"] == n)).cast("long").alias("mentions"),
-                F.size(F.filter(ms, lambda m: (m["name"] == n) & (m["start"] == 0))).cast("long").alias("inner"),
-            ),
-        )
+    def tally(es: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            second = F.when(F.get(es, i + 1)["name"] == e["name"], F.get(es, i + 1)["n"])
+            return F.when(
+                (i == 0) | (F.get(es, i - 1)["name"] != e["name"]),
+                F.struct(
+                    e["name"].alias("name"), (e["n"] + F.coalesce(second, F.lit(0).cast("long"))).alias("mentions"),
+                    F.when(e["inner"], e["n"]).otherwise(F.lit(0).cast("long")).alias("inner"),
+                ),
+            )
+
+        return F.array_compact(F.transform(es, one))
 
-    return let(marked, tally)
+    return let(entries, tally)
 
 
 def character_names(documents: DataFrame, group: Sequence[str]) -> DataFrame:

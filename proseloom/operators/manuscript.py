@@ -74,23 +74,25 @@ def _heading_rows(lines: Column) -> Column:
 
 def _cut(lines: Column, end: Column) -> Column:
     """Lines of a prefix of the text."""
-    return F.transform(
-        F.filter(lines, lambda x: x["at"] < end),
-        lambda x: F.struct(F.substring(x["line"], F.lit(1), end - x["at"]).alias("line"), x["at"].alias("at")),
-    )
+    # The end is worked out once, not per line.
+    return let(end, lambda stop: F.transform(
+        F.filter(lines, lambda x: x["at"] < stop),
+        lambda x: F.struct(F.substring(x["line"], F.lit(1), stop - x["at"]).alias("line"), x["at"].alias("at")),
+    ))
 
 
 def _back_matter(text: Column, lines: Column) -> Column:
     """Struct ``(at, heading)`` of what follows the story, or null."""
-    threshold = F.length(text).cast("double") * F.lit(L.BACK_MATTER_AFTER)
-
-    def title(x: Column) -> Column:
+    def title(x: Column, threshold: Column) -> Column:
         t = trim(x["line"])
         return (x["at"] >= threshold) & (t != "") & (F.length(t) <= 90) & any_match(t, L.BACK_MATTER_HEADINGS)
 
+    # The length of the text is worked out once, not per line.
+    limit = F.length(text).cast("double") * F.lit(L.BACK_MATTER_AFTER)
     by_title = F.get(
         F.transform(
-            F.filter(lines, title), lambda x: F.struct(x["at"].alias("at"), trim(x["line"]).alias("heading"))
+            let(limit, lambda threshold: F.filter(lines, lambda x: title(x, threshold))),
+            lambda x: F.struct(x["at"].alias("at"), trim(x["line"]).alias("heading")),
         ),
         0,
     )
@@ -105,8 +107,14 @@ def _back_matter(text: Column, lines: Column) -> Column:
         T.chunks_with_offsets(text),
         lambda c: F.struct(c["char_offset"].alias("start"), (c["char_offset"] + first_hit(c)).alias("hit")),
     )
-    closing = F.get(F.filter(located, lambda x: x["hit"] >= threshold), 0)
-    boundary = F.when(closing["start"] >= threshold, closing["start"]).otherwise(closing["hit"])
+
+    def edge(threshold: Column) -> Column:
+        return let(
+            F.get(F.filter(located, lambda x: x["hit"] >= threshold), 0),
+            lambda c: F.when(c["start"] >= threshold, c["start"]).otherwise(c["hit"]),
+        )
+
+    boundary = let(limit, edge)
 
     def named(at: Column) -> Column:
         line = F.substring(trim(F.get(F.split(F.substring(text, at + 1, F.length(text)), r"[.!?\n]"), 0)), 1, 90)
@@ -150,18 +158,16 @@ def _chapters() -> Column:
     end_of_story = F.length("_main")
     opening = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("heading"))
     starts = F.concat(F.array(opening), F.col("_heads"))
-    sections = F.transform(
+    sections = let(end_of_story, lambda stop: F.transform(
         starts,
         lambda s, i: F.struct(
             s["at"].alias("at"), s["heading"].alias("heading"),
             T.word_count(
-                F.substring(
-                    F.col("_main"), s["at"] + 1, F.coalesce(F.get(F.col("_heads"), i)["at"], end_of_story) - s["at"]
-                )
+                F.substring(F.col("_main"), s["at"] + 1, F.coalesce(F.get(F.col("_heads"), i)["at"], stop) - s["at"])
             ).alias("n"),
             (i == F.size("_heads")).alias("last"),
         ),
-    )
+    ))
     real = F.filter(sections, lambda s: (s["n"] > 0) & (s["heading"].isNotNull() | (s["n"] > 20) | s["last"]))
     kept = F.filter(
         real,
@@ -187,12 +193,19 @@ def chapters(df: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame
     return with_chapters(df.select(*key, text), text).select(*key, F.inline(rows("chapters")))
 
 
+def _last_word(text: Column) -> Column:
+    """The last word of a text, from its end; the whole text is read only if the end does not show where it begins."""
+    ending = rf"({L.WORD})[^a-zÀ-ɏ]*\z"
+    near = F.regexp_extract(F.lower(F.right(text, F.lit(120))), rf"(?<=[^a-zÀ-ɏ']){ending}", 1)
+    return let(near, lambda w: F.when(w != "", w).otherwise(F.regexp_extract(F.lower(text), ending, 1)))
+
+
 def _completeness() -> Column:
     """Struct ``(complete, why)``: does the story stop at an ending?"""
 
     def judge(body: Column) -> Column:
         last_char = F.substring(body, -1, 1)
-        last_word = F.regexp_extract(F.lower(body), rf"({L.WORD})[^a-zÀ-ɏ]*\z", 1)
+        last_word = let(body, _last_word)
         others = F.sort_array(
             F.transform(F.slice("chapters", 1, F.greatest(F.size("chapters") - 1, F.lit(0))), lambda c: c["n_words"])
         )

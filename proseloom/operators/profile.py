@@ -31,6 +31,7 @@ SENSORY_COUNTS = ["n_words", *[f"sense_{s}" for s in L.SENSORY]]
 EMOTION_COUNTS = ["n_words", "emotion", "body_cue", "interior", "simile", "metaphor"]
 INTENSITY_COUNTS = ["romance", "sexual", "explicit", "fade"]
 AUDIENCE_COUNTS = ["n_words", *_AUDIENCE]
+FINDING_COUNTS = list(dict.fromkeys([*NARRATION_COUNTS, *AUDIENCE_COUNTS, *INTENSITY_COUNTS]))
 
 
 def without_dialogue(text: Column | str) -> Column:
@@ -90,10 +91,10 @@ def profile_counts(
     return sealed(base, key, [c.alias(n) for n, c in counts.items() if columns is None or n in columns])
 
 
-def pooled_counts(counts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Counts of a whole group: plain sums."""
+def pooled_counts(counts: DataFrame, group: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """Counts of a whole group, and ``more`` columns: plain sums."""
     return counts.groupBy(*group).agg(
-        *[F.sum(c).cast("long").alias(c) for c in [*NARRATION_COUNTS, *VOICE_COUNTS] if c in counts.columns]
+        *[F.sum(c).cast("long").alias(c) for c in [*NARRATION_COUNTS, *VOICE_COUNTS, *more] if c in counts.columns]
     )
 
 

@@ -171,7 +171,9 @@ def _context(spark, sf):
     genres = I.rank_genres(I.genre_hits(lib, ["book_id"]), ["book_id"])
     prose = lib.where((F.size("kinds") == 0) | F.arrays_overlap(
         "kinds", F.array(F.lit("past_book"), F.lit("reference_book"), F.lit("notes"))))
-    counts = profile.pooled_counts(profile.profile_counts(prose, ["book_id"]), ["book_id"])
+    counts = profile.profile_counts(prose, ["book_id"], columns=profile.FINDING_COUNTS)
+    # One row per book, read by three readings: written once, or each of them would scan the texts.
+    counts = cut_lineage(profile.pooled_counts(counts, ["book_id"]))
     return lib, names, genres, G.profile_for_findings(counts, ["book_id"])
 
 
@@ -446,12 +448,14 @@ def int10_prefill(spark, sf):
 
 @query("int11_suggestions")
 def int11(spark, sf):
-    sample = X.passages(spark, sf)
-    counts = profile.pooled_counts(profile.profile_counts(sample, ["book_id"]), ["book_id"])
-    chars = sample.groupBy("book_id").agg(F.sum(F.length("text") + 2).alias("sample_chars"))
+    # Lengths ride along with the counts, so the passages are cut once.
+    sample = X.passages(spark, sf).withColumn("sample_chars", F.length("text") + 2)
+    counts = profile.profile_counts(sample, ["book_id", "sample_chars"], columns=profile.FINDING_COUNTS)
+    # One row per book, read by four suggestions: written once.
+    counts = cut_lineage(profile.pooled_counts(counts, ["book_id"], ["sample_chars"]))
     own = X.library(spark, sf).groupBy("book_id").agg(
         F.count_if(F.array_contains("kinds", "past_book")).alias("n_books"))
-    return G.suggestions(own, counts.join(chars, "book_id"), ["book_id"])
+    return G.suggestions(own, counts, ["book_id"])
 
 
 @query("int12_narrative_slice", f"""WITH {STORY}, {B.chapter_ctes('stories')}, fc AS (SELECT doc_id, arg_min(ofs, chapter_no) AS st FROM chapters GROUP BY doc_id)

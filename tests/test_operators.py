@@ -1,10 +1,12 @@
 import random
+import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from proseloom.functions import lexicons as L
 from proseloom.functions import text as T
 from proseloom.operators import classify, clean, continuity, corpus, evidence, findings, formatting, inventory, manuscript
 from proseloom.operators import metrics, profile, score, structure
@@ -507,3 +509,32 @@ def test_readings_scan_only_for_their_counts(spark):
         asked = profile.profile_counts(docs(spark, "She saw the cold dark sea. I was afraid as if lost."), ["doc_id"], columns=columns)
         assert set(asked.columns) == {"doc_id", *columns}
         assert one(reading(asked, ["doc_id"])) == one(reading(every, ["doc_id"]))
+
+
+def test_counts_of_a_book_are_read_once_by_all_readings(spark, monkeypatch):
+    from proseloom.plans import queries_project as Q
+
+    made = []
+    monkeypatch.setattr(Q, "cut_lineage", lambda df, keep=Q.cut_lineage: made.append(set(df.columns)) or keep(df))
+    Q.int11(spark, "/root/testdata/sf0.001")
+    assert [c for c in made if {"sample_chars", "first", "aud_0", "romance"} <= c]
+
+
+def test_the_first_usable_line_decides(spark):
+    text = "Setting: x\nsetting - a drowned kingdom, far\nSetting: a second kingdom"
+    row = spark.createDataFrame([(text, "short\n# " + "h" * 30 + "\n- a line of more than twenty-five signs\nlast")], ["t", "u"]).select(
+        evidence.labelled(F.col("t"), L.LABELS["setting"]).alias("a"), evidence.useful_line(F.col("u")).alias("b")).first()
+    assert (row.a, row.b) == ("a drowned kingdom, far", "a line of more than twenty-five signs")
+
+
+def test_last_word_and_names_of_long_texts(spark):
+    from proseloom.operators import manuscript as M
+
+    texts = ["one two." + "!" * 300, "it wasn't" + "." * 5, "x" * 400 + ".", "end of and.", "...", "a " * 200 + "didn't'."]
+    for text in texts:
+        found = re.search(rf"({L.WORD})[^a-zÀ-ɏ]*\Z", text.lower())
+        got = spark.createDataFrame([(text,)], ["t"]).select(M._last_word(F.col("t")).alias("w")).first().w
+        assert got == (found[1] if found else "")
+    told = "Anna Vale ran. Anna saw Anna Vale, and Anna. Tobias met Anna Vale."
+    rows = spark.createDataFrame([(told,)], ["t"]).select(F.inline(evidence._counted_mentions(F.col("t")))).collect()
+    assert {tuple(r) for r in rows} == {("Anna Vale", 3, 2), ("Anna", 2, 1), ("Tobias", 1, 0)}
