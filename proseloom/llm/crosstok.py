@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +23,12 @@ from proseloom.operators.lookup import salted_lookup
 from proseloom.session import cut_lineage
 
 #: Stretches between spaces, and characters of them, that a worker remembers; it starts anew when full.
-CACHE_STRETCHES = 600_000
-CACHE_CHARS = 32_000_000
+CACHE_STRETCHES = 200_000
+CACHE_CHARS = 8_000_000
 #: New stretches encoded as one text.
 TOGETHER = 500
-#: Characters of the texts aligned at once.
-SLICE_CHARS = 2_000_000
+#: Characters of the texts aligned at once; tokens of new stretches take some hundred times their bytes meanwhile.
+SLICE_CHARS = 400_000
 #: Id pairs up to which the table of counts is broadcast (about 80 MB); beyond, it is shuffled.
 BROADCAST_PAIRS = 2_000_000
 _SPACE = "▁"
@@ -252,16 +253,16 @@ def _aligner(byte_vocab: str, piece_model: str) -> SpanAligner:
     return _ALIGNERS[key]
 
 
-def _slices(texts: list[str | None]):
-    """Ranges of texts of about ``SLICE_CHARS`` characters, one text at least."""
+def _slices(lengths: list[int | None]):
+    """Ranges of texts, given by their lengths, of about ``SLICE_CHARS`` characters, one text at least."""
     start, chars = 0, 0
-    for at, text in enumerate(texts):
-        chars += len(text or "")
+    for at, length in enumerate(lengths):
+        chars += length or 0
         if chars > SLICE_CHARS or at - start >= 1024:
             yield start, at + 1
             start, chars = at + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 _LINK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
@@ -283,9 +284,9 @@ def align(
     def run(batches):
         aligner = _aligner(byte_vocab, piece_model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in _slices(texts):
-                sizes, whole, row, pairs, times = aligner.batch(texts[start:end])
+            lengths = pc.utf8_length(batch.column(1)).to_pylist()
+            for start, end in _slices(lengths):
+                sizes, whole, row, pairs, times = aligner.batch(batch.column(1).slice(start, end - start).to_pylist())
                 offsets = np.searchsorted(row, np.arange(end - start + 1)).astype(np.int32)
                 links = pa.StructArray.from_arrays(
                     [pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)),
