@@ -104,6 +104,19 @@ def test_repetition_findings(spark):
     assert ("the cold", 5) in {(f.value, f.n) for f in found if f.kind == "sentence-opener"}
 
 
+def test_one_check_of_repetition_reads_for_itself_alone(spark):
+    even = "\n\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(10)) + "." for i in range(6))
+    d = docs(spark, "the cold gray sea rolled. " * 5 + '"Go off now," Anna hissed. ' * 9 + "\n\n" + even, '"', "", "Ⱥ")
+    columns = ["doc_id", "kind", "value", "n", "severity", "note"]
+    every = score.repetitions(d, ["doc_id"]).select(columns).collect()
+    alone = {c: score.repetitions(d, ["doc_id"], checks=[c]) for c in score.CHECKS}
+    rows = [r for c in score.CHECKS for r in alone[c].select(columns).collect()]
+    assert {r.kind for r in rows if r.doc_id == 0} >= {"phrase", "sentence-opener", "dialogue-tag", "paragraph-shape"}
+    assert sorted(rows) == sorted(every)
+    plan = alone["dialogue"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "approx" not in plan and L.LY_ADVERB not in plan
+
+
 def test_uniform_paragraphs(spark):
     even = "\n\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(10)) + "." for i in range(6))
     found = score.repetitions(docs(spark, even), ["doc_id"]).where("kind = 'paragraph-shape'").collect()
