@@ -24,8 +24,10 @@ def measured_passages(docs: DataFrame, delimiter: str = L.BLANK_LINE) -> DataFra
         "book_id", "doc_id", "passage_no", F.concat_ws("-", "doc_id", "passage_no").alias("passage_id"), "text", "n_words",
         structure.beat("text", F.col("n_words")).alias("beat"), structure.speakers("text").alias("speakers"))
     own = [*L.COUNT_COLUMNS, *L.METRIC_COLUMNS]
-    key = rows.columns
-    return metrics.document_metrics(rows, key, delimiter=delimiter).select(*key, F.struct(*own).alias("metrics"))
+    # The words of a passage are counted with its metrics again.
+    key = [c for c in rows.columns if c != "n_words"]
+    measured = metrics.document_metrics(rows, key, delimiter=delimiter)
+    return measured.withColumn("n_words", F.col("word_count")).select(*rows.columns, F.struct(*own).alias("metrics"))
 
 
 def document_stats(docs: DataFrame) -> DataFrame:

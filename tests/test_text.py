@@ -109,3 +109,46 @@ def test_word_lists_spelled_short_match_the_same(spark):
         assert "(?=[" in P.java(p, True) and "(?=[" not in plain
         got, want = (F.regexp_extract_all(F.lit(text), F.lit(q), F.lit(0)) for q in (P.java(p, True), plain))
         assert value(spark, F.struct(got.alias("a"), want.alias("b")), t=1)[0] == value(spark, want, t=1)
+
+
+def old_sentences(c):
+    """Marks set and taken out again, one rewrite each."""
+    q, marked = L.CLOSING_QUOTES, c
+    for pattern, by in (
+        (rf"([.!?]+[{q}]*)(?={P.SPACE})", "$1\x01"),
+        (rf"(?i)((?<![a-z])(?:{'|'.join(L.ABBREVIATIONS)}|[a-z])\.[.!?]*[{q}]*)\x01", "$1"),
+        (rf"([{q}])\x01(?={P.SPACE}+[a-z])", "$1"),
+    ):
+        marked = F.regexp_replace(marked, pattern, by)
+    parts = F.transform(F.split(marked, "\x01"), lambda x: F.btrim(x, F.lit(P.TRIM_CHARS)))
+    return F.filter(parts, lambda x: x != "")
+
+
+def test_cheaper_spellings_find_the_same(spark):
+    rng = random.Random(8)
+    pieces = ["Mr", "mr", "x", "É", "Anna", "he", "the", "said", "etc", ".", ".", "!", "?", "'", '"', "”", "“", ",", ":", " ", " ", "  ",
+              "\n", " ", "　", "\t", "Later"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choices([*pieces, "\x01"], k=30)) for _ in range(300)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    found = lambda pattern, many: S.all_matches(t, pattern, 1, multiline=many)
+    rows = d.select(
+        "t", T.sentences(t).alias("s"), old_sentences(t).alias("os"), S.trim(t).alias("x"), T.spoken_words(t).alias("w"),
+        S.array_sum(F.transform(T.spoken(t), T.word_count)).alias("ow"), T.dialogue_tags(t).alias("g"),
+        F.transform(F.concat(found(L.TAG_AFTER, False), found(L.TAG_BEFORE, False)), F.lower).alias("og"),
+        found("(?=[A-Z])" + L.SPEAKER, True).alias("n"), found(L.SPEAKER, True).alias("on"),
+    ).collect()
+    assert any(r.os[1:] for r in rows) and any(r.og for r in rows) and any(r.on for r in rows)
+    for r in rows:
+        assert (r.s, r.x, r.w, r.g, r.n) == (r.os, r.t.strip(P.TRIM_CHARS), r.ow, r.og, r.on), repr(r.t)
+
+
+def test_recurring_ngrams_hold_every_repeat(spark):
+    rng = random.Random(5)
+    docs = [[rng.choice("abcd") for _ in range(n)] for n in (0, 3, 4, 6, 60, 400)] + [["a"] * 50, [str(i) for i in range(500)]]
+    d = spark.createDataFrame([(i, w) for i, w in enumerate(docs)], "i int, w array<string>")
+    for r in d.select("i", T.recurring_ngrams(F.col("w")).alias("g")).collect():
+        words = docs[r.i]
+        grams = [" ".join(words[j:j + 4]) for j in range(len(words) - 3)]
+        assert sorted(r.g) == sorted(g for g in grams if grams.count(g) >= 3)
