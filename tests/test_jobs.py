@@ -87,6 +87,20 @@ def test_a_term_of_every_passage_gives_few_pairs(spark):
     assert {r["count"] for r in retrieve.matched_pairs(b, p).groupBy("brief_id").count().collect()} == {4000}
 
 
+def test_what_briefs_ask_for_goes_to_the_passages(spark, monkeypatch):
+    p = spark.createDataFrame([("b", f"{i}", f"s{i}", i, 0, "action", 90, ["Ann"], "winter stone") for i in range(20)],
+                              "book_id string, passage_id string, source string, ord long, passage_no int, beat string, "
+                              "n_words long, speakers array<string>, text string")
+    b = spark.createDataFrame([("b", 1, "action", ["ann"], "winter", "", 4, 1200)],
+        "book_id string, brief_id int, beat string, characters array<string>, summary string, register string, k int, max_words int")
+    made = []
+    monkeypatch.setattr(retrieve, "cut_lineage", lambda df, keep=retrieve.cut_lineage: made.append(set(df.columns)) or keep(df))
+    assert retrieve.reachable(b, p).count() == 4
+    # Asked postings, probes and both lists of pairs are files whose size the planner knows.
+    assert {"book_id", "brief_id", "posting"} in made and any({"posting", "below", "_salt"} <= c for c in made)
+    assert made.count({"book_id", "brief_id", "passage_id"}) == 2
+
+
 # --- streams --------------------------------------------------------------------
 
 
