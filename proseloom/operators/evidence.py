@@ -27,8 +27,9 @@ from ..functions.scalar import (
     trim,
     value_counts,
 )
+from ..session import cut_lineage
 from .lookup import salted_lookup
-from .manuscript import with_chapters
+from .manuscript import WORKING, story_start, with_boundaries
 
 SEPARATE_OPENING = "Present as a separate opening section."
 SEPARATE_SECTION = "Present as a separate section."
@@ -67,12 +68,13 @@ def narrative_slice(df: DataFrame, text: str = "text") -> DataFrame:
     """
     if "narrative" in df.columns:
         return df
-    out = with_chapters(df, text)
-    start = F.coalesce(F.get("chapters", 0)["at"], F.lit(0)).cast("int")
+    # Only narrative documents have a story to look for.
+    out = with_boundaries(df.withColumn("_told", F.when(is_narrative(), F.col(text))), "_told")
+    start = F.coalesce(story_start(), F.lit(0))
     end = F.when(F.col("story_end") == 0, F.length(text)).otherwise(F.col("story_end"))
-    sliced = F.substring(F.col(text), start + 1, F.greatest(end - start, F.lit(0)))
+    sliced = let(start, lambda at: F.substring(F.col(text), at + 1, F.greatest(end - at, F.lit(0))))
     return out.withColumn("narrative", F.when(is_narrative(), sliced).otherwise(F.col(text))).drop(
-        "_lines", "_heads", "_main_lines", "_bm", "_ep", "_story", "_main", "story_end", "chapters"
+        *WORKING, "_told", "story_end"
     )
 
 
@@ -192,10 +194,11 @@ def _outside_quotes(text: Column) -> Column:
 
 def _counted_mentions(narrative: Column) -> Column:
     """``array<struct<name, mentions, inner>>`` of capitalised runs in one text."""
-    edge = JAVA_BOUNDARY
     space = java(r"\s")
+    # The class first spares all other signs the rest; before a capital the boundary is one-sided.
     pattern = (
-        rf"(?:[\x03.!?]{space}*)?{edge}[A-Z][a-zÀ-ɏ]{{2,}}(?:{space}+[A-Z][a-zÀ-ɏ]{{2,}}){{0,2}}{edge}"
+        rf"(?=[A-Z\x03.!?])(?:[\x03.!?]{space}*)?(?<!\w)[A-Z][a-zÀ-ɏ]{{2,}}(?:{space}+[A-Z][a-zÀ-ɏ]{{2,}}){{0,2}}"
+        + JAVA_BOUNDARY
     )
     found = F.regexp_extract_all(F.concat(F.lit("\x03"), _outside_quotes(narrative)), F.lit(pattern), F.lit(0))
     # Name and place as one value, so that one sort counts both: a name's entries stand together, inner ones first.
@@ -256,9 +259,10 @@ def character_names(documents: DataFrame, group: Sequence[str]) -> DataFrame:
     mentioned = told.select(*group, F.inline(_counted_mentions(F.col("narrative")))).where(
         (F.col("mentions") >= 2) & (F.col("inner") >= 1)
     )
-    candidates = mentioned.groupBy(*group, "name").agg(
+    # One row per name, read three times below: written once, or each of them would scan the texts.
+    candidates = cut_lineage(mentioned.groupBy(*group, "name").agg(
         F.sum(F.col("mentions") * 2 + F.col("inner")).alias("score"), F.sum("mentions").alias("mentions")
-    )
+    ))
     parts = candidates.select(
         *group, "name", F.size(F.split("name", java(r"\s+"))).alias("n_parts"),
         F.explode(F.split(F.lower("name"), java(r"\s+"))).alias("t"),
@@ -273,7 +277,7 @@ def character_names(documents: DataFrame, group: Sequence[str]) -> DataFrame:
     ).distinct()
     owners = told.select(
         *group, F.explode(F.array_distinct(F.transform(
-            F.regexp_extract_all(F.col("narrative"), F.lit(r"(?<!\w)([A-Za-zÀ-ɏ]+)['’][sS](?!\w)"), F.lit(1)), F.lower
+            F.regexp_extract_all(F.col("narrative"), F.lit(r"(?<!\w)([A-Za-zÀ-ɏ]++)['’][sS](?!\w)"), F.lit(1)), F.lower
         ))).alias("t")
     ).distinct()
     short = (
@@ -323,14 +327,16 @@ def with_names(texts: DataFrame, names: DataFrame, group: Sequence[str], key: Se
     return salted_lookup(texts, lists, group, key)
 
 
+#: One by one: Java finds listed low signs in a table, but tries the ranges of a class in turn.
+NAME_LOW = "abcdefghijklmnopqrstuvwxyz0123456789_"
+
+
 def names_in(paragraph: Column, names: Column) -> Column:
     """Which of a short list of names a paragraph mentions.
 
     Blank-insensitive whole-word containment on a padded, squeezed copy.
     """
-    squeezed = F.concat(
-        F.lit(" "), replace_all(replace_all(F.lower(paragraph), r"[^a-z0-9_À-ɏ]", " "), r"\s+", " "), F.lit(" ")
-    )
+    squeezed = F.concat(F.lit(" "), F.regexp_replace(F.lower(paragraph), rf"[^{NAME_LOW}À-ɏ]+", " "), F.lit(" "))
     # Squeezed once per paragraph, then looked up per name.
     return let(
         squeezed, lambda s: F.filter(names, lambda n: F.contains(s, F.concat(F.lit(" "), F.lower(n), F.lit(" "))))
@@ -360,8 +366,10 @@ def relationship_pairs(documents: DataFrame, names: DataFrame, group: Sequence[s
     )
     romance = (count_matches("p", L.GENRES[0][1]) > 0).cast("long")
     together = matches("p", L.ESTABLISHED)
+    # Read once per paragraph, not once per pair of it.
+    read = sealed(held, [*group, "in", "names"], [romance.alias("r"), together.alias("t")])
     return (
-        held.select(*group, F.inline(pairs), romance.alias("r"), together.alias("t"), "names")
+        read.select(*group, F.inline(pairs), "r", "t", "names")
         .groupBy(*group, "first", "second")
         .agg(F.count(F.lit(1)).alias("shared"), F.sum("r").cast("long").alias("romance"),
              F.bool_or("t").alias("established"),

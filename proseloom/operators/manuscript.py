@@ -35,17 +35,15 @@ WORKING = ["_lines", "_heads", "_main_lines", "_bm", "_ep", "_story", "_main"]
 
 def is_heading(line: Column, isolated: Column | bool = False) -> Column:
     """Chapter-like line; an all-caps line only counts when it stands alone."""
-    t = trim(line)
     caps = F.lit(isolated) if isinstance(isolated, bool) else isolated
-    return (
+    return let(trim(line), lambda t: (
         (t != "") & (F.length(t) <= 90)
-        & (any_match(t, L.HEADING_PATTERNS) | (caps & matches(t, L.CAPS_HEADING, False)))
-    )
+        & (any_match(t, L.HEADING_PATTERNS) | (matches(t, L.CAPS_HEADING, False) & caps))
+    ))
 
 
 def is_scene_break(line: Column) -> Column:
-    t = trim(line)
-    return (t != "") & (F.length(t) <= 12) & matches(t, L.SCENE_BREAK, False)
+    return let(trim(line), lambda t: (t != "") & (F.length(t) <= 12) & matches(t, L.SCENE_BREAK, False))
 
 
 def strip_trailing_layout(text: Column) -> Column:
@@ -153,22 +151,43 @@ def with_boundaries(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("_heads", _heading_rows(F.col("_main_lines")))
 
 
+def _section_starts() -> Column:
+    opening = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("heading"))
+    return F.concat(F.array(opening), F.col("_heads"))
+
+
+def _section(s: Column, i: Column, stop: Column) -> Column:
+    """Words of a section and whether it is the last; it ends at the next heading or at the story's end."""
+    return F.struct(
+        s["at"].alias("at"), s["heading"].alias("heading"),
+        T.word_count(
+            F.substring(F.col("_main"), s["at"] + 1, F.coalesce(F.get(F.col("_heads"), i)["at"], stop) - s["at"])
+        ).alias("n"),
+        (i == F.size("_heads")).alias("last"),
+    )
+
+
+def _real(s: Column) -> Column:
+    return (s["n"] > 0) & (s["heading"].isNotNull() | (s["n"] > 20) | s["last"])
+
+
+def story_start() -> Column:
+    """Where the first of the kept sections begins; the words of sections after it are not counted."""
+    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("i"))
+
+    def step(acc: Column, s: Column, stop: Column) -> Column:
+        own = let(_section(s, acc["i"], stop), lambda x: F.when(_real(x), x["at"]))
+        return F.struct(
+            F.when(acc["at"].isNotNull(), acc["at"]).otherwise(own).alias("at"), (acc["i"] + 1).alias("i"))
+
+    return let(F.length("_main"), lambda stop: F.aggregate(
+        _section_starts(), none, lambda acc, s: step(acc, s, stop), lambda acc: acc["at"]))
+
+
 def _chapters() -> Column:
     """Kept sections as ``array<struct<chapter_no, heading, n_words, at>>``."""
-    end_of_story = F.length("_main")
-    opening = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("heading"))
-    starts = F.concat(F.array(opening), F.col("_heads"))
-    sections = let(end_of_story, lambda stop: F.transform(
-        starts,
-        lambda s, i: F.struct(
-            s["at"].alias("at"), s["heading"].alias("heading"),
-            T.word_count(
-                F.substring(F.col("_main"), s["at"] + 1, F.coalesce(F.get(F.col("_heads"), i)["at"], stop) - s["at"])
-            ).alias("n"),
-            (i == F.size("_heads")).alias("last"),
-        ),
-    ))
-    real = F.filter(sections, lambda s: (s["n"] > 0) & (s["heading"].isNotNull() | (s["n"] > 20) | s["last"]))
+    sections = let(F.length("_main"), lambda stop: F.transform(_section_starts(), lambda s, i: _section(s, i, stop)))
+    real = F.filter(sections, _real)
     kept = F.filter(
         real,
         lambda s, i: (i == 0) | (s["n"] >= 20) | F.coalesce(matches(s["heading"], L.EXPLICIT_HEADING), F.lit(False)),

@@ -7,7 +7,9 @@ corpora of any size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.patterns import java
-from ..functions.scalar import col, count_matches, per_1k, ratio, round_half_up, sealed, share
+from ..functions.scalar import col, count_each, let, per_1k, ratio, round_half_up, share
 
 _AUDIENCE = [f"aud_{i}" for i in range(len(L.AUDIENCES))]
 NARRATION_COUNTS = ["n_narrative", "first", "second", "third", "thought", "past", "present"]
@@ -55,40 +57,48 @@ def profile_counts(
     The counts come as one sealed row, which readers cannot prune; every count is
     a scan of the text.
     """
-    base = df.select(*key, F.col(text).alias("_text"), without_dialogue(text).alias("_narr")).withColumn(
-        "_nw", T.words("_narr")
-    )
-    hits = lambda p, c="_text": count_matches(c, p).cast("long")
+    asked = lambda *names: columns is None or any(n in columns for n in names)
     second = [w for w in L.SECOND_PERSON if w not in L.FIRST_PERSON]
     third = [w for w in L.THIRD_PERSON if w not in L.FIRST_PERSON]
-    counts = {
-        "n_narrative": F.size("_nw").cast("long"),
-        "first": T.count_in(F.col("_nw"), L.FIRST_PERSON),
-        "second": T.count_in(F.col("_nw"), second),
-        "third": T.count_in(F.col("_nw"), third),
-        "thought": hits(L.NARRATED_THOUGHT, "_narr"),
-        "past": hits(L.PAST_MARKERS, "_narr"),
-        "present": hits(L.PRESENT_MARKERS, "_narr"),
-        "n_words": T.word_count("_text"),
-        "filter": hits(L.FILTER_PATTERN),
-        "interior": hits(L.INTERIORITY),
-        "emotion": hits(L.EMOTION_WORDS),
-        "body_cue": hits(L.BODY_CUES),
-        "simile": hits(L.SIMILE),
-        "metaphor": hits(L.METAPHOR_SIGNALS),
-        **{f"sense_{s}": hits(p) for s, p in L.SENSORY.items()},
-        "romance": hits(L.ROMANCE_SIGNALS),
-        "sexual": hits(L.SEXUAL_SIGNALS),
-        "explicit": hits(L.EXPLICIT_SIGNALS),
-        "fade": hits(L.FADE),
-        "profanity": hits(L.PROFANITY),
-        "violence": hits(L.VIOLENCE),
-        "n_spans": F.size(T.spoken("_text")).cast("long"),
-        "n_paragraphs": F.size(T.paragraphs("_text", delimiter)).cast("long"),
+    # Each count is a sum of patterns, all of one text in one scan.
+    told = {"thought": [L.NARRATED_THOUGHT], "past": [L.PAST_MARKERS], "present": [L.PRESENT_MARKERS]}
+    whole = {
+        "filter": [L.FILTER_PATTERN], "interior": [L.INTERIORITY], "emotion": [L.EMOTION_WORDS],
+        "body_cue": [L.BODY_CUES], "simile": [L.SIMILE], "metaphor": [L.METAPHOR_SIGNALS],
+        **{f"sense_{s}": [p] for s, p in L.SENSORY.items()},
+        "romance": [L.ROMANCE_SIGNALS], "sexual": [L.SEXUAL_SIGNALS], "explicit": [L.EXPLICIT_SIGNALS], "fade": [L.FADE],
+        "profanity": [L.PROFANITY], "violence": [L.VIOLENCE],
+        **{name: patterns for name, (_, patterns, _) in zip(_AUDIENCE, L.AUDIENCES)},
     }
-    for name, (_, patterns, _) in zip(_AUDIENCE, L.AUDIENCES):
-        counts[name] = sum((hits(p) for p in patterns[1:]), hits(patterns[0]))
-    return sealed(base, key, [c.alias(n) for n, c in counts.items() if columns is None or n in columns])
+
+    def counted(text: Column, table: dict[str, list[str]], body: Callable[[dict[str, Column]], Column]) -> Column:
+        table = {name: patterns for name, patterns in table.items() if asked(name)}
+        return count_each(text, {p: p for patterns in table.values() for p in patterns}, lambda c: body(
+            {name: reduce(add, [c[p] for p in patterns]) for name, patterns in table.items()}))
+
+    def of_narrative(narr: Column, body: Callable[[dict[str, Column]], Column]) -> Column:
+        if not asked(*NARRATION_COUNTS):
+            return body({})
+        found = lambda words, people: {
+            "n_narrative": F.size(words), "first": T.count_in(people, L.FIRST_PERSON),
+            "second": T.count_in(people, second), "third": T.count_in(people, third),
+        }
+        # Other words are passed over once, not list by list.
+        people = lambda words: F.filter(words, lambda w: w.isin([*L.FIRST_PERSON, *second, *third]))
+        return let(narr, lambda n: let(T.words(n), lambda words: let(people(words), lambda ps: counted(
+            n, told, lambda c: body({**found(words, ps), **c})))))
+
+    def row(text: Column) -> Column:
+        own = {
+            "n_words": lambda: T.word_count(text), "n_spans": lambda: F.size(T.spoken(text)),
+            "n_paragraphs": lambda: F.size(T.paragraphs(text, delimiter)),
+        }
+        every = [*NARRATION_COUNTS, *VOICE_COUNTS]
+        return of_narrative(without_dialogue(text), lambda n: counted(text, whole, lambda c: F.struct(*[
+            (n | c | {k: f() for k, f in own.items() if k == name})[name].cast("long").alias(name)
+            for name in every if asked(name)])))
+
+    return df.select(*key, F.inline(F.array(let(col(text), row))))
 
 
 def pooled_counts(counts: DataFrame, group: Sequence[str], more: Sequence[str] = ()) -> DataFrame:

@@ -168,7 +168,8 @@ def _context(spark, sf):
     # Names, pairs and findings all read it: written once to the shared folder.
     lib = cut_lineage(E.narrative_slice(X.library(spark, sf)))
     names = cut_lineage(E.character_names(lib, ["book_id"]))
-    genres = I.rank_genres(I.genre_hits(lib, ["book_id"]), ["book_id"])
+    # Counts of one row per book, read by findings and by the chain after them.
+    genres = I.rank_genres(cut_lineage(I.genre_hits(lib, ["book_id"])), ["book_id"])
     prose = lib.where((F.size("kinds") == 0) | F.arrays_overlap(
         "kinds", F.array(F.lit("past_book"), F.lit("reference_book"), F.lit("notes"))))
     counts = profile.profile_counts(prose, ["book_id"], columns=profile.FINDING_COUNTS)
